@@ -7,11 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
-from . import scan
 
 PREVIEW_LINES = 30
 SAMPLE_CHARS = 500
-RECORD_SEPARATOR = "\n\n"
 
 # Column names taken as the text of a table, in order of preference.
 TEXT_COLUMNS = [
@@ -57,29 +55,6 @@ def extract_by_config(rows: DataFrame, config: DataFrame, source: str, fields: s
     return joined.withColumn("text", text).where("text IS NOT NULL").drop("columns")
 
 
-def with_separators(records: DataFrame, source: str, order: str, text: str, separator: str = RECORD_SEPARATOR) -> DataFrame:
-    """Append the separator to every record but the last of its file.
-
-    The last records are found by a partial aggregate and joined on
-    ``(source, order)``, a key that is unique, so a large file skews nothing.
-    """
-    last = records.groupBy(source).agg(F.max(order).alias(order)).withColumn("__last", F.lit(True))
-    return (
-        records.join(last, [source, order], "left")
-        .withColumn(text, F.when(F.col("__last").isNull(), F.concat(F.col(text), F.lit(separator))).otherwise(F.col(text)))
-        .drop("__last")
-    )
-
-
-def file_offsets(records: DataFrame, source: str, order: str, text: str, rows_per_bucket: int = 1024) -> DataFrame:
-    """Character position ``start`` of every record inside its file."""
-    sized = records.withColumn("__n", F.length(text).cast("bigint"))
-    placed = scan.running(
-        sized, [source], [order], F.expr(f"{order} div {rows_per_bucket}"), {"__start": ("sum", "__n")}, exclusive=True
-    )
-    return placed.withColumnRenamed("__start", "start").drop("__n")
-
-
 def pick_text_column(df: DataFrame, first_row=None) -> str:
     """Name of the text column: a known name, else the first holding a longer string, else the first."""
     for name in TEXT_COLUMNS:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import convert, extract as op
+from ..operators import convert, extract as op, packing
 from ..sources import files, manifest
 from . import inputs
 from .inputs import PAIRS_SQL
@@ -68,14 +68,13 @@ def per_source_column_config(spark, sf_dir):
 
 @query(
     "record_separator_stream",
-    """WITH r AS (SELECT source, doc_id, text || CASE WHEN lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) IS NULL THEN '' ELSE chr(10) || chr(10) END AS text FROM documents)
+    """WITH r AS (SELECT source, doc_id, CASE WHEN lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) IS NULL THEN '' ELSE chr(10) || chr(10) END || text AS text FROM documents)
     SELECT source, doc_id, text, (sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id) - length(text))::BIGINT AS start FROM r""",
 )
 def record_separator_stream(spark, sf_dir):
+    """The records of each file with their separators, and where each starts in the joined file."""
     docs = inputs.table(spark, sf_dir, "documents").select("source", "doc_id", "text")
-    return op.file_offsets(op.with_separators(docs, "source", "doc_id", "text"), "source", "doc_id", "text").select(
-        "source", "doc_id", "text", "start"
-    )
+    return packing.place_records(docs, ["source"], "doc_id", "text")
 
 
 @query(
