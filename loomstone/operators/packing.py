@@ -14,7 +14,7 @@ from ..functions import text as tx
 from ..sources.sinks import token_dtype
 from . import scan
 
-ROWS_PER_BUCKET = 1024
+ROWS_PER_BUCKET = 256
 CHUNK_CHARS = 100_000
 RECORD_SEPARATOR = "\n\n"
 

@@ -18,11 +18,11 @@ _MERGE = {"sum": "sum", "count": "sum", "min": "min", "max": "max", "last": "las
 
 
 def _total(op: str, value: Column, order: Column) -> Column:
-    return F.max_by(value, order) if op == "last" else _AGG[op](value)
+    return F.max_by(value, F.when(value.isNotNull(), order)) if op == "last" else _AGG[op](value)
 
 
 def _over(op: str, value: Column, window) -> Column:
-    return (F.last(value) if op == "last" else _AGG[op](value)).over(window)
+    return (F.last(value, ignorenulls=True) if op == "last" else _AGG[op](value)).over(window)
 
 
 def _combine(op: str, before: Column, here: Column) -> Column:
@@ -67,12 +67,12 @@ def running(
     aggs: dict[str, tuple[str, str]],
     exclusive: bool = False,
     levels: int | None = None,
-    fan_out: int = 1024,
+    fan_out: int = 4096,
 ) -> DataFrame:
     """Add running aggregates of ``{name: (op, column)}`` per key in the given order.
 
-    ``op`` is sum, count, min, max or last; with ``exclusive`` the current row
-    is left out, so ``last`` is the previous row's value. ``bucket`` is a whole
+    ``op`` is sum, count, min, max or last (non-null); with ``exclusive`` the
+    current row is left out, so ``last`` is the previous value. ``bucket`` is a whole
     number that never decreases along ``order`` (``rec_no div 1024``, a day
     number) and bounds how many rows of a key meet in one task. ``levels``
     adds coarser buckets above it; by default one when there is no key.
@@ -96,3 +96,27 @@ def running(
     return placed.join(prefix, [*by, _BUCKET], "left").select(
         *df.columns, *[_combine(op, F.col(f"__pre_{n}"), F.col(f"__in_{n}")).alias(n) for n, op in ops.items()]
     )
+
+
+def last_k(df: DataFrame, by: list[str], order: list[str], bucket: Column, k: int, rank: str = "rank") -> DataFrame:
+    """The last ``k`` rows of every key with their rank from the end.
+
+    Rows per bucket are counted first; only buckets with fewer than ``k`` rows
+    after them are ranked, so a key of any size costs one bucket more than ``k``.
+    """
+    bucketed = df.withColumn(_BUCKET, bucket.cast("bigint"))
+    after = Window.partitionBy(*by).orderBy(F.desc(_BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
+    late = (
+        bucketed.groupBy(*by, _BUCKET)
+        .agg(F.count("*").alias("__n"))
+        .withColumn("__after", F.coalesce(F.sum("__n").over(after), F.lit(0)))
+        .where(F.col("__after") < k)
+        .select(*by, _BUCKET)
+    )
+    newest = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])
+    return (
+        bucketed.join(late, [*by, _BUCKET], "left_semi")
+        .withColumn(rank, F.row_number().over(newest))
+        .where(F.col(rank) <= k)
+        .drop(_BUCKET)
+    )

@@ -23,7 +23,7 @@ def _show(c: str):
 
 def codepoint_blocks(spark, sf_dir, keep_tail=False):
     """Documents in id order, a blank line between them, packed by code point."""
-    docs = inputs.documents(spark, sf_dir, "doc_id", "text")
+    docs = inputs.table(spark, sf_dir, "documents").select("doc_id", "text")
     return op.pack_codepoints(docs, "doc_id", "text", SEQ_LEN, keep_tail)
 
 
