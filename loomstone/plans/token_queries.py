@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import templates as tp, text as tx
-from ..operators import packing as op, sft
-from . import inputs
+from ..operators import bpe, packing as op, profile, sft
+from ..session import ensure_checkpoint_dir
+from . import corpus, inputs
 from .chat_queries import rendered_sql, spans_sql
 from .convert_queries import nested
 from .registry import query
@@ -158,3 +161,102 @@ def sft_pad_truncate(spark, sf_dir):
 def sft_meta(spark, sf_dir):
     blocks = sft.pad_and_truncate(codepoint_examples(spark, sf_dir), SFT_LEN)
     return sft.processing_meta(blocks, "simple", SFT_LEN, CODEPOINTS, CODEPOINTS)
+
+
+# ---- byte-pair encoding ----------------------------------------------------
+
+BPE_VOCAB = 300
+_TRAINED: dict[tuple[str, str], bpe.Tokenizer] = {}
+
+
+def trained(spark, sf_dir) -> bpe.Tokenizer:
+    """Tokenizer of the documents; trained once per application and data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        _TRAINED[key] = bpe.train(inputs.documents(spark, sf_dir, "text"), "text", BPE_VOCAB)
+    return _TRAINED[key]
+
+
+@query("pretokenize")
+def pretokenize(spark, sf_dir):
+    docs = inputs.documents(spark, sf_dir, "doc_id", "text")
+    return docs.select("doc_id", F.posexplode(bpe.pretokens(F.col("text"))).alias("pos", "token"))
+
+
+@query("pretoken_counts")
+def pretoken_counts(spark, sf_dir):
+    return bpe.pretoken_counts(inputs.documents(spark, sf_dir, "text"), "text")
+
+
+@query("bpe_merges")
+def bpe_merges(spark, sf_dir):
+    tokenizer = bpe.train(inputs.documents(spark, sf_dir, "text"), "text", BPE_VOCAB)
+    _TRAINED[spark.sparkContext.applicationId, sf_dir] = tokenizer
+    return tokenizer.merges_frame(spark)
+
+
+@query("vocab_head")
+def vocab_head(spark, sf_dir):
+    return trained(spark, sf_dir).vocab_frame(spark).orderBy("id").limit(50)
+
+
+@query("encode_docs")
+def encode_docs(spark, sf_dir):
+    """Each source as one joined file, encoded in chunks of 100,000 characters."""
+    records = inputs.table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("rec_ord"), "text")
+    encoded = corpus.encode_files(records, trained(spark, sf_dir))
+    return encoded.select("source", "chunk", F.size("ids").alias("n_ids"), _show("ids").alias("ids"))
+
+
+@query("token_preview")
+def token_preview(spark, sf_dir):
+    tokenizer = trained(spark, sf_dir)
+    turns = inputs.conversations(spark, sf_dir)
+    encoded = turns.select("conv_id", "turn", bpe.encode(tokenizer, F.col("text")).alias("ids"))
+    return bpe.token_preview(tokenizer, encoded, "ids", "conv_id", "turn")
+
+
+@query("pack_bpe_sequences")
+def pack_bpe_sequences(spark, sf_dir):
+    """The sources in order as one token stream, packed into blocks."""
+    docs = inputs.table(spark, sf_dir, "documents")
+    records = docs.select("source", F.col("doc_id").alias("rec_ord"), "text")
+    order = docs.groupBy("source").agg(F.min("doc_id").alias("file_ord"))
+    folder = f"{ensure_checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    built = corpus.build_corpus(records, order, trained(spark, sf_dir), SEQ_LEN, folder)
+    return built.blocks.select("seq_id", _show("tokens").alias("tokens"))
+
+
+@query("sft_mask_bpe")
+def sft_mask_bpe(spark, sf_dir):
+    blocks, _, _ = corpus.build_examples(nested(spark, sf_dir), "conv", "conv_id", trained(spark, sf_dir), "chatml", SFT_LEN)
+    return blocks.select(
+        "conv_id",
+        _show("tokens").alias("tokens"),
+        F.array_join(F.transform("mask", lambda m: m.cast("string")), "").alias("mask"),
+        "assistant_tokens_raw",
+        "assistant_tokens_kept",
+    )
+
+
+@query(
+    "special_token_inject",
+    """WITH chars AS (SELECT DISTINCT unnest(string_split(text, '')) AS token FROM documents), top AS (SELECT max(unicode(token)) AS last FROM chars WHERE token <> '')
+    SELECT template, token, (last + k)::BIGINT AS id FROM top, (VALUES ('chatml', 1, '<|im_start|>'), ('chatml', 2, '<|im_end|>'), ('llama', 1, '[INST]'), ('llama', 2, '[/INST]'),
+      ('llama', 3, '<<SYS>>'), ('llama', 4, '<</SYS>>')) AS t(template, k, token)""",
+)
+def special_token_inject(spark, sf_dir):
+    """The documents' characters and the default special tokens as vocabulary, grown for each template."""
+    chars = profile.char_counts(inputs.documents(spark, sf_dir, "text"), "text").select(
+        F.ascii("char").alias("id"), F.col("char").alias("token")
+    )
+    special = spark.createDataFrame(list(enumerate(bpe.SPECIAL_TOKENS)), "id int, token string")
+    vocab = chars.unionByName(special)
+    result = None
+    for template, tokens in tp.TEMPLATE_TOKENS.items():
+        if not tokens:
+            continue
+        needed = spark.createDataFrame(list(enumerate(tokens)), "ord int, token string")
+        added = bpe.inject_special(vocab, needed).select(F.lit(template).alias("template"), "token", "id")
+        result = added if result is None else result.unionByName(added)
+    return result
