@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import metering as op
+from ..streaming import admission as streamed
 from . import inputs
 from .registry import query
 
@@ -34,9 +35,13 @@ def api_keys(spark, sf_dir):
 
 
 def requests(spark, sf_dir):
+    return as_requests(inputs.table(spark, sf_dir, "events"))
+
+
+def as_requests(events):
     """Events as requests; some name an unknown key, some none, some no model."""
     e = F.col("event_id")
-    return inputs.table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id",
         F.when(e % 31 == 0, F.lit(None)).when(e % 29 == 0, F.col("user_id") + 1_000_000).otherwise(F.col("user_id")).alias("key_id"),
         F.when(e % 13 == 0, F.lit("")).otherwise(F.col("event_type")).alias("model"),
@@ -135,6 +140,16 @@ def admission_decisions(spark, sf_dir):
     return decisions(spark, sf_dir)
 
 
+@query("admission_stream", f"WITH RECURSIVE {_DECIDED_SQL} SELECT event_id, key_id, decision FROM decided")
+def admission_stream(spark, sf_dir):
+    """The same decisions taken by the streaming job over all events available now."""
+    events = inputs.stream(spark, sf_dir, "events")
+    decided = streamed.admission_stream(as_requests(events), api_keys(spark, sf_dir), window_seconds=WINDOW)
+    folder = inputs.scratch(spark, "admission")
+    streamed.run_to_table(decided, f"{folder}/table", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/table")
+
+
 def _usage(spark, sf_dir):
     """Day counters of the requests a quota-only service admits."""
     admitted = op.daily_quota(_eligible(spark, sf_dir)).where("decision = 'ok'")

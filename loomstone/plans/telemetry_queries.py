@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logs, text as tx
 from ..operators import metering, telemetry as op
+from ..streaming import runs as streamed
 from . import inputs
 from .registry import query
 
@@ -14,6 +15,10 @@ EPOCHS = 3
 
 
 def run_lines(spark, sf_dir):
+    return as_run_lines(inputs.table(spark, sf_dir, "events"))
+
+
+def as_run_lines(events):
     """Events as the output lines of training runs: JSON events, plain log text, and broken JSON."""
     e, step = F.col("event_id"), F.expr("event_id div 500")
     k = F.get_json_object("props", "$.k").cast("bigint")
@@ -41,7 +46,7 @@ def run_lines(spark, sf_dir):
             )
         )
     )
-    return inputs.table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias(RUN), e.alias(ORDER), "ts", "value", k.alias("k"), "event_type", line.alias("line")
     )
 
@@ -88,6 +93,15 @@ def latest_run_state(spark, sf_dir):
     return op.latest_state(run_events(spark, sf_dir), RUN, ORDER)
 
 
+@query("run_state_stream", f"WITH {_RUN_SQL}, {_STATE_SQL} SELECT * FROM state")
+def run_state_stream(spark, sf_dir):
+    """The same state folded by the streaming job over all lines available now."""
+    lines = as_run_lines(inputs.stream(spark, sf_dir, "events"))
+    folder = inputs.scratch(spark, "runs")
+    streamed.run_to_versions(streamed.run_state_stream(lines, RUN, ORDER), f"{folder}/table", f"{folder}/checkpoint")
+    return streamed.current_states(spark, f"{folder}/table", RUN)
+
+
 _CURVE_SQL = """points AS (SELECT run_id, CASE event WHEN 'step' THEN 'train' ELSE 'val' END AS curve, seq, step, value AS loss FROM ev WHERE event IN ('step', 'eval') AND value > 0),
 curves AS (SELECT run_id, curve, seq, step, loss FROM (SELECT *, lag(step) OVER (PARTITION BY run_id, curve ORDER BY seq) AS previous FROM points) WHERE previous IS NULL OR previous <> step)"""
 

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import templates as tp, text as tx
 from ..operators import bpe, packing as op, profile, sft
-from ..session import ensure_checkpoint_dir
 from . import corpus, inputs
 from .chat_queries import rendered_sql, spans_sql
 from .convert_queries import nested
@@ -222,8 +219,7 @@ def pack_bpe_sequences(spark, sf_dir):
     docs = inputs.table(spark, sf_dir, "documents")
     records = docs.select("source", F.col("doc_id").alias("rec_ord"), "text")
     order = docs.groupBy("source").agg(F.min("doc_id").alias("file_ord"))
-    folder = f"{ensure_checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    built = corpus.build_corpus(records, order, trained(spark, sf_dir), SEQ_LEN, folder)
+    built = corpus.build_corpus(records, order, trained(spark, sf_dir), SEQ_LEN, inputs.scratch(spark, "corpus"))
     return built.blocks.select("seq_id", _show("tokens").alias("tokens"))
 
 
