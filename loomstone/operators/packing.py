@@ -19,13 +19,34 @@ CHUNK_CHARS = 100_000
 RECORD_SEPARATOR = "\n\n"
 
 
-def place_tokens(docs: DataFrame, order: str, tokens: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Add ``start``, the position of a document's first token in the whole stream."""
-    sized = docs.withColumn("__n", F.size(tokens).cast("bigint")).where("__n > 0")
-    placed = scan.running(
-        sized, [], [order], F.expr(f"{order} div {rows_per_bucket}"), {"start": ("sum", "__n")}, exclusive=True
-    )
-    return placed.drop("__n")
+def _assemble(placed: DataFrame, by: list[str], size: Column, length: int, cut, join) -> DataFrame:
+    """Blocks ``(*by, block, value)`` of ``length`` units from documents placed in their stream.
+
+    ``placed`` has start, bucket, and the bucket's place (start_from, start_to),
+    and is partitioned by bucket. Blocks inside one bucket, nearly all, are put
+    together where they are; only documents that touch a block reaching over a
+    bucket's edge are sent on to meet by block number.
+    """
+    first, last = F.expr(f"start_from div {length}"), F.expr(f"start_to div {length}")
+    shared_first = F.when(F.col("start_from") % length != 0, first).otherwise(-1)
+    shared_last = F.when(F.col("start_to") % length != 0, last).otherwise(-1)
+    marked = placed.withColumns(
+        {"first_shared": shared_first, "last_shared": shared_last, "stop": F.col("start") + size}
+    ).withColumn("from_block", F.expr(f"start div {length}")).withColumn("to_block", F.expr(f"(stop - 1) div {length}"))
+    edge = (F.col("block") == F.col("first_shared")) | (F.col("block") == F.col("last_shared"))
+    touches_edge = (F.col("from_block") == F.col("first_shared")) | (F.col("to_block") == F.col("last_shared"))
+    ordered = join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda p: p["piece"]))
+
+    def pieces(docs: DataFrame) -> DataFrame:
+        return docs.select(*by, "bucket", "first_shared", "last_shared", F.inline(cut()))
+
+    inside = pieces(marked).where(~edge).groupBy(*by, "bucket", "block").agg(ordered.alias("value")).drop("bucket")
+    across = pieces(marked.where(touches_edge)).where(edge).groupBy(*by, "block").agg(ordered.alias("value"))
+    return inside.unionByName(across)
+
+
+def _bucket_of(order: str) -> Column:
+    return F.expr(f"{order} div {ROWS_PER_BUCKET}")
 
 
 def pack(docs: DataFrame, order: str, tokens: str, seq_len: int, keep_tail: bool = False) -> DataFrame:
@@ -33,59 +54,83 @@ def pack(docs: DataFrame, order: str, tokens: str, seq_len: int, keep_tail: bool
 
     The unfinished last block is dropped unless ``keep_tail``.
     """
-    placed = place_tokens(docs.select(order, tokens), order, tokens)
-    start, size = F.col("start"), F.size(tokens).cast("bigint")
-
-    def piece(block: Column) -> Column:
-        begin = F.greatest(block * seq_len - start, F.lit(0))
-        end = F.least((block + 1) * seq_len - start, size)
-        cut = F.slice(tokens, (begin + 1).cast("int"), (end - begin).cast("int"))
-        return F.struct(block.alias("seq_id"), (start + begin).alias("at"), cut.alias("piece"))
-
-    touched = F.sequence(F.expr(f"start div {seq_len}"), F.expr(f"(start + size({tokens}) - 1) div {seq_len}"))
-    pieces = placed.select(F.inline(F.transform(touched, piece)))
-    ordered = F.array_sort(F.collect_list(F.struct("at", "piece")))
-    blocks = pieces.groupBy("seq_id").agg(F.flatten(F.transform(ordered, lambda p: p["piece"])).alias("tokens"))
+    sized = docs.select(order, tokens, F.size(tokens).cast("bigint").alias("__n")).where("__n > 0")
+    placed = scan.running(
+        sized, [], [order], _bucket_of(order), {"start": ("sum", "__n")}, exclusive=True, bounds=True
+    )
+
+    def cut() -> Column:
+        def piece(block: Column) -> Column:
+            begin = F.greatest(block * seq_len - F.col("start"), F.lit(0))
+            end = F.least((block + 1) * seq_len, F.col("stop")) - F.col("start")
+            part = F.slice(tokens, (begin + 1).cast("int"), (end - begin).cast("int"))
+            return F.struct(block.alias("block"), (F.col("start") + begin).alias("at"), part.alias("piece"))
+
+        return F.transform(F.sequence("from_block", "to_block"), piece)
+
+    blocks = _assemble(placed, [], F.col("__n"), seq_len, cut, F.flatten)
+    blocks = blocks.select(F.col("block").alias("seq_id"), F.col("value").alias("tokens"))
     return blocks if keep_tail else blocks.where(F.size("tokens") == seq_len)
 
 
-def place_records(records: DataFrame, by: list[str], order: str, text: str, separator: str = RECORD_SEPARATOR) -> DataFrame:
+def place_records(
+    records: DataFrame, by: list[str], order: str, text: str, separator: str | Column = RECORD_SEPARATOR, bounds: bool = False
+) -> DataFrame:
     """Add ``start``, and put the separator in front of every record but the first of its file.
 
     ``start`` is the character position in the joined file. The first record is
     the one with nothing before it, so separators cost no extra pass or join.
+    The separator may be a column, the same for all records of a file.
     """
-    width = len(separator)
-    sized = records.withColumn("__n", (F.length(text) + width).cast("bigint"))
+    gap = F.lit(separator) if isinstance(separator, str) else separator
+    sized = records.withColumn("__gap", gap).withColumn("__n", (F.length(text) + F.length("__gap")).cast("bigint"))
     placed = scan.running(
-        sized, by, [order], F.expr(f"{order} div {ROWS_PER_BUCKET}"), {"__before": ("sum", "__n")}, exclusive=True
-    )
-    first = F.col("__before") == 0
-    return (
-        placed.withColumn(text, F.when(first, F.col(text)).otherwise(F.concat(F.lit(separator), F.col(text))))
-        .withColumn("start", F.when(first, F.lit(0)).otherwise(F.col("__before") - width).cast("bigint"))
-        .drop("__n", "__before")
+        sized, by, [order], _bucket_of(order), {"__before": ("sum", "__n")}, exclusive=True, bounds=bounds
     )
 
+    def without_first_gap(before: Column) -> Column:
+        return F.when(before == 0, F.lit(0)).otherwise(before - F.length("__gap")).cast("bigint")
+
+    columns = {
+        text: F.when(F.col("__before") == 0, F.col(text)).otherwise(F.concat("__gap", F.col(text))),
+        "start": without_first_gap(F.col("__before")),
+    }
+    if bounds:
+        columns["start_from"] = without_first_gap(F.col("__before_from"))
+        columns["start_to"] = without_first_gap(F.col("__before_to"))
+    return placed.withColumns(columns).drop("__gap", "__n", "__before", "__before_from", "__before_to")
+
 
 def chunk_text(
-    records: DataFrame, by: list[str], order: str, text: str, chunk_chars: int = CHUNK_CHARS, separator: str = RECORD_SEPARATOR
+    records: DataFrame,
+    by: list[str],
+    order: str,
+    text: str,
+    chunk_chars: int = CHUNK_CHARS,
+    separator: str | Column = RECORD_SEPARATOR,
 ) -> DataFrame:
     """Joined files as chunks ``(*by, chunk, text)`` of ``chunk_chars`` characters, the last one shorter.
 
-    A record is cut at the chunk edges in one pass over its text; the pieces of
-    a chunk meet by ``(*by, chunk)``, whose size is bounded by the chunk.
+    A record is cut at the chunk edges in one pass over its text.
     """
-    placed = place_records(records.select(*by, order, text), by, order, text, separator).where(F.length(text) > 0)
-    room = (F.lit(chunk_chars) - F.col("start") % chunk_chars).cast("int")
-    head = F.array(F.substring(F.col(text), F.lit(1), room))
-    rest = F.regexp_extract_all(F.substring(F.col(text), room + 1, F.lit(1 << 30)), F.lit(f"(?s).{{1,{chunk_chars}}}"), F.lit(0))
-    pieces = placed.select(*by, "start", F.posexplode(F.concat(head, rest)).alias("k", "piece"))
-    pieces = pieces.withColumn("chunk", F.expr(f"start div {chunk_chars} + k"))
-    # Of the pieces in a chunk only a record's first can start inside it.
-    at = F.when(F.col("k") == 0, F.col("start")).otherwise(F.col("chunk") * chunk_chars)
-    ordered = F.array_sort(F.collect_list(F.struct(at.alias("at"), "piece")))
-    return pieces.groupBy(*by, "chunk").agg(F.array_join(F.transform(ordered, lambda p: p["piece"]), "").alias("text"))
+    placed = place_records(records, by, order, text, separator, bounds=True).where(F.length(text) > 0)
+
+    def cut() -> Column:
+        room = (F.lit(chunk_chars) - F.col("start") % chunk_chars).cast("int")
+        head = F.array(F.substring(F.col(text), F.lit(1), room))
+        tail = F.substring(F.col(text), room + 1, F.lit(1 << 30))
+        parts = F.concat(head, F.regexp_extract_all(tail, F.lit(f"(?s).{{1,{chunk_chars}}}"), F.lit(0)))
+
+        def piece(part: Column, k: Column) -> Column:
+            block = F.col("from_block") + k
+            # Only a record's first piece can start inside its chunk.
+            at = F.greatest(F.col("start"), block * chunk_chars)
+            return F.struct(block.alias("block"), at.alias("at"), part.alias("piece"))
+
+        return F.transform(parts, piece)
+
+    blocks = _assemble(placed, by, F.length(text), chunk_chars, cut, lambda parts: F.array_join(parts, ""))
+    return blocks.select(*by, F.col("block").alias("chunk"), F.col("value").alias("text"))
 
 
 def pack_codepoints(records: DataFrame, order: str, text: str, seq_len: int, keep_tail: bool = False) -> DataFrame:

@@ -68,6 +68,7 @@ def running(
     exclusive: bool = False,
     levels: int | None = None,
     fan_out: int = 4096,
+    bounds: bool = False,
 ) -> DataFrame:
     """Add running aggregates of ``{name: (op, column)}`` per key in the given order.
 
@@ -76,6 +77,10 @@ def running(
     number that never decreases along ``order`` (``rec_no div 1024``, a day
     number) and bounds how many rows of a key meet in one task. ``levels``
     adds coarser buckets above it; by default one when there is no key.
+
+    With ``bounds`` the result keeps the ``bucket`` it is partitioned by and,
+    for every aggregate, ``<name>_from`` and ``<name>_to``: its value before
+    and after the whole bucket. Grouping by the bucket then needs no shuffle.
     """
     if levels is None:
         levels = 0 if by else 1
@@ -87,14 +92,25 @@ def running(
     )
     prefix = _bucket_prefix(totals, by, ops, levels, fan_out)
     prefix = prefix.select(*by, _BUCKET, *[F.col(n).alias(f"__pre_{n}") for n in ops])
+    if bounds:
+        prefix = totals.withColumnsRenamed({n: f"__all_{n}" for n in ops}).join(prefix, [*by, _BUCKET], "left")
     inside = (
         Window.partitionBy(*by, _BUCKET)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
     )
     placed = ranked.select("*", *[_over(op, F.col(c), inside).alias(f"__in_{n}") for n, (op, c) in aggs.items()])
+    extra = []
+    if bounds:
+        extra.append(F.col(_BUCKET).alias("bucket"))
+        for n, op in ops.items():
+            nothing = F.lit(0) if op in ("sum", "count") else F.lit(None)
+            extra.append(F.coalesce(F.col(f"__pre_{n}"), nothing).alias(f"{n}_from"))
+            extra.append(_combine(op, F.col(f"__pre_{n}"), F.col(f"__all_{n}")).alias(f"{n}_to"))
     return placed.join(prefix, [*by, _BUCKET], "left").select(
-        *df.columns, *[_combine(op, F.col(f"__pre_{n}"), F.col(f"__in_{n}")).alias(n) for n, op in ops.items()]
+        *df.columns,
+        *[_combine(op, F.col(f"__pre_{n}"), F.col(f"__in_{n}")).alias(n) for n, op in ops.items()],
+        *extra,
     )
 
 
