@@ -334,6 +334,36 @@ def encode_chunks(tokenizer: Tokenizer, chunks: DataFrame, text: str = "text") -
     return chunks.withColumn("ids", encode(tokenizer, F.col(text)))
 
 
+def decode(tokenizer: Tokenizer, ids: Column, skip_special: bool = True) -> Column:
+    """Text of an id column; bytes that form no character become the replacement character."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        back = {c: b for b, c in byte_alphabet().items()}
+        special = set(tokenizer.special)
+        spelled = {
+            i: (b"" if skip_special else t.encode()) if t in special else bytes(back[c] for c in t)
+            for t, i in tokenizer.vocab.items()
+        }
+        for batch in batches:
+            yield batch.map(lambda row: b"".join(spelled[i] for i in row).decode("utf-8", errors="replace"))
+
+    return run(ids)
+
+
+def sample_encodings(tokenizer: Tokenizer, df: DataFrame, text: str, *keep: str, shown: int = 30) -> DataFrame:
+    """The first tokens and ids of each text, and how many there are."""
+    names = F.array(*[F.lit(t) for t, _ in sorted(tokenizer.vocab.items(), key=lambda item: item[1])])
+    encoded = df.select(*keep, text, encode(tokenizer, F.col(text)).alias("all_ids"))
+    return encoded.select(
+        *keep,
+        text,
+        F.slice("all_ids", 1, shown).alias("ids"),
+        F.transform(F.slice("all_ids", 1, shown), lambda i: F.get(names, i)).alias("tokens"),
+        F.size("all_ids").cast("bigint").alias("length"),
+    )
+
+
 def token_table(tokenizer: Tokenizer, spark: SparkSession) -> DataFrame:
     """``(id, raw, shown)``: the stored token, and its bytes as text, or the stored form when they are none."""
     back = {c: b for b, c in byte_alphabet().items()}

@@ -85,7 +85,7 @@ def place_records(
     gap = F.lit(separator) if isinstance(separator, str) else separator
     sized = records.withColumn("__gap", gap).withColumn("__n", (F.length(text) + F.length("__gap")).cast("bigint"))
     placed = scan.running(
-        sized, by, [order], _bucket_of(order), {"__before": ("sum", "__n")}, exclusive=True, bounds=bounds
+        sized, by, [order], _bucket_of(order), {"__before": ("sum", "__n")}, exclusive=True, levels=1, bounds=bounds
     )
 
     def without_first_gap(before: Column) -> Column:
@@ -113,7 +113,9 @@ def chunk_text(
 
     A record is cut at the chunk edges in one pass over its text.
     """
-    placed = place_records(records, by, order, text, separator, bounds=True).where(F.length(text) > 0)
+    gap = F.lit(separator) if isinstance(separator, str) else separator
+    needed = records.select(*by, order, text, gap.alias("__sep"))
+    placed = place_records(needed, by, order, text, F.col("__sep"), bounds=True).where(F.length(text) > 0)
 
     def cut() -> Column:
         room = (F.lit(chunk_chars) - F.col("start") % chunk_chars).cast("int")
@@ -227,16 +229,16 @@ def shifted_pairs(blocks: DataFrame, split: str, *arrays: str) -> DataFrame:
 def epoch_order(blocks: DataFrame, epoch: int, ranks: int, seed: int = 0) -> DataFrame:
     """Blocks in the shuffled order of an epoch, dealt to ``ranks`` readers.
 
-    The order is by a hash of block number, epoch and seed: the same on every
-    run. Position is counted through buckets of the hash, so no task sees all.
+    The order is by a digest of block number, epoch and seed: the same on every
+    run. Position is counted through 4,096 ranges of the digest, so no task
+    sees all blocks.
     """
-    hashed = blocks.withColumn("shuffle_key", F.xxhash64("seq_id", F.lit(epoch), F.lit(seed)))
-    # 4,096 hash ranges; the shift is arithmetic, so their numbers grow with the key.
+    digest = F.md5(F.concat_ws(":", F.col("seq_id").cast("string"), F.lit(str(epoch)), F.lit(str(seed))).cast("binary"))
     placed = scan.running(
-        hashed,
+        blocks.withColumn("shuffle_key", digest),
         [],
         ["shuffle_key", "seq_id"],
-        F.shiftright("shuffle_key", 52),
+        F.conv(F.substring("shuffle_key", 1, 3), 16, 10),
         {"position": ("count", "seq_id")},
         exclusive=True,
         levels=0,

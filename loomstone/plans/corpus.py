@@ -29,9 +29,10 @@ def encode_files(
     order: str = "rec_ord",
     text: str = "text",
     chunk_chars: int = packing.CHUNK_CHARS,
+    gap=packing.RECORD_SEPARATOR,
 ) -> DataFrame:
     """Records joined per file, cut into chunks, and encoded: ``(source, chunk, text, ids)``."""
-    chunks = packing.chunk_text(records, [source], order, text, chunk_chars)
+    chunks = packing.chunk_text(records, [source], order, text, chunk_chars, gap)
     return bpe.encode_chunks(tokenizer, chunks)
 
 
@@ -45,14 +46,16 @@ def build_corpus(
     order: str = "rec_ord",
     text: str = "text",
     chunk_chars: int = packing.CHUNK_CHARS,
+    gap=packing.RECORD_SEPARATOR,
 ) -> Corpus:
     """Pretraining blocks over all files in list order.
 
-    ``file_order`` is ``(source, file_ord)``. The encoded chunks are written to
+    ``file_order`` is ``(source, file_ord)``; ``gap`` is put between the records
+    of a file, as a text or a column. The encoded chunks are written to
     ``path`` once, so the costly encoding is not repeated by the two passes of
     packing (where each chunk starts, then the blocks).
     """
-    encoded = encode_files(records, tokenizer, source, order, text, chunk_chars).join(file_order, source)
+    encoded = encode_files(records, tokenizer, source, order, text, chunk_chars, gap).join(file_order, source)
     keyed = encoded.select(
         (F.col("file_ord") * _FILE_STRIDE + F.col("chunk")).alias("ord"), F.length("text").alias("chars"), "ids"
     )
@@ -74,26 +77,48 @@ def build_examples(
 
 
 def read_records(spark: SparkSession, path: str, columns: list[str] | None = None, separator: str = "\n") -> DataFrame:
-    """Records of one file as ``(source, rec_ord, text)``, by its extension.
+    """Records of one file as ``(source, rec_ord, text, gap)``, by its extension.
 
-    Structured files give the chosen columns joined; without columns, or for
-    plain text, the file is one record as it is.
+    Structured files give the chosen columns joined, a blank line apart.
+    Without columns, or for plain text, the file is taken as it is: its lines
+    are the records, a newline apart, so a large file stays split.
     """
     lowered = path.lower()
     if columns and lowered.endswith((".jsonl", ".json")):
         rows = files.read_jsonl(spark, path) if lowered.endswith(".jsonl") else files.read_json(spark, path)
         values = F.from_json("line", ", ".join(f"`{c}` string" for c in columns))
-        is_text = {c: F.schema_of_variant(F.expr(f"try_variant_get(parse_json(line), '$[\"{c}\"]', 'variant')")) == "STRING" for c in columns}
-        parts = rows.select(
-            "source", F.col("line_no").alias("rec_ord"), *[F.when(is_text[c], values[c]).alias(c) for c in columns]
-        )
-        return extract.extract_columns(parts, columns, separator, keep_blank=True).select("source", "rec_ord", "text")
-    if columns and lowered.endswith((".csv", ".tsv")):
+
+        def if_text(c: str):
+            value = F.expr(f"try_variant_get(parse_json(line), '$[\"{c}\"]', 'variant')")
+            return F.when(F.schema_of_variant(value) == "STRING", values[c]).alias(c)
+
+        parts = rows.select("source", F.col("line_no").alias("rec_ord"), *[if_text(c) for c in columns])
+        records = extract.extract_columns(parts, columns, separator, keep_blank=True)
+    elif columns and lowered.endswith((".csv", ".tsv")):
         rows = files.read_delimited(spark, path).select(
             F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("rec_ord"), *columns
         )
-        return extract.extract_columns(rows, columns, separator).select("source", "rec_ord", "text")
-    return files.read_text(spark, path).select("source", F.lit(0).cast("bigint").alias("rec_ord"), "text")
+        records = extract.extract_columns(rows, columns, separator)
+    else:
+        lines = files.read_lines(spark, path, closing_line=True)
+        return lines.select("source", F.col("line_no").alias("rec_ord"), F.col("line").alias("text"), F.lit("\n").alias("gap"))
+    return records.select("source", "rec_ord", "text", F.lit(packing.RECORD_SEPARATOR).alias("gap"))
+
+
+def read_corpus(
+    spark: SparkSession, paths: list[str], column_config: dict[str, list[str]] | None = None, separator: str = "\n"
+) -> tuple[DataFrame, DataFrame]:
+    """Records of the selected files and their list order ``(source, file_ord)``.
+
+    ``column_config`` names the columns to take per file name.
+    """
+    config = column_config or {}
+    parts = [read_records(spark, p, config.get(p.rsplit("/", 1)[-1]), separator) for p in paths]
+    keyed = [part.withColumn("file_ord", F.lit(n)) for n, part in enumerate(parts)]
+    records = keyed[0]
+    for part in keyed[1:]:
+        records = records.unionByName(part)
+    return records.drop("file_ord"), records.groupBy("source").agg(F.min("file_ord").cast("bigint").alias("file_ord"))
 
 
 def import_rows(rows: DataFrame, line: str, first_line: str | None = None) -> DataFrame:

@@ -103,7 +103,11 @@ def shifted_pairs(spark, sf_dir):
     return op.shifted_pairs(codepoint_split(spark, sf_dir), "split").select("seq_id", "split", _show("x").alias("x"), _show("y").alias("y"))
 
 
-@query("epoch_shard")
+@query(
+    "epoch_shard",
+    f"""WITH n AS (SELECT (sum(length(text)) + 2 * (count(*) - 1)) // {SEQ_LEN} AS n FROM documents), b AS (SELECT unnest(range(n::BIGINT)) AS seq_id FROM n),
+    p AS (SELECT seq_id, row_number() OVER (ORDER BY md5(seq_id || ':1:0'), seq_id) - 1 AS position FROM b) SELECT seq_id, position, (position % 4)::INT AS rank FROM p""",
+)
 def epoch_shard(spark, sf_dir):
     blocks = codepoint_blocks(spark, sf_dir).select("seq_id")
     return op.epoch_order(blocks, epoch=1, ranks=4).select("seq_id", "position", "rank")
@@ -174,13 +178,26 @@ def trained(spark, sf_dir) -> bpe.Tokenizer:
     return _TRAINED[key]
 
 
-@query("pretokenize")
+# The check engine has no look-ahead: a mark before the last space of a run that a word follows does the same.
+_PRETOKENS_SQL = r"""regexp_extract_all(regexp_replace({}, '(\s)(\S)', chr(1) || '\1\2', 'g'),
+  '\x27(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}\x01]+|\s+')"""
+
+
+@query(
+    "pretokenize",
+    f"SELECT doc_id, unnest(range(len(t)))::INT AS pos, unnest(t) AS token FROM (SELECT doc_id, {_PRETOKENS_SQL.format('text')} AS t FROM documents)",
+)
 def pretokenize(spark, sf_dir):
     docs = inputs.documents(spark, sf_dir, "doc_id", "text")
     return docs.select("doc_id", F.posexplode(bpe.pretokens(F.col("text"))).alias("pos", "token"))
 
 
-@query("pretoken_counts")
+@query(
+    "pretoken_counts",
+    f"""WITH parts AS (SELECT string_split(text, chr(10)) AS p FROM documents),
+    lines AS (SELECT unnest(list_concat(list_transform(p[:-2], lambda x: x || chr(10)), p[-1:])) AS line FROM parts)
+    SELECT token, count(*) AS n FROM (SELECT unnest({_PRETOKENS_SQL.format('line')}) AS token FROM lines) GROUP BY token""",
+)
 def pretoken_counts(spark, sf_dir):
     return bpe.pretoken_counts(inputs.documents(spark, sf_dir, "text"), "text")
 
@@ -205,6 +222,22 @@ def encode_docs(spark, sf_dir):
     return encoded.select("source", "chunk", F.size("ids").alias("n_ids"), _show("ids").alias("ids"))
 
 
+@query("decode_docs", "SELECT doc_id, text FROM documents")
+def decode_docs(spark, sf_dir):
+    """Documents encoded and decoded again, special tokens shown."""
+    tokenizer = trained(spark, sf_dir)
+    encoded = inputs.documents(spark, sf_dir, "doc_id", "text").select("doc_id", bpe.encode(tokenizer, F.col("text")).alias("ids"))
+    return encoded.select("doc_id", bpe.decode(tokenizer, F.col("ids"), skip_special=False).alias("text"))
+
+
+@query("sample_encodings")
+def sample_encodings(spark, sf_dir):
+    """The first thirty tokens of every conversation turn."""
+    turns = inputs.conversations(spark, sf_dir)
+    sampled = bpe.sample_encodings(trained(spark, sf_dir), turns, "text", "conv_id", "turn")
+    return sampled.select("conv_id", "turn", F.array_join("tokens", " ").alias("tokens"), _show("ids").alias("ids"), "length")
+
+
 @query("token_preview")
 def token_preview(spark, sf_dir):
     tokenizer = trained(spark, sf_dir)

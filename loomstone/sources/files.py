@@ -46,20 +46,34 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, closing_line: bool = False) -> DataFrame:
     """Files as ``(source, line_no, line)`` with dense line numbers from 1.
 
     Files are read split by split; a line's number is its place in the split
-    plus the lines of earlier splits, so large files stay split.
+    plus the lines of earlier splits, so large files stay split. With
+    ``closing_line`` a file that ends in a newline also gives the empty line
+    behind it, so that its lines joined by newlines are exactly the file.
     """
     raw = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("source"),
         F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_size").alias("size"),
         F.monotonically_increasing_id().alias("place"),
         F.validate_utf8("value").alias("line"),
     )
-    numbered = scan.running(raw, ["source"], ["block", "place"], F.col("block"), {"line_no": ("count", "place")})
-    return numbered.select("source", "line_no", "line")
+    numbered = scan.running(
+        raw.drop("size"), ["source"], ["block", "place"], F.col("block"), {"line_no": ("count", "place")}
+    ).select("source", "line_no", "line")
+    if not closing_line:
+        return numbered
+    # Every line ended by a newline: the lines and their newlines fill the file.
+    ended = (
+        raw.groupBy("source")
+        .agg(F.count("*").alias("n"), F.sum(F.octet_length("line") + 1).alias("bytes"), F.max("size").alias("size"))
+        .where("bytes = size")
+        .select("source", (F.col("n") + 1).alias("line_no"), F.lit("").alias("line"))
+    )
+    return numbered.unionByName(ended)
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:

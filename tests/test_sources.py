@@ -5,6 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from loomstone.operators import packing
 from loomstone.plans import corpus
 from loomstone.sources import files, sinks
 
@@ -78,7 +79,22 @@ def test_records_of_every_kind_of_file(spark, tmp_path):
     assert texts(write(tmp_path, "a.jsonl", '{"t": " x ", "u": " "}\n{"t": 5}\n{"u": "y"}\n'), ["t", "u"]) == ["x|", "y"]
     assert texts(write(tmp_path, "a.json", '[{"t": "x"}, {"u": "z"}]'), ["t", "u"]) == ["x", "z"]
     assert texts(write(tmp_path, "a.csv", "t,u\n x , \n,\n,b\n"), ["t", "u"]) == ["x", "b"]
-    assert texts(write(tmp_path, "a.txt", "plain\ntext")) == ["plain\ntext"]
+    assert texts(write(tmp_path, "a.txt", "plain\ntext")) == ["plain", "text"]
+
+
+def test_corpus_of_files_is_each_file_joined(spark, tmp_path):
+    paths = [
+        write(tmp_path, "a.jsonl", '{"t": " x "}\n{"t": "yy"}\n'),
+        write(tmp_path, "b.txt", "plain\n\ntext\r\n\n"),
+        write(tmp_path, "c.txt", "no newline at the end 世"),
+        write(tmp_path, "d.csv", "t,u\n1,2\n,3\n"),
+    ]
+    records, order = corpus.read_corpus(spark, paths, {"a.jsonl": ["t"], "d.csv": ["t", "u"]})
+    chunks = packing.chunk_text(records, ["source"], "rec_ord", "text", 5, F.col("gap"))
+    whole = {}
+    for r in chunks.join(order, "source").orderBy("file_ord", "chunk").collect():
+        whole[r.file_ord] = whole.get(r.file_ord, "") + r.text
+    assert whole == {0: "x\n\nyy", 1: "plain\n\ntext\r\n\n", 2: "no newline at the end 世", 3: "1\n2\n\n3"}
 
 
 def test_sinks(spark, tmp_path):

@@ -100,6 +100,15 @@ def test_token_preview_shows_each_token_decoded(spark, trained):
     assert [r.shown for r in shown] == [reference.decode([i]) for i in ids]
 
 
+def test_decoding_follows_the_library(spark, trained):
+    tokenizer, reference, texts = trained
+    lists = [reference.encode(t).ids for t in [*texts[:20], "a</s>b <pad>"]] + [[], [4], list(range(5, 60))]
+    df = spark.createDataFrame([(x,) for x in lists], "ids array<int>")
+    got = df.select(bpe.decode(tokenizer, F.col("ids")).alias("t"), bpe.decode(tokenizer, F.col("ids"), False).alias("u")).collect()
+    assert [r.t for r in got] == [reference.decode(x) for x in lists]
+    assert [r.u for r in got] == [reference.decode(x, skip_special_tokens=False) for x in lists]
+
+
 def test_special_tokens_are_appended_once(trained):
     tokenizer, _, _ = trained
     grown, added = tokenizer.with_special(tp.TEMPLATE_TOKENS["llama"])
