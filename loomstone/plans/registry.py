@@ -34,6 +34,7 @@ def load_all() -> None:
         extract_queries,
         metering_queries,
         profile_queries,
+        source_queries,
         telemetry_queries,
         token_queries,
     )

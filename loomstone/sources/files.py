@@ -83,27 +83,27 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Objects of JSON documents as ``(source, line_no, line)``.
+    """Objects of JSON documents as ``(source, line_no, line)``; malformed documents are an error."""
+    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("doc"))
+    return json_documents(docs, "source", "doc")
 
-    A document is an array of objects, one object, or ``{"data": [...]}``.
-    """
-    docs = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("source"), F.parse_json("value").alias("doc")
-    )
+
+def json_documents(docs: DataFrame, source: str, text: str) -> DataFrame:
+    """Objects inside JSON documents: an array of objects, one object, or ``{"data": [...]}``."""
+    spark = docs.sparkSession
+    parsed = docs.select(source, F.parse_json(text).alias("doc"))
     listed = F.when(F.schema_of_variant("doc").like("ARRAY%"), F.col("doc")).otherwise(
         F.expr("try_variant_get(doc, '$.data', 'variant')")
     )
-    shaped = docs.withColumn("listed", listed)
-    is_list = F.schema_of_variant("listed").like("ARRAY%")
+    shaped = parsed.withColumn("listed", listed)
+    is_list = F.coalesce(F.schema_of_variant("listed").like("ARRAY%"), F.lit(False))
     several = shaped.where(is_list).lateralJoin(spark.tvf.variant_explode(F.col("listed").outer()))
-    several = several.select("source", (F.col("pos") + 1).cast("bigint").alias("line_no"), "value")
-    single = shaped.where(F.col("listed").isNull() | ~is_list).select(
-        "source", F.lit(1).cast("bigint").alias("line_no"), F.col("doc").alias("value")
-    )
+    several = several.select(source, (F.col("pos") + 1).cast("bigint").alias("line_no"), "value")
+    single = shaped.where(~is_list).select(source, F.lit(1).cast("bigint").alias("line_no"), F.col("doc").alias("value"))
     return (
         several.unionByName(single)
         .where(F.schema_of_variant("value").like("OBJECT%"))
-        .select("source", "line_no", F.to_json("value").alias("line"))
+        .select(source, "line_no", F.to_json("value").alias("line"))
     )
 
 
