@@ -20,12 +20,11 @@ def duck(data):
 
 
 def plain(value):
-    return (type(value).__name__, repr(value)) if isinstance(value, (float, bool, int)) else (value is None, str(value))
+    return f"{type(value).__name__} {value!r}" if isinstance(value, (float, bool, int)) else f"- {value}"
 
 
 def test_every_statement_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert all(not name.startswith("op") and "pipeline" not in name for name in QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
