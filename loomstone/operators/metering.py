@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,6 +15,8 @@ WINDOW_SECONDS = 60
 RETENTION_DAYS = 30
 QUOTA_WARNING = 80
 DAY_SECONDS = 86_400
+# Times stale slots are folded again in parallel before busy keys are folded in order.
+PARALLEL_ROUNDS = 4
 
 
 def micros(ts) -> Column:
@@ -87,34 +89,87 @@ def daily_quota(candidates: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     return counted.withColumn("decision", F.when(admitted, "ok").otherwise("quota")).drop("__us")
 
 
-def _fold_windows(window_us: int):
-    """Rate decisions of sorted requests, slot by slot; state is at most ``rpm`` times per key."""
+def _admit(us: np.ndarray, times: list[int], rpm: int, window_us: int) -> np.ndarray:
+    """Which of the sorted requests the rolling limit admits; ``times`` are the admissions still counted.
+
+    A full window refuses everything up to the moment its oldest admission
+    leaves, found by binary search, so the cost follows the admissions.
+    """
+    admitted = np.zeros(len(us), dtype=bool)
+    i = 0
+    while i < len(us):
+        now = int(us[i])
+        while times and times[0] <= now - window_us:
+            times.pop(0)
+        if len(times) >= rpm:
+            i += int(np.searchsorted(us[i:], times[0] + window_us))
+            continue
+        admitted[i] = True
+        times.append(now)
+        i += 1
+    return admitted
+
+
+def _runs(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of rows that agree in all columns."""
+    n = len(columns[0])
+    if n == 0:
+        return []
+    edges = np.zeros(n - 1, dtype=bool)
+    for column in columns:
+        edges |= column[1:] != column[:-1]
+    starts = [0, *(np.nonzero(edges)[0] + 1).tolist(), n]
+    return list(zip(starts, starts[1:]))
+
+
+def _fold_slots(window_us: int):
+    """Rate decisions of sorted requests, slot by slot; rows marked ``carried`` are earlier admissions."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, times = None, []
+        for batch in batches:
+            key, slot, us = (batch[c].to_numpy() for c in ("key_id", "slot", "us"))
+            carried, rpm = batch["carried"].to_numpy(), batch["rpm"].to_numpy()
+            passed = np.zeros(len(batch), dtype=bool)
+            for start, end in _runs(key, slot):
+                if current != (key[start], slot[start]):
+                    current, times = (key[start], slot[start]), []
+                first = start + int(carried[start:end].sum())
+                times.extend(us[start:first].tolist())
+                passed[first:end] = _admit(us[first:end], times, int(rpm[start]), window_us)
+            out = batch.assign(rate_ok=passed)[~carried]
+            yield out[["key_id", "slot", "us", "event_id", "daily_limit", "rate_ok"]]
+
+    return fold
+
+
+def _fold_keys(window_us: int):
+    """Quota and rate decisions of whole keys in order: the state is a counter and at most ``rpm`` times."""
+    day_us = DAY_SECONDS * 1_000_000
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slot, recent = None, deque()
+        current, times, day, used = None, [], None, 0
         for batch in batches:
-            flags = []
-            rows = zip(batch["key_id"], batch["slot"], batch["us"], batch["rpm"], batch["carried"])
-            for key_id, number, us, rpm, carried in rows:
-                if slot != (key_id, number):
-                    slot = (key_id, number)
-                    recent = deque(sorted(carried) if carried is not None else ())
-                while recent and recent[0] <= us - window_us:
-                    recent.popleft()
-                passed = len(recent) < rpm
-                if passed:
-                    recent.append(us)
-                flags.append(passed)
-            yield pd.DataFrame(
-                {
-                    "key_id": batch["key_id"],
-                    "slot": batch["slot"],
-                    "us": batch["us"],
-                    "event_id": batch["event_id"],
-                    "daily_limit": batch["daily_limit"],
-                    "rate_ok": flags,
-                }
-            )
+            key, us, limit, rpm = (batch[c].to_numpy() for c in ("key_id", "us", "daily_limit", "rpm"))
+            days = us // day_us
+            decisions = np.full(len(batch), "quota", dtype=object)
+            for start, end in _runs(key, days):
+                if current != key[start]:
+                    current, times, day = key[start], [], None
+                if day != days[start]:
+                    day, used = days[start], 0
+                allowed = int(limit[start]) - used if limit[start] > 0 else end - start
+                before = list(times)
+                passed = _admit(us[start:end], times, int(rpm[start]), window_us)
+                stop = end
+                if int(passed.sum()) >= allowed > 0 or allowed <= 0:
+                    # Everything behind the last admission the quota leaves is refused by the quota.
+                    hits = np.nonzero(passed)[0][: max(allowed, 0)]
+                    stop = start + (int(hits[-1]) + 1 if len(hits) else 0)
+                    times = (before + us[start:stop][passed[: stop - start]].tolist())[-int(rpm[start]) :]
+                decisions[start:stop] = np.where(passed[: stop - start], "ok", "rpm")
+                used += int(passed[: stop - start].sum())
+            yield pd.DataFrame({"key_id": batch["key_id"], "event_id": batch["event_id"], "decision": decisions})
 
     return fold
 
@@ -139,7 +194,10 @@ def _quota_labels(flagged: DataFrame, slots_per_day: int) -> DataFrame:
 
 
 def rate_and_quota(
-    candidates: DataFrame, window_seconds: int = WINDOW_SECONDS, slot_seconds: int | None = None, max_rounds: int = 10_000
+    candidates: DataFrame,
+    window_seconds: int = WINDOW_SECONDS,
+    slot_seconds: int | None = None,
+    parallel_rounds: int = PARALLEL_ROUNDS,
 ) -> DataFrame:
     """Decisions ok / quota / rpm for requests of keys with a rolling limit.
 
@@ -147,63 +205,80 @@ def rate_and_quota(
     key's time is cut into slots, all folded in parallel from an assumed empty
     window; then the true window at each slot's start is read off the previous
     slot's admissions, and only slots that were given another one are folded
-    again, until nothing changes. A slot is final once those before it are, so
-    the result is exact; a key with quiet stretches settles in a round or two,
-    however large its share of the requests. State per slot is at most ``rpm``
-    times. Inside a slot requests are streamed in order, never held.
+    again. A slot is final once those before it are, so a key without stale
+    slots is exact; with quiet stretches or a quota that is met, that takes a
+    round or two however large the key is. Keys that are busy without a pause,
+    whose slots would settle one by one, are finished by a fold in order.
+    All folds stream sorted rows and keep at most ``rpm`` times.
     """
     if slot_seconds is None:
-        slot_seconds = next(s for s in (3600, 7200, 14_400, 21_600, 43_200, DAY_SECONDS) if s >= min(window_seconds, DAY_SECONDS))
+        slot_seconds = next(
+            (s for s in (3600, 7200, 14_400, 21_600, 43_200) if s >= window_seconds), DAY_SECONDS
+        )
     if DAY_SECONDS % slot_seconds or window_seconds > slot_seconds:
         raise ValueError("a slot must divide the day and be at least as long as the window")
     window_us, slot_us = window_seconds * 1_000_000, slot_seconds * 1_000_000
-    slots_per_day = DAY_SECONDS // slot_seconds
+    key_type = candidates.schema["key_id"].dataType.simpleString()
     timed = checkpointed(
         candidates.select(
-            "key_id", "event_id", micros("ts").alias("us"), F.col("rpm").cast("int"), F.col("daily_limit").cast("int")
-        ).withColumn(
-            "slot", F.expr(f"us div {slot_us}")
-        )
-    )
-    fold_schema = "key_id {}, slot bigint, us bigint, event_id bigint, daily_limit int, rate_ok boolean".format(
-        timed.schema["key_id"].dataType.simpleString()
+            "key_id",
+            "event_id",
+            micros("ts").alias("us"),
+            F.col("rpm").cast("int"),
+            F.col("daily_limit").cast("int"),
+            F.lit(False).alias("carried"),
+        ).withColumn("slot", F.expr(f"us div {slot_us}"))
     )
 
-    def fold(requests: DataFrame) -> DataFrame:
-        ordered = requests.select("key_id", "slot", "us", "event_id", "rpm", "daily_limit", "carried")
-        ordered = ordered.repartition("key_id", "slot").sortWithinPartitions("key_id", "slot", "us", "event_id")
-        return ordered.mapInPandas(_fold_windows(window_us), fold_schema)
+    def fold(rows: DataFrame) -> DataFrame:
+        ordered = rows.repartition("key_id", "slot").sortWithinPartitions("key_id", "slot", "us", "event_id")
+        return ordered.mapInPandas(
+            _fold_slots(window_us),
+            f"key_id {key_type}, slot bigint, us bigint, event_id bigint, daily_limit int, rate_ok boolean",
+        )
 
-    def windows(labelled: DataFrame) -> DataFrame:
+    def handed_on(labelled: DataFrame) -> DataFrame:
         """What each slot hands to the next: admitted times still inside the window (at most rpm)."""
         late = labelled.where((F.col("decision") == "ok") & (F.col("us") > (F.col("slot") + 1) * slot_us - window_us))
-        return late.groupBy("key_id", (F.col("slot") + 1).alias("slot")).agg(F.array_sort(F.collect_list("us")).alias("carried"))
+        return late.groupBy("key_id", (F.col("slot") + 1).alias("slot")).agg(
+            F.array_sort(F.collect_list("us")).alias("times")
+        )
 
     empty = F.array().cast("array<bigint>")
-    flagged = checkpointed(fold(timed.withColumn("carried", empty)))
-    first_times = timed.groupBy("key_id", "slot").agg(F.min("us").alias("first_us"))
-    given = first_times.withColumn("carried", empty)
-    for _ in range(max_rounds):
-        labelled = _quota_labels(flagged, slots_per_day)
-        wanted = first_times.join(windows(labelled), ["key_id", "slot"], "left").select(
+    slots = timed.groupBy("key_id", "slot").agg(F.min("us").alias("first_us"), F.max("rpm").alias("rpm"))
+    flagged, given = checkpointed(fold(timed)), checkpointed(slots.withColumn("times", empty))
+    for number in range(parallel_rounds + 1):
+        labelled = _quota_labels(flagged, DAY_SECONDS // slot_seconds)
+        true_times = handed_on(labelled).withColumnRenamed("times", "true_times")
+        # Times that have left the window by the slot's first request play no part.
+        counted = F.filter(F.coalesce("true_times", empty), lambda t: t > F.col("first_us") - window_us)
+        compared = given.join(true_times, ["key_id", "slot"], "left").select(
+            "key_id", "slot", "first_us", "rpm", counted.alias("times"), (F.col("times") != counted).alias("stale")
+        )
+        compared = checkpointed(compared)
+        stale = compared.where("stale")
+        decided = labelled.select("key_id", "event_id", "decision")
+        if stale.isEmpty():
+            return decided
+        if number == parallel_rounds:
+            break
+        carried = stale.select(
             "key_id",
+            F.lit(-1).cast("bigint").alias("event_id"),
+            F.explode("times").alias("us"),
+            "rpm",
+            F.lit(0).alias("daily_limit"),
+            F.lit(True).alias("carried"),
             "slot",
-            # Times that have left the window by the slot's first request play no part.
-            F.filter(F.coalesce("carried", empty), lambda t: t > F.col("first_us") - window_us).alias("wanted"),
-        )
-        stale = checkpointed(
-            given.join(wanted, ["key_id", "slot"]).select(
-                "key_id", "slot", "first_us", F.col("wanted").alias("carried"), (F.col("carried") != F.col("wanted")).alias("stale")
-            )
         )
-        changed = stale.where("stale").select("key_id", "slot", "carried")
-        if changed.isEmpty():
-            return labelled.select("key_id", "event_id", "decision")
-        again = fold(timed.join(changed, ["key_id", "slot"]))
-        kept = flagged.join(changed.select("key_id", "slot"), ["key_id", "slot"], "left_anti")
-        flagged = checkpointed(kept.unionByName(again))
-        given = stale.drop("stale")
-    raise RuntimeError("rate limits did not settle")
+        here = stale.select("key_id", "slot")
+        again = fold(timed.join(here, ["key_id", "slot"], "left_semi").unionByName(carried))
+        kept = flagged.join(here, ["key_id", "slot"], "left_anti")
+        flagged, given = checkpointed(kept.unionByName(again)), compared.drop("stale")
+    busy = stale.select("key_id").distinct()
+    in_order = timed.join(busy, "key_id", "left_semi").repartition("key_id").sortWithinPartitions("key_id", "us", "event_id")
+    finished = in_order.mapInPandas(_fold_keys(window_us), f"key_id {key_type}, event_id bigint, decision string")
+    return decided.join(busy, "key_id", "left_anti").unionByName(finished)
 
 
 def decide(

@@ -96,6 +96,17 @@ def test_batch_decisions_are_the_sequential_ones(spark, seed, window, slot):
     assert got == reference(requests, keys, window)
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 50])
+@pytest.mark.parametrize("seed", [4, 5])
+def test_busy_keys_are_finished_in_order(spark, seed, rounds):
+    requests, keys = random_case(seed)
+    joined = op.join_keys(spark.createDataFrame(requests, REQUEST).repartition(4), spark.createDataFrame(keys, KEYS))
+    rated = joined.where(op.stateless_reason(joined).isNull()).where("rpm > 0")
+    got = decisions(op.rate_and_quota(rated, 600, 600, parallel_rounds=rounds))
+    expected = reference(requests, keys, 600)
+    assert got and got == {event: expected[event] for event in got}
+
+
 def test_stream_in_many_batches_is_the_batch_result(spark, tmp_path):
     requests, keys = random_case(9, 400)
     folder = tmp_path / "in"
