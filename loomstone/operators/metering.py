@@ -17,6 +17,8 @@ QUOTA_WARNING = 80
 DAY_SECONDS = 86_400
 # Times stale slots are folded again in parallel before busy keys are folded in order.
 PARALLEL_ROUNDS = 4
+# Requests up to which a key is folded whole instead of split in time.
+HEAVY_ROWS = 1_000_000
 
 
 def micros(ts) -> Column:
@@ -198,18 +200,48 @@ def rate_and_quota(
     window_seconds: int = WINDOW_SECONDS,
     slot_seconds: int | None = None,
     parallel_rounds: int = PARALLEL_ROUNDS,
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Decisions ok / quota / rpm for requests of keys with a rolling limit.
 
-    Admissions feed back: only admitted requests fill the rolling window. A
-    key's time is cut into slots, all folded in parallel from an assumed empty
-    window; then the true window at each slot's start is read off the previous
-    slot's admissions, and only slots that were given another one are folded
-    again. A slot is final once those before it are, so a key without stale
-    slots is exact; with quiet stretches or a quota that is met, that takes a
-    round or two however large the key is. Keys that are busy without a pause,
-    whose slots would settle one by one, are finished by a fold in order.
-    All folds stream sorted rows and keep at most ``rpm`` times.
+    Admissions feed back: only admitted requests fill the rolling window, so a
+    key is folded in order. Keys of up to ``heavy_rows`` requests are streamed
+    whole; heavier ones are split in time (see ``_fold_in_slots``).
+    """
+    timed = checkpointed(
+        candidates.select(
+            "key_id", "event_id", micros("ts").alias("us"), F.col("rpm").cast("int"), F.col("daily_limit").cast("int")
+        )
+    )
+    heavy = timed.groupBy("key_id").count().where(F.col("count") > heavy_rows).select("key_id")
+    light = _fold_in_order(timed.join(heavy, "key_id", "left_anti"), window_seconds)
+    if heavy.isEmpty():
+        return light
+    rows = timed.join(heavy, "key_id", "left_semi")
+    return light.unionByName(_fold_in_slots(rows, window_seconds, slot_seconds, parallel_rounds))
+
+
+def _fold_in_order(timed: DataFrame, window_seconds: int) -> DataFrame:
+    # Partitioned by a hash of the key, so that no join below can stand in for this shuffle
+    # and be split by its skew handling: the rows of a key must stay together and in order.
+    ordered = timed.repartition(F.xxhash64("key_id")).sortWithinPartitions("key_id", "us", "event_id")
+    key_type = timed.schema["key_id"].dataType.simpleString()
+    return ordered.mapInPandas(
+        _fold_keys(window_seconds * 1_000_000), f"key_id {key_type}, event_id bigint, decision string"
+    )
+
+
+def _fold_in_slots(timed: DataFrame, window_seconds: int, slot_seconds: int | None, parallel_rounds: int) -> DataFrame:
+    """Decisions for heavy keys, their time cut into slots that are folded in parallel.
+
+    Every slot is first folded from an empty window; then the true window at
+    each slot's start is read off the previous slot's admissions, and only
+    slots that were given another one are folded again. A slot is final once
+    those before it are, so a key without stale slots is exact; with quiet
+    stretches or a quota that is met, that takes a round or two however large
+    the key is. Keys that are busy without a pause, whose slots would settle
+    one by one, are finished by a fold in order. All folds stream sorted rows
+    and keep at most ``rpm`` times.
     """
     if slot_seconds is None:
         slot_seconds = next(
@@ -218,20 +250,11 @@ def rate_and_quota(
     if DAY_SECONDS % slot_seconds or window_seconds > slot_seconds:
         raise ValueError("a slot must divide the day and be at least as long as the window")
     window_us, slot_us = window_seconds * 1_000_000, slot_seconds * 1_000_000
-    key_type = candidates.schema["key_id"].dataType.simpleString()
-    timed = checkpointed(
-        candidates.select(
-            "key_id",
-            "event_id",
-            micros("ts").alias("us"),
-            F.col("rpm").cast("int"),
-            F.col("daily_limit").cast("int"),
-            F.lit(False).alias("carried"),
-        ).withColumn("slot", F.expr(f"us div {slot_us}"))
-    )
+    key_type = timed.schema["key_id"].dataType.simpleString()
+    timed = checkpointed(timed.withColumns({"carried": F.lit(False), "slot": F.expr(f"us div {slot_us}")}))
 
     def fold(rows: DataFrame) -> DataFrame:
-        ordered = rows.repartition("key_id", "slot").sortWithinPartitions("key_id", "slot", "us", "event_id")
+        ordered = rows.repartition(F.xxhash64("key_id", "slot")).sortWithinPartitions("key_id", "slot", "us", "event_id")
         return ordered.mapInPandas(
             _fold_slots(window_us),
             f"key_id {key_type}, slot bigint, us bigint, event_id bigint, daily_limit int, rate_ok boolean",
@@ -276,8 +299,7 @@ def rate_and_quota(
         kept = flagged.join(here, ["key_id", "slot"], "left_anti")
         flagged, given = checkpointed(kept.unionByName(again)), compared.drop("stale")
     busy = stale.select("key_id").distinct()
-    in_order = timed.join(busy, "key_id", "left_semi").repartition("key_id").sortWithinPartitions("key_id", "us", "event_id")
-    finished = in_order.mapInPandas(_fold_keys(window_us), f"key_id {key_type}, event_id bigint, decision string")
+    finished = _fold_in_order(timed.join(busy, "key_id", "left_semi"), window_seconds)
     return decided.join(busy, "key_id", "left_anti").unionByName(finished)
 
 
@@ -287,6 +309,7 @@ def decide(
     sharing: bool = True,
     window_seconds: int = WINDOW_SECONDS,
     slot_seconds: int | None = None,
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Every request ``(event_id, key_id, model, ts)`` with its decision.
 
@@ -302,7 +325,8 @@ def decide(
         return refused
     free = rest.where("rpm = 0 AND daily_limit = 0").select("event_id", "key_id", F.lit("ok").alias("decision"))
     quota = daily_quota(rest.where("rpm = 0 AND daily_limit > 0")).select("event_id", "key_id", "decision")
-    rated = rate_and_quota(rest.where("rpm > 0"), window_seconds, slot_seconds).select("event_id", "key_id", "decision")
+    rated = rate_and_quota(rest.where("rpm > 0"), window_seconds, slot_seconds, heavy_rows=heavy_rows)
+    rated = rated.select("event_id", "key_id", "decision")
     return refused.unionByName(free).unionByName(quota).unionByName(rated)
 
 

@@ -124,9 +124,9 @@ def daily_quota(spark, sf_dir):
     f"WITH RECURSIVE {_KEYS_SQL.strip()}, {_fold_sql('0')} SELECT event_id, key_id, decision FROM fold WHERE rn > 0 AND key_id % 3 <> 0",
 )
 def rolling_rate_limit(spark, sf_dir):
-    """Only the rolling limit: the quota of every limited key is lifted."""
+    """Only the rolling limit: the quota of every limited key is lifted. Keys above 60 requests are split in time."""
     limited = _eligible(spark, sf_dir).where("rpm > 0").withColumn("daily_limit", F.lit(0))
-    return op.rate_and_quota(limited, WINDOW).select("event_id", "key_id", "decision")
+    return op.rate_and_quota(limited, WINDOW, heavy_rows=60).select("event_id", "key_id", "decision")
 
 
 _DECIDED_SQL = f"""{_KEYS_SQL.strip()}, {_fold_sql('daily_limit')},
