@@ -92,7 +92,7 @@ def random_case(seed, n=900):
 def test_batch_decisions_are_the_sequential_ones(spark, seed, window, slot):
     requests, keys = random_case(seed)
     df = spark.createDataFrame(requests, REQUEST).repartition(5)
-    for heavy_rows in (0, 150, 10_000):
+    for heavy_rows in (0, 150) if seed else (0, 10_000):
         decided = op.decide(df, spark.createDataFrame(keys, KEYS), True, window, slot, heavy_rows)
         assert decisions(decided) == reference(requests, keys, window)
 
@@ -108,8 +108,7 @@ def test_many_requests_in_many_partitions(spark):
         assert decisions(op.rate_and_quota(joined, parallel_rounds=rounds, heavy_rows=heavy_rows)) == expected
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 50])
-@pytest.mark.parametrize("seed", [4, 5])
+@pytest.mark.parametrize("seed,rounds", [(4, 0), (5, 1), (5, 50)])
 def test_busy_keys_are_finished_in_order(spark, seed, rounds):
     requests, keys = random_case(seed)
     joined = op.join_keys(spark.createDataFrame(requests, REQUEST).repartition(4), spark.createDataFrame(keys, KEYS))
