@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# Fields of the training events and of the meta payload.
 EVENT_SCHEMA = (
     "event string, step bigint, total bigint, loss double, lr double, tok_s double, elapsed double, "
     "val_loss double, best_val_loss double, final_val_loss double, path string, params bigint, device string, "

@@ -11,7 +11,6 @@ CONV_TYPE = "array<struct<role:string,content:string>>"
 # Role names of other formats and what they mean.
 USER_ROLES = ["human", "user"]
 ASSISTANT_ROLES = ["gpt", "assistant", "bot"]
-FINETUNE_ROLES = {"human": "user", "gpt": "assistant", "system": "system"}
 
 
 def turn(role, content: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as tx, turns as tn
+from ..functions import turns as tn
 from ..operators import convert as op, formats as fm
 from . import inputs
 from .inputs import DIRTY_SQL, PAIRS_SQL

@@ -3,7 +3,6 @@ import random
 from collections import defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from loomstone.operators import metering as op
 from loomstone.streaming import admission
