@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
-from .common import table
+from . import decontaminate, mixing, near_dedup
+from .common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,5 +16,16 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_minhash_near_dedup,)}
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix_sources(table(spark, sf_dir, "documents"), Scratch(spark, "mixing"))
+    return mixing.taken_words(plan)
+
+
+def op7_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (op5_minhash_near_dedup, op6_source_mixing, op7_pigeonhole_decontamination)
+}
 ORACLES: dict[str, str] = {}
