@@ -22,6 +22,7 @@ VOCABULARY = 4096
 PREFIXES = (4, 5, 6)
 LEAST_DOCS = 3
 GRADES = 4
+TOXIC_FROM = 0.3
 
 # A-Z to lower case, other ASCII marks and controls to a space.
 _PLAIN = bytes(
@@ -193,7 +194,7 @@ def fit(
 
 
 def _scores(model):
-    schema = pa.schema([("linear", pa.float64()), ("at_least", pa.list_(pa.float64()))])
+    kind = pa.list_(pa.float64())
 
     def run(batches):
         known = model.value
@@ -206,13 +207,13 @@ def _scores(model):
                     at, value = known.row((text.as_py() or "").encode())
                     linear[i] = known.weights[at] @ value if at else 0.0
                 p = known.at_least(linear)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(p), schema.field(1).type)], names=["id", "at_least"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(p), kind)], names=["id", "at_least"])
 
     return run
 
 
-def severity(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, ``expected_severity``, ``severity`` (most grades that are likelier than not), ``p_toxic``, ``toxic``.
+def severity(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_id", text_col: str = "text", toxic_from: float = TOXIC_FROM) -> DataFrame:
+    """One row per row of ``docs``: id, ``expected_severity``, ``severity`` (most grades that are likelier than not), ``p_toxic``, ``toxic`` (from ``toxic_from`` on).
 
     A null or empty text has no features: its severity is that of the cut points alone, in
     practice 0. Repeated rows score alike; a null id stays null; without a model everything is 0 and not
@@ -226,5 +227,5 @@ def severity(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_id", tex
         F.aggregate("at_least", F.lit(0.0), lambda a, p: a + p).alias("expected_severity"),
         F.size(F.filter("at_least", lambda p: p >= 0.5)).alias("severity"),
         F.col("at_least")[0].alias("p_toxic"),
-        (F.col("at_least")[0] >= 0.5).alias("toxic"),
+        (F.col("at_least")[0] >= toxic_from).alias("toxic"),
     )
