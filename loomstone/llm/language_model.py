@@ -163,7 +163,7 @@ def _answer(table: pa.Table) -> pa.Table:
         sent = np.concatenate([_counts_in(r[name], s) for s, r in zip(sizes, rows)])
         totals[name] = np.bincount(inverse, sent, len(known)).astype(np.int64)
     learned = totals["train"] + totals["fold"]
-    start = int(mix(np.array([_START * _WORD], np.uint64))[0] >> np.uint64(16)) << 16
+    start = int(mix(np.array([_START], np.uint64) * _WORD)[0] >> np.uint64(16)) << 16
     words = (known & np.uint64(1)) == 0
     distinct = int(((learned > 0) & words & (known != np.uint64(start))).sum())
     ends = np.cumsum(sizes)
