@@ -25,12 +25,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     step = 0
     while True:
         step += 1
-        seen = (
-            both.join(labels.select(F.col("node").alias("b"), "comp"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("comp").alias("low"))
+        seen = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").select(F.col("a").alias("node"), "comp", F.lit(None).cast("bigint").alias("was"))
+        lower = seen.unionAll(labels.select("node", "comp", F.col("comp").alias("was"))).groupBy("node").agg(
+            F.min("comp").alias("mid"), F.max("was").alias("was")
         )
-        lower = labels.join(seen, "node").select("node", F.col("comp").alias("was"), F.least("comp", "low").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("comp").alias("further"))
         after = scratch.keep(
             lower.join(jump, "mid").select("node", "was", F.least("mid", "further").alias("comp")), f"{name}-{step}"

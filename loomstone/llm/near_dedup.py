@@ -7,10 +7,10 @@ buckets; of every minimum only ``B_BITS`` bits are retained, packed into
 equal fields, corrected for chance collisions. Pairs whose estimate is not clearly too low are
 confirmed on their full sets.
 
-A bucket never emits all its pairs. In a few rounds each bucket compares its
-members with one leader, and members already connected are left out; what is still
-unconnected afterwards is compared across components, so no link between
-components is lost. The result is one row per document with its component.
+A bucket never emits all its pairs. First each bucket compares its members with two
+leaders, those of smallest and largest digest, which are mostly the same in all buckets of a group. What is
+still unconnected in a bucket afterwards is compared across components, so no
+link between components is lost. The result is one row per document with its component.
 """
 
 from __future__ import annotations
@@ -31,11 +31,14 @@ BANDS, ROWS = 32, 4
 B_BITS = 4
 FIELDS = 64 // B_BITS
 SIGMAS = 4.5
-LEADER_ROUNDS = 3
+FINE_HASHES, FINE_BITS = 2048, 2
+TILE_ROWS = 1024
 
 _JOIN = stream(11, WORDS) | np.uint64(1)
 _A = (stream(12, HASHES) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (stream(13, HASHES) >> np.uint64(32)).astype(np.uint32)
+_FINE_A = (stream(16, FINE_HASHES) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_FINE_B = (stream(17, FINE_HASHES) >> np.uint64(32)).astype(np.uint32)
 _BAND = stream(14, ROWS) | np.uint64(1)
 _ORDER = stream(15, BANDS)
 
@@ -60,20 +63,21 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS):
             yield np.zeros(0, np.uint64)
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """``HASHES`` minima over the shingles, 32 bits each."""
+def minima(shingles: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
+    """Minima of the hash functions a * x + b over the shingles, 32 bits each."""
     low = (shingles >> np.uint64(32)).astype(np.uint32)
-    best = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(low), 256):
-        np.minimum(best, (low[None, at : at + 256] * _A[:, None] + _B[:, None]).min(axis=1), out=best)
+    best = np.full(len(a), 0xFFFFFFFF, np.uint32)
+    step = max(1, (1 << 16) // len(a))
+    for at in range(0, len(low), step):
+        np.minimum(best, (low[None, at : at + step] * a[:, None] + b[:, None]).min(axis=1), out=best)
     return best
 
 
-def pack(minimum: np.ndarray) -> np.ndarray:
-    """Low bits of the (scrambled) minima, ``FIELDS`` to a 64-bit word."""
-    bits = mix(minimum.astype(np.uint64)) & np.uint64((1 << B_BITS) - 1)
-    shift = np.arange(FIELDS, dtype=np.uint64) * np.uint64(B_BITS)
-    return (bits.reshape(-1, FIELDS) << shift).sum(axis=1, dtype=np.uint64)
+def pack(minimum: np.ndarray, bits: int = B_BITS) -> np.ndarray:
+    """Low bits of the (scrambled) minima, packed into 64-bit words."""
+    low = mix(minimum.astype(np.uint64)) & np.uint64((1 << bits) - 1)
+    shift = np.arange(64 // bits, dtype=np.uint64) * np.uint64(bits)
+    return (low.reshape(-1, 64 // bits) << shift).sum(axis=1, dtype=np.uint64)
 
 
 def band_keys(minimum: np.ndarray) -> np.ndarray:
@@ -113,15 +117,15 @@ def _full_sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(places, values)], schema=schema)
 
 
-def least_equal_fields(percent: int = PERCENT) -> int:
+def least_equal_fields(percent: int = PERCENT, hashes: int = HASHES, bits: int = B_BITS) -> int:
     """Equal fields that a pair at the threshold has but for ``SIGMAS`` standard deviations.
 
-    A field of a pair of similarity J is equal with probability J + (1 - J) / 2**B_BITS, which is the
+    A field of a pair of similarity J is equal with probability J + (1 - J) / 2**bits, which is the
     collision correction solved for the count.
     """
-    chance = 1 / (1 << B_BITS)
+    chance = 1 / (1 << bits)
     p = percent / 100 + (1 - percent / 100) * chance
-    return int(HASHES * p - SIGMAS * (HASHES * p * (1 - p)) ** 0.5)
+    return int(hashes * p - SIGMAS * (hashes * p * (1 - p)) ** 0.5)
 
 
 def estimate(equal):
@@ -146,6 +150,51 @@ def equal_fields(a: str, b: str):
     return F.lit(HASHES) - total
 
 
+def _fine(batches):
+    """Long signatures of sets: 2-bit fields of many more minima."""
+    for batch in batches:
+        lists = batch.column(1)
+        packed = [pack(minima(v.values.to_numpy().view(np.uint64), _FINE_A, _FINE_B), FINE_BITS).tobytes() for v in lists]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "fine"])
+
+
+def _across(percent: int):
+    least = least_equal_fields(percent, FINE_HASHES, FINE_BITS)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    odd = np.uint64(0x5555555555555555)
+
+    def run(table: pa.Table) -> pa.Table:
+        """Likely pairs of one tile of a bucket: of two blocks, or within one, whose components differ."""
+        one = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        node, comp, n, own = (table.column(c).to_numpy() for c in ("node", "comp", "n", "own"))
+        fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint64).reshape(len(node), -1)
+        bands = np.array(table.column("bands").to_pylist(), np.int64)
+        key = table.column("key")[0].as_py()
+        here = np.flatnonzero(own == table.column("i")[0].as_py())
+        there = here if one else np.flatnonzero(own != table.column("i")[0].as_py())
+        left, right = [], []
+        for x in here:
+            near = there[(comp[there] != comp[x]) & (np.minimum(n[there], n[x]) * 100 >= np.maximum(n[there], n[x]) * percent)]
+            if one:
+                near = near[node[near] > node[x]]
+            if not len(near):
+                continue
+            differ = fine[near] ^ fine[x]
+            same = FINE_HASHES - np.bitwise_count((differ | (differ >> np.uint64(1))) & odd).sum(axis=1, dtype=np.int64)
+            near = near[same >= least]
+            if len(near):  # a pair is put out by the first bucket that both are in
+                shared = bands[near] == bands[x]
+                near = near[bands[x][shared.argmax(axis=1)] == key]
+                left.append(np.full(len(near), node[x]))
+                right.append(node[near])
+        if not left:
+            return schema.empty_table()
+        a, b = np.concatenate(left), np.concatenate(right)
+        return pa.Table.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+
+    return run
+
+
 def _near_size(a: str, b: str, percent: int):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
@@ -223,38 +272,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         a = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
         b = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
         likely = _near_size("na", "nb", percent) & (equal_fields("ka", "kb") >= least)
-        return pairs.join(a, "a").join(b, "b").where(likely).select("a", "b").distinct()
-
-    for turn in range(LEADER_ROUNDS):
-        here = labelled()
-        leaders = (
-            here.groupBy("key")
-            .agg(
-                F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node", "comp")).alias("lead"),
-                F.min("comp").alias("low"), F.max("comp").alias("high"),
-            )
-            .where("low <> high")
-            .select("key", F.col("lead.node").alias("lead"), F.col("lead.comp").alias("lead_comp"))
-        )
-        pairs = (
-            here.join(leaders, "key").where("comp <> lead_comp")
-            .select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-        )
-        links = confirmed(scratch.keep(sketched(pairs), f"pairs-{turn}"), f"links-{turn}")
-        if links.limit(1).count() == 0:
-            break
-        labels = merged(links, f"comp-{turn}")
-    here = labelled().join(sketches, "node")
-    open_keys = labelled().groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    here = scratch.keep(here.join(open_keys, "key"), "open")
-    one = here.select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
-    two = here.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
-    across = one.join(
-        two,
-        (one.key == two.key) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-        & _near_size("na", "nb", percent) & (equal_fields("ka", "kb") >= least),
+        return pairs.join(a, "a").join(b, "b").where(likely).select("a", "b")
+
+    order = F.xxhash64("node")
+    leaders = buckets.groupBy("key").agg(F.min(F.struct(order, "node")).alias("x"), F.max(F.struct(order, "node")).alias("y"))
+    leaders = leaders.select("key", F.explode(F.array("x.node", "y.node")).alias("lead"))
+    pairs = buckets.join(leaders, "key").where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
+    links = confirmed(scratch.keep(sketched(pairs.distinct()), "pairs-leaders"), "links-leaders")
+    if links.limit(1).count():
+        labels = merged(links, "comp-leaders")
+    here = labelled()
+    unlinked = (
+        here.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("rows")).where("x <> y")
+        .select("key", F.ceil(F.col("rows") / TILE_ROWS).cast("int").alias("blocks"))
+    )
+    here = scratch.keep(here.join(unlinked, "key"), "open")
+    fine = sets.join(here.select("node").distinct(), "node", "left_semi").mapInArrow(_fine, "node bigint, fine binary")
+    described_open = scratch.keep(fine.join(classes.select("node", "n", "bands"), "node"), "fine")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    tiles = here.join(described_open, "node").withColumn("own", block)
+    tiles = tiles.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "fine", "bands"
     )
-    links = confirmed(scratch.keep(across.select("a", "b").distinct(), "pairs-across"), "links-across")
+    across = tiles.groupBy("key", "i", "j").applyInArrow(_across(percent), "a bigint, b bigint")
+    links = confirmed(scratch.keep(across.distinct(), "pairs-across"), "links-across")
     if links.limit(1).count():
         labels = merged(links, "comp-across")
     node = classes.select("digest", "node")
@@ -269,5 +310,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))),
         "result",
     )
-    scratch.drop("rows", "classes", "buckets", "sets", "open", "place")
+    scratch.drop("rows", "classes", "buckets", "sets", "open", "fine", "place")
     return out
