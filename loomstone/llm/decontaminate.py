@@ -87,7 +87,7 @@ class Finder:
         """item -> (distance, begin of the window verified, end of the match), the best one for each item."""
         best: dict[int, tuple[int, int, int]] = {}
         tried: dict[int, int] = {}
-        for last, (size, uses) in self.words.iter(text):
+        for last, (size, uses) in self.words.iter(text) if self.items else ():
             for key, offset in uses:
                 item, budget, pattern = self.items[key]
                 if best.get(key, (1,))[0] == 0:
