@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -27,6 +28,7 @@ LEAST_WEIGHT = 1e-6
 BUCKETS = 40
 STEPS_PER_OCTAVE = 4
 NEVER = -(1 << 20)
+HELD = "held-"
 
 TRAIN, FOLD, SCORED = 0, 1, 2
 _END, _START = stream(31, 2)
@@ -52,11 +54,29 @@ def _counts_in(b: bytes, n: int) -> np.ndarray:
     return np.frombuffer(b, np.uint8 if len(b) == n else np.uint32).astype(np.int64)
 
 
+def _grouped(batches):
+    """Documents gathered to batches of about ``BATCH_BYTES``; those of the fold are kept apart from the others."""
+    waiting: dict[bool, list] = {True: [], False: []}
+    size = {True: 0, False: 0}
+    for chunk in chunks(batches, "text", BATCH_BYTES):
+        fold = pc.equal(chunk.column(1), FOLD)
+        for held, rows in ((True, chunk.filter(fold)), (False, chunk.filter(pc.invert(fold)))):
+            if rows.num_rows:
+                waiting[held].append(rows)
+                size[held] += rows.nbytes
+            if size[held] >= BATCH_BYTES:
+                yield held, pa.Table.from_batches(waiting[held]).combine_chunks().to_batches()[0]
+                waiting[held], size[held] = [], 0
+    for held, rows in waiting.items():
+        if rows:
+            yield held, pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+
+
 def _batches(batches):
     """Documents (id, role, text) to one row per batch."""
     part, made = TaskContext.get().partitionId(), 0
     names = [f.split()[0] for f in _BATCH.split(", ")]
-    for batch in chunks(batches, "text", BATCH_BYTES):
+    for held, batch in _grouped(batches):
         made += 1
         words = split_words(*text_buffer(batch.column(2)))
         count = np.bincount(words.doc, minlength=batch.num_rows)
@@ -70,7 +90,7 @@ def _batches(batches):
         role = batch.column(1).to_numpy().astype(np.uint8)
         learned, fold = (int((count + 1)[mask].sum()) for mask in (role != SCORED, role == FOLD))
         values = [
-            f"{part}-{made}", ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), ids.is_null().to_numpy(zero_copy_only=False).tobytes(), role.tobytes(),
+            f"{HELD if held else ''}{part}-{made}", ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), ids.is_null().to_numpy(zero_copy_only=False).tobytes(), role.tobytes(),
             count.astype(np.int64).tobytes(), known[rank].tobytes(), _planes(place[inverse]), learned, fold, int(len(hashes)),
         ]
         yield pa.RecordBatch.from_arrays([pa.array([v]) if not isinstance(v, bytes) else pa.array([v], pa.binary()) for v in values], names=names)
@@ -287,10 +307,10 @@ def score(docs: DataFrame, learns, holds, id_col: str = "doc_id", text_col: str
     answers = scratch.keep(answers, "answers")
     vocabulary = answers.groupBy("part").agg(F.max("distinct").alias("v")).agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
 
-    def together(run, schema):
-        return kept.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, schema)
+    def together(run, schema, which=F.lit(True)):
+        return kept.where(which).groupBy("batch").cogroup(answers.where(which).groupBy("batch")).applyInArrow(run, schema)
 
-    bins = together(_held_out_bins(parts, total - held), "bucket int, two int, one int, n bigint")
+    bins = together(_held_out_bins(parts, total - held), "bucket int, two int, one int, n bigint", F.col("batch").startswith(HELD))
     bins = bins.groupBy("bucket", "two", "one").agg(F.sum("n").alias("n")).collect()
     weights = learn_weights(sorted((tuple(r) for r in bins)), vocabulary)
     found = scratch.keep(together(_scores(parts, total, vocabulary, weights), _SCORE), "scores")
