@@ -41,7 +41,7 @@ FAMILY_MARKERS = [
 
 def capitalize(c: Column) -> Column:
     """First character upper case, the rest lower case."""
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 30)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, F.lit(2), F.length(c))))
 
 
 def header(role: Column, template: str) -> Column:

@@ -101,7 +101,12 @@ def with_optional_system(system: Column, question: Column, answer: Column, stric
 
 def first_two_texts(columns: list[Column], min_chars: int = 5) -> Column:
     """The first two columns (in order) whose stripped text is longer than ``min_chars``."""
-    texts = F.filter(F.array(*[_text(c) for c in columns]), lambda t: F.length(t) > min_chars)
+    return first_two_of(F.array(*columns), min_chars)
+
+
+def first_two_of(values: Column, min_chars: int = 5) -> Column:
+    """As ``first_two_texts``, of the texts in an array."""
+    texts = F.filter(F.transform(values, _text), lambda t: F.length(t) > min_chars)
     return F.when(F.size(texts) >= 2, user_assistant(texts[0], texts[1]))
 
 

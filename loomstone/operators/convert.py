@@ -27,14 +27,22 @@ ANSWER_LINE = "(?isu)^(?:A|Assistant|Bot|答|助手)" + _DELIMITER + "(.+)"
 
 
 def parse_records(df: DataFrame, line: str) -> DataFrame:
-    """Add ``keys`` and the parsed ``rec``; malformed lines and non-objects are dropped."""
+    """Add ``keys``, the parsed ``rec`` and its ``own`` texts; malformed lines and non-objects are dropped."""
     return (
         df.withColumn("keys", fm.record_keys(F.col(line)))
         .where(F.col("keys").isNotNull())
         .withColumn("rec", F.from_json(F.col(line), RECORD_SCHEMA))
+        .withColumn("own", own_texts(F.col(line)))
     )
 
 
+def own_texts(line: Column) -> Column:
+    """The text values of a record, whatever their names, in the record's own key order."""
+    fields = F.map_entries(F.from_json(line, "map<string,variant>"))
+    texts = F.filter(fields, lambda f: F.schema_of_variant(f["value"]) == "STRING")
+    return F.transform(texts, lambda f: f["value"].cast("string"))
+
+
 def split_malformed(df: DataFrame, line: str, line_no: str) -> tuple[DataFrame, DataFrame]:
     """Good lines, and ``(line_no, error)`` of those that are no JSON; blank lines are neither."""
     filled = df.where(~tx.is_blank(F.col(line)))
@@ -74,7 +82,7 @@ def qa_conversation(keys: Column, rec: Column) -> Column:
     return tn.pair_or_null(_field(rec, pair["q"], fm.QUESTION_KEYS), _field(rec, pair["a"], fm.ANSWER_KEYS))
 
 
-def strict_conversation(keys: Column, rec: Column) -> Column:
+def strict_conversation(keys: Column, rec: Column, own: Column) -> Column:
     """Each record converted by the format its keys show, strict about empty contents."""
     listed = F.coalesce(rec["conversations"], rec["messages"])
     fmt = fm.detect_sft(keys, listed.isNotNull(), rec["conversation"].isNotNull())
@@ -85,7 +93,7 @@ def strict_conversation(keys: Column, rec: Column) -> Column:
         .when(fmt == "openorca", tn.with_optional_system(rec["system_prompt"], rec["question"], rec["response"]))
         .when(fmt == "prompt_completion", tn.pair_or_null(rec["prompt"], rec["completion"]))
         .when(F.startswith(fmt, F.lit("qa:")), qa_conversation(keys, rec))
-        .otherwise(tn.first_two_texts([rec[n] for n in TEXT_FIELDS]))
+        .otherwise(tn.first_two_of(own))
     )
 
 

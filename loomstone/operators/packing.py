@@ -120,7 +120,7 @@ def chunk_text(
     def cut() -> Column:
         room = (F.lit(chunk_chars) - F.col("start") % chunk_chars).cast("int")
         head = F.array(F.substring(F.col(text), F.lit(1), room))
-        tail = F.substring(F.col(text), room + 1, F.lit(1 << 30))
+        tail = F.substring(F.col(text), room + 1, F.length(text))
         parts = F.concat(head, F.regexp_extract_all(tail, F.lit(f"(?s).{{1,{chunk_chars}}}"), F.lit(0)))
 
         def piece(part: Column, k: Column) -> Column:

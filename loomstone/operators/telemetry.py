@@ -199,7 +199,7 @@ def sample_timeline(events: DataFrame, run: str, order: str, count: int = 5) ->
         "step",
         "item",
         F.col("s.prompt").alias("prompt"),
-        F.substring(F.col("s.text"), F.length("s.prompt") + 1, F.lit(1 << 30)).alias("generated"),
+        F.substring(F.col("s.text"), F.length("s.prompt") + 1, F.length("s.text")).alias("generated"),
     )
 
 

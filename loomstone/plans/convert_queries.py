@@ -248,9 +248,13 @@ def qa_to_conv(spark, sf_dir):
     SELECT conv_id, turn, {_pair("t[1]", "t[2]")} AS conversation FROM c WHERE len(t) >= 2""",
 )
 def unknown_two_text_cols(spark, sf_dir):
-    rows = inputs.pairs(spark, sf_dir)
+    """JSON records of unknown format: foreign field names, other types between them, key order against the alphabet."""
     label = F.concat(F.lit("id "), F.col("turn").cast("string"))
-    return _shown(rows, tn.first_two_texts([label, F.col("user_text"), F.col("assistant_text")]))
+    record = F.struct(
+        label.alias("zone"), F.col("turn").alias("number"), F.col("user_text").alias("headline"), F.array("turn").alias("extra"), F.col("assistant_text").alias("article")
+    )
+    rows = op.parse_records(inputs.pairs(spark, sf_dir).withColumn("line", F.to_json(record)), "line")
+    return _shown(rows, op.strict_conversation(F.col("keys"), F.col("rec"), F.col("own")))
 
 
 @query(
@@ -384,7 +388,7 @@ def convert_mixed_records(spark, sf_dir):
 def convert_counts(spark, sf_dir):
     parsed = op.parse_records(inputs.dirty_lines(spark, sf_dir), "line")
     return op.convert_counts(
-        parsed.select("fmt", op.strict_conversation(F.col("keys"), F.col("rec")).alias("conv")), "conv", "fmt"
+        parsed.select("fmt", op.strict_conversation(F.col("keys"), F.col("rec"), F.col("own")).alias("conv")), "conv", "fmt"
     )
 
 

@@ -151,31 +151,29 @@ def admission_stream(spark, sf_dir):
 
 
 def _usage(spark, sf_dir):
-    """Day counters of the requests a quota-only service admits."""
-    admitted = op.daily_quota(_eligible(spark, sf_dir)).where("decision = 'ok'")
-    return op.usage_by_day(admitted)
+    """Day counters of the requests that are admitted under all rules, the rolling limit included."""
+    admitted = decisions(spark, sf_dir).where("decision = 'ok'").select("event_id")
+    return op.usage_by_day(requests(spark, sf_dir).join(admitted, "event_id"))
 
 
-_USAGE_SQL = f"""{_KEYS_SQL.strip()},
-admitted AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key_id, day ORDER BY us, event_id) AS rn FROM judged WHERE reason IS NULL) WHERE daily_limit = 0 OR rn <= daily_limit),
-daily AS (SELECT key_id, day, count(*) AS used FROM admitted GROUP BY ALL),
-usage AS (SELECT *, (sum(used) OVER (PARTITION BY key_id ORDER BY day))::BIGINT AS total FROM daily)
+_USAGE_SQL = f"""{_DECIDED_SQL.strip()},
+counted AS (SELECT *, (sum(used) OVER (PARTITION BY key_id ORDER BY day))::BIGINT AS total FROM usage)
 """
 
 
-@query("usage_by_day", f"WITH {_USAGE_SQL} SELECT key_id, day, used, total FROM usage")
+@query("usage_by_day", f"WITH RECURSIVE {_USAGE_SQL} SELECT key_id, day, used, total FROM counted")
 def usage_by_day(spark, sf_dir):
     return _usage(spark, sf_dir).select("key_id", "day", "used", "total")
 
 
-@query("usage_retention", f"WITH {_USAGE_SQL} SELECT key_id, day, used FROM usage WHERE day >= '2024-01-10'")
+@query("usage_retention", f"WITH RECURSIVE {_USAGE_SQL} SELECT key_id, day, used FROM counted WHERE day >= '2024-01-10'")
 def usage_retention(spark, sf_dir):
     return op.retain(_usage(spark, sf_dir), "2024-02-09").select("key_id", "day", "used")
 
 
 @query(
     "key_dashboard",
-    f"""WITH {_USAGE_SQL}, used AS (SELECT key_id, sum(CASE WHEN day = '2024-01-30' THEN used ELSE 0 END)::BIGINT AS today, sum(used)::BIGINT AS total FROM usage GROUP BY key_id)
+    f"""WITH RECURSIVE {_USAGE_SQL}, used AS (SELECT key_id, sum(CASE WHEN day = '2024-01-30' THEN used ELSE 0 END)::BIGINT AS today, sum(used)::BIGINT AS total FROM counted GROUP BY key_id)
     SELECT k.key_id, active, rpm::INT AS rpm, daily_limit::INT AS daily_limit, coalesce(today, 0) AS today_usage, coalesce(total, 0) AS total_usage,
       CASE WHEN daily_limit > 0 THEN floor(coalesce(today, 0) * 100 / daily_limit + 0.5)::BIGINT END AS quota_pct,
       daily_limit > 0 AND floor(coalesce(today, 0) * 100 / daily_limit + 0.5) > 80 AS quota_warning,
@@ -189,8 +187,8 @@ def key_dashboard(spark, sf_dir):
 
 @query(
     "key_totals",
-    f"""WITH {_USAGE_SQL} SELECT (SELECT count(*) FROM keys) AS keys, (SELECT count(*) FROM keys WHERE active) AS active_keys,
-      (SELECT sum(used)::BIGINT FROM usage WHERE day = '2024-01-30') AS today_usage, (SELECT sum(used)::BIGINT FROM usage) AS total_usage""",
+    f"""WITH RECURSIVE {_USAGE_SQL} SELECT (SELECT count(*) FROM keys) AS keys, (SELECT count(*) FROM keys WHERE active) AS active_keys,
+      (SELECT sum(used)::BIGINT FROM counted WHERE day = '2024-01-30') AS today_usage, (SELECT sum(used)::BIGINT FROM counted) AS total_usage""",
 )
 def key_totals(spark, sf_dir):
     return op.dashboard_totals(op.dashboard(api_keys(spark, sf_dir), _usage(spark, sf_dir), AS_OF))

@@ -30,12 +30,14 @@ def get_session(app_name: str = "loomstone", master: str | None = None, **conf)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for lineage cuts: the cluster's shared one, else a local one (tests)."""
+    """Folder for lineage cuts: the cluster's shared one; a local one only where driver and executors are one process."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loomstone-checkpoint-"))
     return sc.getCheckpointDir()
 

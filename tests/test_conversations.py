@@ -188,3 +188,10 @@ def test_import_rows(spark, first, fmt, shape):
     rows = spark.createDataFrame([(json.dumps(first),)], "line string")
     got = corpus.import_rows(rows, "line").first()
     assert got["format"] == fmt and json.loads(got["line"]) == shape
+
+
+def test_unknown_records_take_their_own_texts_in_order(spark):
+    lines = [(1, '{"headline": "some title", "article": "the long text"}'), (2, '{"body": "first one", "n": 5, "title": "second one"}'), (3, '{"z": "only one here"}')]
+    rows = convert.parse_records(spark.createDataFrame(lines, "i int, line string"), "line").orderBy("i")
+    got = [r[0] for r in rows.select(convert.strict_conversation(F.col("keys"), F.col("rec"), F.col("own"))).collect()]
+    assert [[t.content for t in c] if c else None for c in got] == [["some title", "the long text"], ["first one", "second one"], None]
