@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Scratch, chunks, mix, split_words, stream, text_buffer
 
 BATCH_BYTES = 4 << 20
-PART_KEYS = 1 << 20
+PART_KEYS = 1 << 19
 FOLDS = 10
 ROUNDS = 60
 LEAST_WEIGHT = 1e-6
@@ -38,11 +38,13 @@ _BATCH = "batch string, ids binary, missing binary, role binary, words binary, v
 
 
 def _planes(x: np.ndarray) -> bytes:
-    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Small numbers by byte planes, entropy coded."""
+    return pa.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
 
 
-def _from_planes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def _from_planes(b: bytes, n: int) -> np.ndarray:
+    planes = pa.decompress(b, decompressed_size=4 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def _counts_out(x: np.ndarray) -> bytes:
@@ -105,7 +107,7 @@ class Batch:
         self.role = np.frombuffer(row["role"], np.uint8)
         self.words = np.frombuffer(row["words"], np.int64)
         vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
-        self.token = _from_planes(row["tokens"]).astype(np.int64)
+        self.token = _from_planes(row["tokens"], row["n"]).astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.words)), self.words + 1)
         self.first = np.cumsum(self.words + 1) - (self.words + 1)
         self.uni = mix(np.concatenate((vocabulary, [_START])) * _WORD)
