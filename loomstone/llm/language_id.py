@@ -169,11 +169,18 @@ def _frequencies(batches):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Machines | None:
     """Machines learned from at most ``per_language`` documents of every language, those of smallest digest.
 
+    Digests are even, so of a language's ``n`` documents only those with a digest in the lowest
+    ``(2 * per_language + 100) / n`` are ranked: a language of any size costs its rank some hundreds of rows.
     Rows with null text, language or id are left out. None when no language is left.
     """
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.length(text_col).alias("n")).where("n > 0 AND lang IS NOT NULL AND id IS NOT NULL")
-    picked = known.select("id", "lang").distinct().withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= per_language)
+    ids = known.select("id", "lang").distinct()
+    # one row a learned language, each of which has its own weights in the model
+    sizes = F.broadcast(ids.groupBy("lang").agg(F.count("*").alias("size")))
+    share = F.xxhash64("id").cast("double") / 2.0**64 + 0.5
+    lowest = ids.join(sizes, "lang").where(share * F.col("size") <= 2 * per_language + 100)
+    picked = lowest.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= per_language)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("own")).where("text IS NOT NULL")
     rows = texts.join(picked.select("id", "lang"), "id").where("own = lang").select("lang", "text")
     got = rows.mapInArrow(_frequencies, "lang string, at array<int>, value array<float>").toArrow()
