@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,10 +16,9 @@ WINDOW_SECONDS = 60
 RETENTION_DAYS = 30
 QUOTA_WARNING = 80
 DAY_SECONDS = 86_400
-# Times stale slots are folded again in parallel before busy keys are folded in order.
-PARALLEL_ROUNDS = 4
-# Requests up to which a key is folded whole instead of split in time.
-HEAVY_ROWS = 1_000_000
+# Buckets in which quotas are counted, and lengths of the slots in which rolling limits are folded.
+BUCKET_SECONDS = 60
+SLOTS = [3600, 7200, 14_400, 21_600, 43_200]
 
 
 def micros(ts) -> Column:
@@ -72,10 +72,10 @@ def stateless_reason(joined: DataFrame, sharing: bool = True) -> Column:
     )
 
 
-def daily_quota(candidates: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def daily_quota(candidates: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """Requests limited by the day's quota only: the first ``daily_limit`` of a key and day are admitted.
 
-    Requests are counted through hourly buckets, so a key may hold any share
+    Requests are counted through buckets of a minute, so a key may hold any share
     of the table.
     """
     timed = candidates.withColumn("__us", micros("ts")).withColumn("day", day_of("ts"))
@@ -145,45 +145,15 @@ def _fold_slots(window_us: int):
     return fold
 
 
-def _fold_keys(window_us: int):
-    """Quota and rate decisions of whole keys in order: the state is a counter and at most ``rpm`` times."""
-    day_us = DAY_SECONDS * 1_000_000
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, times, day, used = None, [], None, 0
-        for batch in batches:
-            key, us, limit, rpm = (batch[c].to_numpy() for c in ("key_id", "us", "daily_limit", "rpm"))
-            days = us // day_us
-            decisions = np.full(len(batch), "quota", dtype=object)
-            for start, end in _runs(key, days):
-                if current != key[start]:
-                    current, times, day = key[start], [], None
-                if day != days[start]:
-                    day, used = days[start], 0
-                allowed = int(limit[start]) - used if limit[start] > 0 else end - start
-                before = list(times)
-                passed = _admit(us[start:end], times, int(rpm[start]), window_us)
-                stop = end
-                if int(passed.sum()) >= allowed > 0 or allowed <= 0:
-                    # Everything behind the last admission the quota leaves is refused by the quota.
-                    hits = np.nonzero(passed)[0][: max(allowed, 0)]
-                    stop = start + (int(hits[-1]) + 1 if len(hits) else 0)
-                    times = (before + us[start:stop][passed[: stop - start]].tolist())[-int(rpm[start]) :]
-                decisions[start:stop] = np.where(passed[: stop - start], "ok", "rpm")
-                used += int(passed[: stop - start].sum())
-            yield pd.DataFrame({"key_id": batch["key_id"], "event_id": batch["event_id"], "decision": decisions})
-
-    return fold
-
-
-def _quota_labels(flagged: DataFrame, slots_per_day: int) -> DataFrame:
+def _quota_labels(flagged: DataFrame) -> DataFrame:
     """Join the day's quota: a request is refused once ``daily_limit`` earlier ones passed the rate check."""
-    day = F.expr(f"slot div {slots_per_day}")
     counted = scan.running(
-        flagged.withColumn("quota_day", day).withColumn("__passed", F.col("rate_ok").cast("bigint")),
+        flagged.withColumns(
+            {"quota_day": F.expr(f"us div {DAY_SECONDS * 1_000_000}"), "__passed": F.col("rate_ok").cast("bigint")}
+        ),
         ["key_id", "quota_day"],
         ["us", "event_id"],
-        F.col("slot"),
+        F.expr(f"us div {BUCKET_SECONDS * 1_000_000}"),
         {"used": ("sum", "__passed")},
         exclusive=True,
     )
@@ -196,64 +166,38 @@ def _quota_labels(flagged: DataFrame, slots_per_day: int) -> DataFrame:
 
 
 def rate_and_quota(
-    candidates: DataFrame,
-    window_seconds: int = WINDOW_SECONDS,
-    slot_seconds: int | None = None,
-    parallel_rounds: int = PARALLEL_ROUNDS,
-    heavy_rows: int = HEAVY_ROWS,
+    candidates: DataFrame, window_seconds: int = WINDOW_SECONDS, slot_seconds: int | None = None
 ) -> DataFrame:
     """Decisions ok / quota / rpm for requests of keys with a rolling limit.
 
-    Admissions feed back: only admitted requests fill the rolling window, so a
-    key is folded in order. Keys of up to ``heavy_rows`` requests are streamed
-    whole; heavier ones are split in time (see ``_fold_in_slots``).
+    Admissions feed back: only admitted requests fill the rolling window. The
+    time of every key is cut into slots, parts of a day, that are folded in
+    parallel from an empty window; then the true window at each slot's start is
+    read off the admissions of the slots before it, and slots that were given
+    another one are folded again, until none is left. A slot is final once
+    those before it are, so this ends with the sequential result; a key whose
+    slots all had their true window is settled and takes no further part. A
+    quiet stretch as long as the window, or a quota that is met, settles what
+    follows at once; a key without either takes as many rounds as it takes its
+    slots to forget where they started. Folds stream sorted rows and keep at
+    most ``rpm`` times; a window may be longer than a slot, or than a day.
     """
+    if slot_seconds is None:
+        slot_seconds = next((s for s in SLOTS if s >= 4 * window_seconds), DAY_SECONDS)
+    if DAY_SECONDS % slot_seconds:
+        raise ValueError("a slot must divide the day")
+    window_us, slot_us = window_seconds * 1_000_000, slot_seconds * 1_000_000
+    reach = -(-window_seconds // slot_seconds)
     timed = checkpointed(
         candidates.select(
             "key_id", "event_id", micros("ts").alias("us"), F.col("rpm").cast("int"), F.col("daily_limit").cast("int")
-        )
+        ).withColumns({"carried": F.lit(False), "slot": F.expr(f"us div {slot_us}")})
     )
-    heavy = timed.groupBy("key_id").count().where(F.col("count") > heavy_rows).select("key_id")
-    light = _fold_in_order(timed.join(heavy, "key_id", "left_anti"), window_seconds)
-    if heavy.isEmpty():
-        return light
-    rows = timed.join(heavy, "key_id", "left_semi")
-    return light.unionByName(_fold_in_slots(rows, window_seconds, slot_seconds, parallel_rounds))
-
-
-def _fold_in_order(timed: DataFrame, window_seconds: int) -> DataFrame:
-    # Partitioned by a hash of the key, so that no join below can stand in for this shuffle
-    # and be split by its skew handling: the rows of a key must stay together and in order.
-    ordered = timed.repartition(F.xxhash64("key_id")).sortWithinPartitions("key_id", "us", "event_id")
     key_type = timed.schema["key_id"].dataType.simpleString()
-    return ordered.mapInPandas(
-        _fold_keys(window_seconds * 1_000_000), f"key_id {key_type}, event_id bigint, decision string"
-    )
-
-
-def _fold_in_slots(timed: DataFrame, window_seconds: int, slot_seconds: int | None, parallel_rounds: int) -> DataFrame:
-    """Decisions for heavy keys, their time cut into slots that are folded in parallel.
-
-    Every slot is first folded from an empty window; then the true window at
-    each slot's start is read off the previous slot's admissions, and only
-    slots that were given another one are folded again. A slot is final once
-    those before it are, so a key without stale slots is exact; with quiet
-    stretches or a quota that is met, that takes a round or two however large
-    the key is. Keys that are busy without a pause, whose slots would settle
-    one by one, are finished by a fold in order. All folds stream sorted rows
-    and keep at most ``rpm`` times.
-    """
-    if slot_seconds is None:
-        slot_seconds = next(
-            (s for s in (3600, 7200, 14_400, 21_600, 43_200) if s >= window_seconds), DAY_SECONDS
-        )
-    if DAY_SECONDS % slot_seconds or window_seconds > slot_seconds:
-        raise ValueError("a slot must divide the day and be at least as long as the window")
-    window_us, slot_us = window_seconds * 1_000_000, slot_seconds * 1_000_000
-    key_type = timed.schema["key_id"].dataType.simpleString()
-    timed = checkpointed(timed.withColumns({"carried": F.lit(False), "slot": F.expr(f"us div {slot_us}")}))
 
     def fold(rows: DataFrame) -> DataFrame:
+        # Partitioned by a digest, so that no join can stand in for this shuffle and be split by
+        # its skew handling: the rows of a slot must stay together and in order.
         ordered = rows.repartition(F.xxhash64("key_id", "slot")).sortWithinPartitions("key_id", "slot", "us", "event_id")
         return ordered.mapInPandas(
             _fold_slots(window_us),
@@ -261,30 +205,30 @@ def _fold_in_slots(timed: DataFrame, window_seconds: int, slot_seconds: int | No
         )
 
     def handed_on(labelled: DataFrame) -> DataFrame:
-        """What each slot hands to the next: admitted times still inside the window (at most rpm)."""
-        late = labelled.where((F.col("decision") == "ok") & (F.col("us") > (F.col("slot") + 1) * slot_us - window_us))
-        return late.groupBy("key_id", (F.col("slot") + 1).alias("slot")).agg(
-            F.array_sort(F.collect_list("us")).alias("times")
-        )
+        """Admitted times still inside the window when a later slot starts (a window holds at most rpm)."""
+        ahead = labelled.where("decision = 'ok'").withColumn("ahead", F.explode(F.sequence(F.lit(1), F.lit(reach))))
+        late = ahead.withColumn("slot", F.col("slot") + F.col("ahead")).where(F.col("us") > F.col("slot") * slot_us - window_us)
+        return late.groupBy("key_id", "slot").agg(F.array_sort(F.collect_list("us")).alias("true_times"))
 
     empty = F.array().cast("array<bigint>")
     slots = timed.groupBy("key_id", "slot").agg(F.min("us").alias("first_us"), F.max("rpm").alias("rpm"))
     flagged, given = checkpointed(fold(timed)), checkpointed(slots.withColumn("times", empty))
-    for number in range(parallel_rounds + 1):
-        labelled = _quota_labels(flagged, DAY_SECONDS // slot_seconds)
-        true_times = handed_on(labelled).withColumnRenamed("times", "true_times")
+    settled = []
+    while True:
+        labelled = checkpointed(_quota_labels(flagged))
         # Times that have left the window by the slot's first request play no part.
         counted = F.filter(F.coalesce("true_times", empty), lambda t: t > F.col("first_us") - window_us)
-        compared = given.join(true_times, ["key_id", "slot"], "left").select(
-            "key_id", "slot", "first_us", "rpm", counted.alias("times"), (F.col("times") != counted).alias("stale")
+        compared = checkpointed(
+            given.join(handed_on(labelled), ["key_id", "slot"], "left").select(
+                "key_id", "slot", "first_us", "rpm", counted.alias("times"), (F.col("times") != counted).alias("stale")
+            )
         )
-        compared = checkpointed(compared)
         stale = compared.where("stale")
         decided = labelled.select("key_id", "event_id", "decision")
         if stale.isEmpty():
-            return decided
-        if number == parallel_rounds:
-            break
+            return reduce(DataFrame.unionByName, settled, decided)
+        moving = stale.select("key_id").distinct()
+        settled.append(decided.join(moving, "key_id", "left_anti"))
         carried = stale.select(
             "key_id",
             F.lit(-1).cast("bigint").alias("event_id"),
@@ -296,11 +240,9 @@ def _fold_in_slots(timed: DataFrame, window_seconds: int, slot_seconds: int | No
         )
         here = stale.select("key_id", "slot")
         again = fold(timed.join(here, ["key_id", "slot"], "left_semi").unionByName(carried))
-        kept = flagged.join(here, ["key_id", "slot"], "left_anti")
-        flagged, given = checkpointed(kept.unionByName(again)), compared.drop("stale")
-    busy = stale.select("key_id").distinct()
-    finished = _fold_in_order(timed.join(busy, "key_id", "left_semi"), window_seconds)
-    return decided.join(busy, "key_id", "left_anti").unionByName(finished)
+        kept = flagged.join(moving, "key_id", "left_semi").join(here, ["key_id", "slot"], "left_anti")
+        flagged = checkpointed(kept.unionByName(again))
+        given = compared.join(moving, "key_id", "left_semi").drop("stale")
 
 
 def decide(
@@ -309,7 +251,6 @@ def decide(
     sharing: bool = True,
     window_seconds: int = WINDOW_SECONDS,
     slot_seconds: int | None = None,
-    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Every request ``(event_id, key_id, model, ts)`` with its decision.
 
@@ -325,7 +266,7 @@ def decide(
         return refused
     free = rest.where("rpm = 0 AND daily_limit = 0").select("event_id", "key_id", F.lit("ok").alias("decision"))
     quota = daily_quota(rest.where("rpm = 0 AND daily_limit > 0")).select("event_id", "key_id", "decision")
-    rated = rate_and_quota(rest.where("rpm > 0"), window_seconds, slot_seconds, heavy_rows=heavy_rows)
+    rated = rate_and_quota(rest.where("rpm > 0"), window_seconds, slot_seconds)
     rated = rated.select("event_id", "key_id", "decision")
     return refused.unionByName(free).unionByName(quota).unionByName(rated)
 
