@@ -97,30 +97,33 @@ def strict_conversation(keys: Column, rec: Column, own: Column) -> Column:
     )
 
 
+def dialog_values(line: Column, name: str) -> Column:
+    """The list of turns a record holds under ``name``, of any types; null when it is no list."""
+    return F.from_json(line, f"`{name}` array<variant>")[name]
+
+
 def dialog_to_sharegpt(turns: Column) -> Column:
-    """``from``/``value`` turns; a missing role alternates human and gpt by position."""
+    """``from``/``value`` turns of a list of variants: objects and plain strings, others are left out.
+
+    A string, or an object without a role, is human or gpt by its position.
+    """
 
     def convert(t: Column, i: Column) -> Column:
         alternating = F.when(i % 2 == 0, F.lit("human")).otherwise(F.lit("gpt"))
+        kind = F.schema_of_variant(t)
 
-        def filled(c: Column) -> Column:
-            return F.when(c != "", c)
-
-        role = F.coalesce(filled(t["role"]), filled(t["from"]), alternating)
-        content = F.coalesce(filled(t["content"]), filled(t["value"]), filled(t["text"]), F.to_json(t))
-        return F.struct(role.alias("from"), content.alias("value"))
-
-    return F.transform(turns, convert)
+        def filled(name: str) -> Column:
+            value = F.try_variant_get(t, f"$.{name}", "string")
+            return F.when(value != "", value)
 
+        said = F.struct(alternating.alias("from"), t.cast("string").alias("value"))
+        named = F.struct(
+            F.coalesce(filled("role"), filled("from"), alternating).alias("from"),
+            F.coalesce(filled("content"), filled("value"), filled("text"), F.to_json(t)).alias("value"),
+        )
+        return F.when(kind == "STRING", said).when(F.startswith(kind, F.lit("OBJECT")), named)
 
-def strings_to_sharegpt(turns: Column) -> Column:
-    """A dialog given as plain strings."""
-    return F.transform(
-        turns,
-        lambda t, i: F.struct(
-            F.when(i % 2 == 0, F.lit("human")).otherwise(F.lit("gpt")).alias("from"), t.alias("value")
-        ),
-    )
+    return F.filter(F.transform(turns, convert), lambda t: t.isNotNull())
 
 
 def fields_to_alpaca(keys: Column, rec: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import turns as tn
 from ..operators import convert as op, formats as fm
-from . import inputs
+from . import corpus, inputs
 from .inputs import DIRTY_SQL, PAIRS_SQL
 from .registry import query
 
@@ -279,7 +279,8 @@ def dialog_alternating_roles(spark, sf_dir):
         )
 
     dialogs = _foreign_turns(spark, sf_dir).select("conv_id", F.transform("turns", dialog_turn).alias("dialog"))
-    return dialogs.select("conv_id", F.posexplode(op.dialog_to_sharegpt(F.col("dialog"))).alias("pos", "t")).select(
+    turns = op.dialog_values(F.to_json(F.struct("dialog")), "dialog")
+    return dialogs.select("conv_id", F.posexplode(op.dialog_to_sharegpt(turns)).alias("pos", "t")).select(
         "conv_id", F.col("pos").cast("bigint").alias("pos"), "t.from", "t.value"
     )
 
@@ -431,3 +432,24 @@ def conversation_nest(spark, sf_dir):
     return nested(spark, sf_dir).select(
         "conv_id", F.size("conv").cast("bigint").alias("turns"), tn.show(F.col("conv")).alias("conversation")
     )
+
+
+@query(
+    "import_dialogs",
+    """SELECT place, CASE WHEN place % 2 = 0 THEN 'human' ELSE 'gpt' END AS sender, text AS value, count(*) AS n FROM (
+      SELECT row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, text FROM conversations WHERE text <> '') GROUP BY ALL""",
+)
+def import_dialogs(spark, sf_dir):
+    """Conversations imported as dialogs whose turns are plain strings and objects by turns."""
+    turns = inputs.conversations(spark, sf_dir).where("text <> ''")
+    quoted = F.to_json(F.array("text"))
+    plain = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    item = F.when(F.col("turn") % 2 == 0, plain).otherwise(F.to_json(F.struct(F.col("text").alias("content"))))
+    items = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", item.alias("item")))).alias("items"))
+    listed = F.concat(F.lit('{"id": '), F.col("conv_id").cast("string"), F.lit(', "dialog": ['), F.array_join("items.item", ", "), F.lit("]}"))
+    imported = corpus.import_rows(items.select(listed.alias("line")), "line").where("format = 'sharegpt'")
+    parsed = F.from_json("line", "conversations array<struct<from:string,value:string>>")["conversations"]
+    placed = imported.select(F.posexplode(parsed).alias("place", "t"))
+    return placed.groupBy(F.col("place").cast("bigint").alias("place"), F.col("t.from").alias("sender"), F.col("t.value").alias("value")).agg(
+        F.count("*").alias("n")
+    )

@@ -134,17 +134,18 @@ def import_rows(rows: DataFrame, line: str, first_line: str | None = None) -> Da
     def holds_objects(name: str):
         return F.get(F.col(f"rec.{name}"), F.lit(0)).isNotNull()
 
-    dialog = F.coalesce(*[F.col(f"rec.{n}") for n in fm.DIALOG_KEYS])
+    dialog = F.coalesce(*[F.when(F.size(convert.dialog_values(F.col(line), n)) > 0, F.lit(n)) for n in fm.DIALOG_KEYS])
     keys = F.col("keys")
     decided = probe.select(
-        fm.detect_bulk(keys, holds_objects("conversations"), holds_objects("messages"), F.size(dialog) > 0).alias("format"),
+        fm.detect_bulk(keys, holds_objects("conversations"), holds_objects("messages"), dialog.isNotNull()).alias("format"),
+        dialog.alias("dialog"),
         convert.text_route(F.col("rec.text")).alias("route"),
     ).first()
     fmt = decided["format"]
     parsed = convert.parse_records(rows, line)
     if fmt == "dialog":
-        turns = convert.dialog_to_sharegpt(dialog)
-        shaped = parsed.where(F.size(dialog) > 0).select(F.to_json(F.struct(turns.alias("conversations"))).alias("line"))
+        turns = parsed.select(convert.dialog_to_sharegpt(convert.dialog_values(F.col(line), decided["dialog"])).alias("conversations"))
+        shaped = turns.where(F.size("conversations") > 0).select(F.to_json(F.struct("conversations")).alias("line"))
         return shaped.select(F.lit("sharegpt").alias("format"), "line")
     if fmt == "mapped":
         mapped = convert.fields_to_alpaca(keys, F.col("rec"))

@@ -72,9 +72,11 @@ def test_alpaca_rules(spark):
     assert expr(spark, tn.alpaca_strict(F.lit("a"), F.lit(""), F.lit(" "))) is None
 
 
-def test_dialog_of_strings_alternates(spark):
-    turns = expr(spark, convert.strings_to_sharegpt(F.array(F.lit("hi"), F.lit("yo"), F.lit("ok"))))
-    assert [t["from"] for t in turns] == ["human", "gpt", "human"]
+def test_dialog_of_strings_and_objects_alternates(spark):
+    line = F.lit('{"d": ["hi", {"text": "yo"}, 5, "ok", {"role": "system", "content": "s"}, {"n": 1}], "chat": "no list"}')
+    turns = expr(spark, convert.dialog_to_sharegpt(convert.dialog_values(line, "d")))
+    assert [(t["from"], t["value"]) for t in turns] == [("human", "hi"), ("gpt", "yo"), ("gpt", "ok"), ("system", "s"), ("gpt", '{"n":1}')]
+    assert expr(spark, convert.dialog_values(line, "chat")) is None
 
 
 def test_unknown_record_takes_two_longer_texts(spark):
@@ -178,6 +180,7 @@ def test_text_route(spark):
     "first,fmt,shape",
     [
         ({"dialog": [{"text": "a"}, {"text": "b"}]}, "sharegpt", {"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}),
+        ({"dialog": ["hello there", "hi back"]}, "sharegpt", {"conversations": [{"from": "human", "value": "hello there"}, {"from": "gpt", "value": "hi back"}]}),
         ({"query": "q", "response": "r"}, "alpaca", {"instruction": "q", "input": "", "output": "r"}),
         ({"text": "t"}, "alpaca", {"instruction": "t", "input": "", "output": ""}),
         ({"text": "USER: t"}, "raw", {"text": "USER: t"}),
