@@ -353,13 +353,19 @@ def decode(tokenizer: Tokenizer, ids: Column, skip_special: bool = True) -> Colu
 
 def sample_encodings(tokenizer: Tokenizer, df: DataFrame, text: str, *keep: str, shown: int = 30) -> DataFrame:
     """The first tokens and ids of each text, and how many there are."""
-    names = F.array(*[F.lit(t) for t, _ in sorted(tokenizer.vocab.items(), key=lambda item: item[1])])
+
+    @F.pandas_udf("array<string>")
+    def names(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        stored = {i: t for t, i in tokenizer.vocab.items()}
+        for batch in batches:
+            yield batch.map(lambda ids: [stored[i] for i in ids])
+
     encoded = df.select(*keep, text, encode(tokenizer, F.col(text)).alias("all_ids"))
     return encoded.select(
         *keep,
         text,
         F.slice("all_ids", 1, shown).alias("ids"),
-        F.transform(F.slice("all_ids", 1, shown), lambda i: F.get(names, i)).alias("tokens"),
+        names(F.slice("all_ids", 1, shown)).alias("tokens"),
         F.size("all_ids").cast("bigint").alias("length"),
     )
 

@@ -30,6 +30,11 @@ def day_of(ts: str) -> Column:
     return F.date_format(F.col(ts).cast("timestamp_ntz"), "yyyy-MM-dd")
 
 
+def _salted(requests: DataFrame) -> DataFrame:
+    """Requests with a salt that is 0 beside a key; requests without one, which match nothing, are spread by it."""
+    return requests.withColumn("__salt", F.when(F.col("key_id").isNull(), F.xxhash64("event_id")).otherwise(0))
+
+
 def join_keys(requests: DataFrame, keys: DataFrame) -> DataFrame:
     """Requests with the settings of their key; all null for a key that is unknown or not active."""
     settings = keys.where(F.coalesce(F.col("active"), F.lit(True))).select(
@@ -39,13 +44,15 @@ def join_keys(requests: DataFrame, keys: DataFrame) -> DataFrame:
         F.coalesce("daily_limit", F.lit(0)).alias("daily_limit"),
         F.coalesce("allowed_models", F.array().cast("array<string>")).alias("allowed_models"),
         "expires_at",
+        F.lit(0).cast("bigint").alias("__salt"),
     )
-    return requests.join(settings, "key_id", "left")
+    return _salted(requests).join(settings, ["key_id", "__salt"], "left").drop("__salt")
 
 
 def invalid_key(requests: DataFrame, keys: DataFrame) -> DataFrame:
     """Requests whose key is unknown or revoked (an anti-join)."""
-    return requests.join(keys.where(F.coalesce(F.col("active"), F.lit(True))), "key_id", "left_anti")
+    active = keys.where(F.coalesce(F.col("active"), F.lit(True))).select("key_id", F.lit(0).cast("bigint").alias("__salt"))
+    return _salted(requests).join(active, ["key_id", "__salt"], "left_anti").drop("__salt")
 
 
 def is_expired(ts: Column, expires_at: Column) -> Column:

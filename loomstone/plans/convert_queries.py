@@ -84,7 +84,7 @@ def detect_format_bulk(spark, sf_dir):
     def holds_objects(name):
         return F.get(F.col(f"rec.{name}"), F.lit(0)).isNotNull()
 
-    dialog = F.size(F.coalesce("rec.dialog", "rec.dialogue", "rec.turns", "rec.chat")) > 0
+    dialog = F.size(F.coalesce(*[op.dialog_values(F.col("line"), n) for n in fm.DIALOG_KEYS])) > 0
     detector = fm.detect_bulk(F.col("keys"), holds_objects("conversations"), holds_objects("messages"), dialog)
     return _detected(spark, sf_dir, detector)
 

@@ -47,8 +47,9 @@ def pack_bytes(blocks: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Blocks as byte strings ``(first_seq, n_sequences, <column>...)``, in sequence order.
 
     ``columns`` maps an array column to its element type: H, I (little-endian
-    16 and 32 bits) or B (8 bits). Every Arrow batch gives one row, so memory
-    stays at a batch however long a partition is.
+    16 and 32 bits) or B (8 bits). Every run of consecutive numbers in an Arrow
+    batch gives one row, so a row's blocks are exactly those from ``first_seq``
+    on, also where numbers are missing, and memory stays at a batch.
     """
     numpy_types = {"H": "<u2", "I": "<u4", "B": "u1"}
     names = list(columns)
@@ -58,13 +59,15 @@ def pack_bytes(blocks: DataFrame, columns: dict[str, str]) -> DataFrame:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
+            numbers = batch.column("seq_id").to_numpy(zero_copy_only=False)
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(numbers) != 1) + 1))
+            ends = np.append(starts[1:], len(numbers))
             payloads = []
             for name, kind in zip(names, types):
-                values = batch.column(name).flatten().to_numpy(zero_copy_only=False)
-                payloads.append(pa.array([values.astype(kind).tobytes()], pa.binary()))
-            first = pa.array([batch.column("seq_id")[0].as_py()], pa.int64())
-            count = pa.array([batch.num_rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([first, count, *payloads], names=["first_seq", "n_sequences", *names])
+                runs = (batch.column(name).slice(a, b - a).flatten() for a, b in zip(starts.tolist(), ends.tolist()))
+                payloads.append(pa.array([r.to_numpy(zero_copy_only=False).astype(kind).tobytes() for r in runs], pa.binary()))
+            labels = [pa.array(numbers[starts], pa.int64()), pa.array(ends - starts, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*labels, *payloads], names=["first_seq", "n_sequences", *names])
 
     schema = "first_seq bigint, n_sequences bigint, " + ", ".join(f"{n} binary" for n in names)
     ordered = blocks.select("seq_id", *names).repartitionByRange("seq_id").sortWithinPartitions("seq_id")

@@ -253,6 +253,16 @@ def test_corpus_job_and_binary_export(spark, data, trained, tmp_path):
     assert named["name"] == "packed" and named["n_sequences"] == len(blocks)
 
 
+def test_packed_rows_name_their_blocks_where_numbers_are_missing(spark):
+    df = spark.createDataFrame([(i, [i, i + 1]) for i in (0, 2, 3, 7)], "seq_id long, tokens array<int>").coalesce(1)
+    rows = sinks.pack_bytes(df, {"tokens": "H"}).collect()
+    got = {}
+    for r in rows:
+        values = np.frombuffer(r.tokens, "<u2").reshape(r.n_sequences, 2).tolist()
+        got |= {r.first_seq + k: v for k, v in enumerate(values)}
+    assert got == {i: [i, i + 1] for i in (0, 2, 3, 7)}
+
+
 def test_example_job(spark, data, trained):
     tokenizer, _, _ = trained
     turns = spark.read.parquet(f"{data}/conversations.parquet")
