@@ -25,6 +25,7 @@ BLOCK = 128
 SHARD = 1024
 ROUNDS = 24
 CELLS = 4096
+TASK_SLOTS = 1 << 18
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
 
@@ -107,7 +108,7 @@ def mix_sources(
     )
     places = scratch.keep(
         running(
-            sized, ["key"], ["id", "digest"], F.expr("coalesce(floor(id / 4096), -1)"), {"begin": ("sum", "size")}, exclusive=True, levels=1
+            sized, ["key"], ["id", "digest"], F.expr("coalesce(floor(id / 512), -1)"), {"begin": ("sum", "size")}, exclusive=True, levels=1
         ),
         "places",
     )
@@ -143,7 +144,9 @@ def _slots(spark, sources: DataFrame, shard: int, seed: int) -> DataFrame:
         (F.lit(shards) + F.expr(f"(from - begin) div {shard}")).alias("shard"), "key", "quota", "blocks",
         F.col("from").alias("begin"), F.least(F.col("from") + shard, "quota").alias("end"),
     )
-    number = took.unionByName(short).withColumn("number", F.explode(F.expr("sequence(begin, end - 1)")))
+    # a row becomes up to a shard of slots, so rows are dealt by the slots they make, not by their bytes
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_SLOTS))
+    number = took.unionByName(short).repartition(tasks, "shard", "key").withColumn("number", F.explode(F.expr("sequence(begin, end - 1)")))
     passed = F.expr("number div blocks")
     return number.select(
         "shard", "key", "number",
