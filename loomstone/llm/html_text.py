@@ -2,10 +2,10 @@
 
 Markup is stripped, block elements and line breaks ending a line; menus, headers, footers,
 asides, forms, notices, adverts, comments, scripts and styles count as markup. The lengths of the
-remaining lines are summed over windows of ``WINDOW`` lines: text begins where the sum surges above a
-threshold and ends where it dives to nothing, and the lines between are kept. Where a page marks its
-article, lines outside have length 0 and any line inside is text; elsewhere a line
-that is mostly links has length 0.
+remaining lines are summed over windows of ``WINDOW`` lines, characters in links counting against them. Text is a run
+of lines whose sums stay above a dive point and somewhere surge above a higher one; both are relative to
+the sums of the page itself. Lines within a window of the text may join it. Where a page marks its article, lines inside weigh ``RAISE`` times as much, links included; the
+sums decide on every page.
 """
 
 from __future__ import annotations
@@ -19,7 +19,11 @@ from pyspark.sql import DataFrame, functions as F
 from .common import chunks
 
 WINDOW = 3
-SURGE = 86
+# Part of the geometric mean of a page's highest and median block that text must reach somewhere, part of the
+# median block it may fall to, and how much more a line inside an article weighs.
+SURGE = 2
+DIVE = 64
+RAISE = 8
 
 # Elements that are never article text, elements whose content is not markup,
 # elements without content, elements that end a line.
@@ -123,27 +127,46 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
+def _median(values: list[int]) -> float:
+    values, n = sorted(values), len(values)
+    return (values[(n - 1) // 2] + values[n // 2]) / 2
+
+
+def weights(found: list[tuple[str, int, bool]]) -> list[int]:
+    """Characters of each line: ``RAISE`` times inside an article, elsewhere less twice those in links (may be negative)."""
+    return [RAISE * len(text) if inside else len(text) - 2 * linked for text, linked, inside in found]
+
+
+def main_text(page: str | None, window: int = WINDOW) -> str:
     """Lines between surge and dive of the line-block distribution, one per block, joined by newlines."""
     found = lines(page or "")
-    marked = any(inside for *_, inside in found)
-    if marked:
-        weight = [len(text) if inside else 0 for text, _, inside in found]
-        surge = 0
-    else:
-        weight = [0 if 2 * linked > len(text) else len(text) - linked for text, linked, _ in found]
-    n = len(found)
-    block = [sum(weight[i : i + window]) for i in range(n)] + [0] * (window + 1)
+    weight, n = weights(found), len(found)
+    sums = [max(0, sum(weight[max(0, i) : i + window])) for i in range(1 - window, n)]
+    # A line counts as the highest window it is in, so that the last lines of a text count as much as the first.
+    block = [max(sums[i : i + window]) for i in range(n)]
+    block = [max(b, w) if inside else b for b, w, (*_, inside) in zip(block, weight, found)]
+    level = [b for b in block if b > 0]
+    if not level:
+        return ""
+    middle = _median(level)
+    surge = max(1, (max(level) * middle) ** 0.5 / SURGE)  # a single character is no text
+    dive = middle / DIVE
     kept: list[str] = []
     i = 0
     while i < n:
-        if block[i] > surge:
-            while i < n and block[i] > 0:
-                if weight[i] > 0:
-                    kept.append(found[i][0])
-                i += 1
-        else:
-            i += 1
+        end = i
+        while end < n and block[end] > dive:
+            end += 1
+        if end > i and max(block[i:end]) > surge:
+            first, last = i, end
+            # Windows reach over the edges of an article: lines beside it must surge by themselves.
+            beside = any(inside for *_, inside in found[i:end])
+            while beside and not found[first][2] and weight[first] * window <= surge:
+                first += 1
+            while beside and not found[last - 1][2] and weight[last - 1] * window <= surge:
+                last -= 1
+            kept += [found[k][0] for k in range(first, last) if weight[k] > 0]
+        i = end + 1
     return "\n".join(kept)
 
 

@@ -1,6 +1,7 @@
 """The ten operators on small tables: brute force, exact cases, and every awkward row."""
 
 import collections
+import itertools
 import json
 import math
 import random
@@ -387,6 +388,64 @@ def test_main_text_without_an_article_surges_and_dives():
     assert html_text.main_text(page) == "\n".join([long.strip(), "short", long.strip()])
 
 
+def test_main_text_of_unmarked_pages():
+    short = [f"Line {i} of it." for i in range(40)]
+    page = "<div>" + "".join(f"<p>{t}</p>" for t in short) + "</div>"
+    assert html_text.main_text(page) == "\n".join(short)  # no three lines reach 86 characters
+    prose = [f"Sentence {i} " + "with a good many words in it " * (2 + i % 5) for i in range(12)]
+    cards = "".join(f"<div><a href=/{i}>A headline that leads elsewhere {i}</a><p>Some words about it</p><a href=/{i}>Read more</a></div>" for i in range(30))
+    page = f"<div>{cards}</div><div>{''.join(f'<p>{t}</p>' for t in prose)}</div><div>{cards}</div>"
+    got = html_text.main_text(page).split("\n")
+    assert [t for t in got if t != "Some words about it"] == [t.strip() for t in prose]
+    assert len(got) <= len(prose) + 2  # of 60 cards only those within a window of the text
+
+
+def test_main_text_decides_by_blocks_beside_a_marked_article():
+    body, long = "word " * 40, "other " * 400
+    inside = f"<article><h1>Head</h1><p>{body}</p><p>{body}</p><p>End.</p></article>"
+    kept = "\n".join(["Head", body.strip(), body.strip(), "End."])
+    far = "<a href=x>leads away from here</a><hr>" * 4
+    assert html_text.main_text(f"<p>Printed today</p>{inside}<p>Filed under words</p>") == kept
+    # The mark alone does not decide: a text that outweighs the raised lines counts.
+    teaser = "<article><p>Short teaser</p></article>"
+    assert long.strip() in html_text.main_text(teaser + far + f"<p>{long}</p><p>{long}</p>").split("\n")
+
+
+def brute_main_text(page):
+    found = html_text.lines(page)
+    n, w = len(found), [8 * len(t) if a else len(t) - 2 * k for t, k, a in found]
+    block = []
+    for i in range(n):
+        sums = [sum(w[j] for j in range(s, s + 3) if 0 <= j < n) for s in (i - 2, i - 1, i)]
+        block.append(max(0, *sums, w[i] if found[i][2] else 0))
+    level = sorted(b for b in block if b)
+    if not level:
+        return ""
+    middle = float(np.median(level))
+    runs = [list(g) for on, g in itertools.groupby(range(n), lambda i: block[i] > middle / 64) if on]
+    out = []
+    for run in runs:
+        surge = max(1, math.sqrt(level[-1] * middle) / 2)
+        if max(block[i] for i in run) <= surge:
+            continue
+        core = [i for i in run if found[i][2]]
+        strong = [i for i in run if found[i][2] or w[i] * 3 > surge] if core else run
+        out += [found[i][0] for i in run if strong[0] <= i <= strong[-1] and w[i] > 0]
+    return "\n".join(out)
+
+
+def test_main_text_equals_brute_force():
+    rng = random.Random(4)
+    for _ in range(400):
+        parts, marks = [], rng.random() < 0.5
+        for _ in range(rng.randint(0, 40)):
+            t = "ab " * rng.choice([1, 2, 5, 20, 100, 600])
+            t = f"<a href=x>{t}</a>" if rng.random() < 0.3 else t
+            parts.append(f"<article><p>{t}</p></article>" if marks and rng.random() < 0.3 else f"<p>{t}</p>")
+        page = "".join(parts)
+        assert html_text.main_text(page) == brute_main_text(page)
+
+
 def test_pages_awkward_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article>é</article>", "x"), (1, "u", "<article>é</article>", "x"), (None, None, None, None), (2, "u", "<article>" + "<p>w</p>" * 50000, "x")], "page_id bigint, url string, html string, text string")
     got = html_text.extract(pages).collect()
