@@ -19,6 +19,8 @@ from .common import Scratch
 
 CALLS = "struct<tool_calls: array<struct<id: string, function: struct<name: string, arguments: string>, depends_on: array<string>>>>"
 RESULT = "struct<tool_call_id: string, content: string>"
+# The JSON reader turns a whole record null at a text above 20,000,000 characters unless told otherwise.
+ANY_LENGTH = {"maxStringLen": "2147483647"}
 
 
 def parse_messages(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -33,14 +35,14 @@ def parse_messages(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     )
     calls = (
         base.where("role = 'assistant'")
-        .select("conv", "turn", F.posexplode(F.from_json("text", CALLS)["tool_calls"]).alias("place", "c"))
+        .select("conv", "turn", F.posexplode(F.from_json("text", CALLS, ANY_LENGTH)["tool_calls"]).alias("place", "c"))
         .where("c IS NOT NULL")
         .select(
             "conv", F.col("c.id").alias("call"), F.struct("turn", "place").alias("position"), F.col("c.function.name").alias("name"),
             F.col("c.function.arguments").alias("arguments"), F.coalesce("c.depends_on", F.array().cast("array<string>")).alias("depends_on"),
         )
     )
-    results = base.where("role = 'tool'").withColumn("r", F.from_json("text", RESULT)).where("r.tool_call_id IS NOT NULL OR r.content IS NOT NULL").select(
+    results = base.where("role = 'tool'").withColumn("r", F.from_json("text", RESULT, ANY_LENGTH)).where("r.tool_call_id IS NOT NULL OR r.content IS NOT NULL").select(
         "conv", F.col("r.tool_call_id").alias("call"), F.col("turn").alias("at"), F.col("r.content").alias("content")
     )
     return calls, results

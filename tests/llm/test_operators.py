@@ -508,6 +508,15 @@ def test_tool_calls_are_linked_ordered_and_validated(spark):
     assert tool_calls.link(*empty, schemas, Scratch(spark, "calls")).collect() == []
 
 
+def test_texts_above_20_million_characters_are_linked(spark):
+    args = F.concat(F.lit('{"tool_calls": [{"id": "a", "function": {"name": "f", "arguments": "'), F.repeat(F.lit("x"), 21_000_000), F.lit('"}}]}'))
+    content = F.concat(F.lit('{"tool_call_id": "a", "content": "'), F.repeat(F.lit("y"), 21_000_000), F.lit('"}'))
+    base = spark.createDataFrame([("c", 0, "assistant"), ("c", 1, "tool")], "conv_id string, turn bigint, role string")
+    calls, results = tool_calls.parse_messages(base.withColumn("text", F.when(F.col("role") == "tool", content).otherwise(args)))
+    assert calls.select("call", F.length("arguments")).collect() == [("a", 21_000_000)]
+    assert results.select("call", F.length("content")).collect() == [("a", 21_000_000)]
+
+
 def test_schema_keywords():
     bad = tool_calls.violations
     assert bad(1.0, {"type": "integer"}) == [] and bad(True, {"type": "integer"}) == ["$: not integer"]
