@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from . import text as tx
+
 # Fields of the training events and of the meta payload.
 EVENT_SCHEMA = (
     "event string, step bigint, total bigint, loss double, lr double, tok_s double, elapsed double, "
@@ -31,7 +33,7 @@ def contains_any(c: Column, markers: list[str]) -> Column:
 def parse_event(line: Column) -> Column:
     """Event struct of a line that is a JSON object, null for any other line."""
     return F.when(
-        F.startswith(line, F.lit("{")) & F.try_parse_json(line).isNotNull(), F.from_json(line, EVENT_SCHEMA)
+        F.startswith(line, F.lit("{")) & tx.valid_json(line), F.from_json(line, EVENT_SCHEMA, tx.ANY_LENGTH)
     )
 
 
@@ -79,4 +81,4 @@ def severity(line: Column) -> Column:
 def train_meta(line: Column) -> Column:
     """Payload of a meta line, null elsewhere."""
     payload = F.get(F.split(line, META_MARKER), F.lit(1))
-    return F.when(F.contains(line, F.lit(META_MARKER)), F.from_json(F.trim(payload), META_SCHEMA))
+    return F.when(F.contains(line, F.lit(META_MARKER)), F.from_json(F.trim(payload), META_SCHEMA, tx.ANY_LENGTH))

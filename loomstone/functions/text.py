@@ -119,3 +119,22 @@ def strip_ansi(c) -> Column:
 def mask_secret(c) -> Column:
     """First twelve characters of a secret and a fixed-length mask."""
     return F.concat(F.substring(c, 1, 12), F.lit("..." + "*" * 16))
+
+
+# The JSON reader turns a whole record null at a string above 20,000,000 characters unless told otherwise.
+ANY_LENGTH = {"maxStringLen": "2147483647"}
+_STRICT = {**ANY_LENGTH, "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+_LONG = 20_000_000
+# Bytes a variant may have.
+VARIANT_LIMIT = 128 << 20
+
+
+def parsed_json(line: Column) -> Column:
+    """Variant of a JSON text, null when malformed: ``try_parse_json`` without its limit on the length of strings."""
+    return F.when(F.octet_length(line) > _LONG, F.from_json(line, "variant", _STRICT)).otherwise(F.try_parse_json(line))
+
+
+def valid_json(line: Column) -> Column:
+    """Whether a text is JSON, also one that is too large for a variant."""
+    whole = F.from_json(line, "map<string,string>", _STRICT).isNotNull() | F.from_json(line, "array<string>", _STRICT).isNotNull()
+    return parsed_json(line).isNotNull() | ((F.octet_length(line) >= VARIANT_LIMIT) & whole)

@@ -31,14 +31,14 @@ def parse_records(df: DataFrame, line: str) -> DataFrame:
     return (
         df.withColumn("keys", fm.record_keys(F.col(line)))
         .where(F.col("keys").isNotNull())
-        .withColumn("rec", F.from_json(F.col(line), RECORD_SCHEMA))
+        .withColumn("rec", F.from_json(F.col(line), RECORD_SCHEMA, tx.ANY_LENGTH))
         .withColumn("own", own_texts(F.col(line)))
     )
 
 
 def own_texts(line: Column) -> Column:
     """The text values of a record, whatever their names, in the record's own key order."""
-    fields = F.map_entries(F.from_json(line, "map<string,variant>"))
+    fields = F.map_entries(F.from_json(line, "map<string,variant>", tx.ANY_LENGTH))
     texts = F.filter(fields, lambda f: F.schema_of_variant(f["value"]) == "STRING")
     return F.transform(texts, lambda f: f["value"].cast("string"))
 
@@ -46,11 +46,11 @@ def own_texts(line: Column) -> Column:
 def split_malformed(df: DataFrame, line: str, line_no: str) -> tuple[DataFrame, DataFrame]:
     """Good lines, and ``(line_no, error)`` of those that are no JSON; blank lines are neither."""
     filled = df.where(~tx.is_blank(F.col(line)))
-    parsed = F.try_parse_json(line)
-    bad = filled.where(parsed.isNull()).select(
+    valid = tx.valid_json(F.col(line))
+    bad = filled.where(~valid).select(
         line_no, F.concat(F.lit("line "), F.col(line_no).cast("string"), F.lit(": malformed JSON")).alias("error")
     )
-    return filled.where(parsed.isNotNull()), bad
+    return filled.where(valid), bad
 
 
 def mixed_conversation(keys: Column, rec: Column) -> Column:
@@ -99,7 +99,7 @@ def strict_conversation(keys: Column, rec: Column, own: Column) -> Column:
 
 def dialog_values(line: Column, name: str) -> Column:
     """The list of turns a record holds under ``name``, of any types; null when it is no list."""
-    return F.from_json(line, f"`{name}` array<variant>")[name]
+    return F.from_json(line, f"`{name}` array<variant>", tx.ANY_LENGTH)[name]
 
 
 def dialog_to_sharegpt(turns: Column) -> Column:

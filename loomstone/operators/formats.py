@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from ..functions import text as tx
+
 # Key names looked at by the detectors, in order of preference.
 QUESTION_KEYS = ["question", "query", "input", "prompt", "instruction"]
 ANSWER_KEYS = ["answer", "response", "output", "completion", "reply"]
@@ -22,7 +24,7 @@ FIELD_PAIRS = [
 
 def record_keys(line: Column) -> Column:
     """Keys of a JSON object; null when the line is malformed or no object."""
-    return F.when(F.try_parse_json(line).isNotNull(), F.json_object_keys(line))
+    return F.when(tx.valid_json(line), F.json_object_keys(line))
 
 
 def has_all(keys: Column, *names: str) -> Column:

@@ -247,7 +247,7 @@ def cells_of_columns(df: DataFrame, order: str) -> DataFrame:
 def cells_of_records(df: DataFrame, line: str, order: str) -> DataFrame:
     """JSON lines as cells; records may differ in their keys, lines that are no object are left out."""
     spark = df.sparkSession
-    parsed = df.select(F.col(order).alias("ord"), F.try_parse_json(line).alias("record")).where(
+    parsed = df.select(F.col(order).alias("ord"), tx.parsed_json(F.col(line)).alias("record")).where(
         "schema_of_variant(record) LIKE 'OBJECT%'"
     )
     cells = parsed.lateralJoin(spark.tvf.variant_explode(F.col("record").outer()))

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import templates as tp
+from ..functions import templates as tp, text as tx
 from ..operators import bpe, convert, extract, formats as fm, packing, sft
 from ..sources import files
 
@@ -86,10 +86,10 @@ def read_records(spark: SparkSession, path: str, columns: list[str] | None = Non
     lowered = path.lower()
     if columns and lowered.endswith((".jsonl", ".json")):
         rows = files.read_jsonl(spark, path) if lowered.endswith(".jsonl") else files.read_json(spark, path)
-        values = F.from_json("line", ", ".join(f"`{c}` string" for c in columns))
+        values = F.from_json("line", ", ".join(f"`{c}` string" for c in columns), tx.ANY_LENGTH)
 
         def if_text(c: str):
-            value = F.expr(f"try_variant_get(parse_json(line), '$[\"{c}\"]', 'variant')")
+            value = F.try_variant_get(tx.parsed_json(F.col("line")), f'$["{c}"]', "variant")
             return F.when(F.schema_of_variant(value) == "STRING", values[c]).alias(c)
 
         parts = rows.select("source", F.col("line_no").alias("rec_ord"), *[if_text(c) for c in columns])

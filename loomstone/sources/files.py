@@ -79,7 +79,7 @@ def read_lines(spark: SparkSession, path: str, closing_line: bool = False) -> Da
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines as ``(source, line_no, line)``: blank lines, malformed lines and non-objects are skipped."""
     lines = read_lines(spark, path).withColumn("line", tx.strip(F.col("line")))
-    return lines.where("line <> ''").where("schema_of_variant(try_parse_json(line)) LIKE 'OBJECT%'")
+    return lines.where("line <> ''").where(tx.valid_json(F.col("line")) & F.json_object_keys("line").isNotNull())
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -91,7 +91,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 def json_documents(docs: DataFrame, source: str, text: str) -> DataFrame:
     """Objects inside JSON documents: an array of objects, one object, or ``{"data": [...]}``."""
     spark = docs.sparkSession
-    parsed = docs.select(source, F.parse_json(text).alias("doc"))
+    parsed = docs.select(source, F.coalesce(tx.parsed_json(F.col(text)), F.parse_json(text)).alias("doc"))
     listed = F.when(F.schema_of_variant("doc").like("ARRAY%"), F.col("doc")).otherwise(
         F.expr("try_variant_get(doc, '$.data', 'variant')")
     )

@@ -5,7 +5,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from loomstone.operators import packing
+from loomstone.functions import logs
+from loomstone.operators import convert, formats, packing, profile
 from loomstone.plans import corpus
 from loomstone.sources import files, sinks
 
@@ -120,3 +121,22 @@ def test_concatenation_keeps_list_order(spark):
     b = spark.createDataFrame([(1, 2)], "j int, k int")
     rows = files.concat_sources([(a, "i"), (b, "j")]).orderBy("file_ord", "rec_ord").collect()
     assert [(r.file_ord, r.rec_ord, r.t, r.k) for r in rows] == [(0, 5, "x", None), (1, 1, None, 2)]
+
+
+def test_records_with_a_text_above_20_million_characters_are_kept(spark, tmp_path):
+    size = 21_000_000
+    long = F.repeat(F.lit("x"), size)
+    good = F.concat(F.lit('{"event": "step", "body": "'), long, F.lit('", "dialog": ["hi"], "question": "q", "answer": "a"}'))
+    lines = spark.range(1).select(F.explode(F.array(good, F.concat(F.lit('{"event": "step", "body": "'), long))).alias("line"), F.lit(1).alias("no"))
+    assert [r.k for r in lines.select(formats.record_keys(F.col("line")).alias("k")).collect()] == [["event", "body", "dialog", "question", "answer"], None]
+    rec = convert.parse_records(lines, "line").select(F.length("rec.body").alias("body"), F.length(F.col("own")[1]).alias("own"))
+    assert rec.collect() == [(size, size)]
+    good_lines, bad = convert.split_malformed(lines, "line", "no")
+    assert (good_lines.count(), bad.collect()) == (1, [(1, "line 1: malformed JSON")])
+    assert lines.select(F.size(convert.dialog_values(F.col("line"), "dialog")).alias("n")).where("n > 0").count() == 1
+    assert [r.e for r in lines.select(logs.parse_event(F.col("line"))["event"].alias("e")).collect()] == ["step", None]
+    cells = profile.cells_of_records(lines, "line", "no").where("name = 'body'")
+    assert cells.select(F.length("value")).collect() == [(size,)]
+    lines.select("line").write.text(str(tmp_path / "long.jsonl"))
+    assert files.read_jsonl(spark, str(tmp_path / "long.jsonl")).count() == 1
+    assert corpus.read_records(spark, str(tmp_path / "long.jsonl"), ["body"]).select(F.length("text")).collect() == [(size,)]
