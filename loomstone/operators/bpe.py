@@ -1,15 +1,17 @@
 """Byte-level byte-pair encoding: training, encoding, previews and loss masks.
 
 Training works on the table of distinct pre-tokens with their counts, which
-stays distributed; only merge candidates and the vocabulary, both bounded by
-the vocabulary size, reach the driver. Encoding is a vectorised UDF over text
+stays distributed until it has at most ``LOCAL_SYMBOLS`` symbols; before that only merge
+candidates and the vocabulary, both bounded by the vocabulary size, reach the driver. Encoding is a vectorised UDF over text
 columns with the merge table in its closure.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -36,6 +38,8 @@ MIN_FREQUENCY = 2
 # Merge candidates looked at per round, and rounds between lineage cuts.
 CANDIDATES = 256
 ROUNDS_PER_CHECKPOINT = 8
+# Symbols of a word table that is small enough to finish on the driver.
+LOCAL_SYMBOLS = 2_000_000
 # Pre-tokens remembered per encoding task; beyond it the memory starts anew.
 CACHE_LIMIT = 200_000
 
@@ -201,6 +205,54 @@ def _independent_prefix(pairs, names: dict[int, str], vocab: dict[str, int], roo
     return chosen
 
 
+def _merge_locally(words: DataFrame, names: dict[int, str], vocab: dict[str, int], merges: list[tuple[str, str]], vocab_size: int, min_frequency: int) -> None:
+    """The remaining merges of a small word table, one best pair after another, counts kept by their changes."""
+    rows = words.select("n", "symbols").toArrow()
+    times, spelled = rows.column("n").to_pylist(), rows.column("symbols").to_pylist()
+    counts: Counter[tuple[int, int]] = Counter()
+    where: defaultdict[tuple[int, int], set[int]] = defaultdict(set)
+    for i, (n, word) in enumerate(zip(times, spelled)):
+        for pair in zip(word, word[1:]):
+            counts[pair] += n
+            where[pair].add(i)
+    heap = [(-count, *pair) for pair, count in counts.items()]
+    heapq.heapify(heap)
+    while heap and len(vocab) < vocab_size:
+        count, left, right = heapq.heappop(heap)
+        if counts[left, right] != -count:
+            continue  # counted anew since
+        if -count < max(1, min_frequency):
+            break
+        name = names[left] + names[right]
+        new = vocab.setdefault(name, len(vocab))
+        names[new] = name
+        merges.append((names[left], names[right]))
+        changed = set()
+        for i in where.pop((left, right)):
+            word, n, out, k = spelled[i], times[i], [], 0
+            while k < len(word):
+                if word[k] == left and k + 1 < len(word) and word[k + 1] == right:
+                    out.append(new)
+                    k += 2
+                else:
+                    out.append(word[k])
+                    k += 1
+            for pair in zip(word, word[1:]):
+                counts[pair] -= n
+                changed.add(pair)
+            for pair in zip(out, out[1:]):
+                counts[pair] += n
+                changed.add(pair)
+                where[pair].add(i)
+            spelled[i] = out
+        for pair in changed:
+            if counts[pair] > 0:
+                heapq.heappush(heap, (-counts[pair], *pair))
+            else:
+                del counts[pair]
+                where.pop(pair, None)
+
+
 def train(
     df: DataFrame,
     text: str,
@@ -212,7 +264,7 @@ def train(
 
     Every round counts pairs over the distributed word table and merges a whole
     run of independent best pairs; lineage is cut in the checkpoint folder every
-    few rounds.
+    few rounds, and a table that is small by then is finished on the driver.
     """
     special = list(SPECIAL_TOKENS if special is None else special)
     words, alphabet = _symbol_table(checkpointed(pretoken_counts(df, text)), len(special))
@@ -221,6 +273,9 @@ def train(
     merges: list[tuple[str, str]] = []
     words, pending = checkpointed(words), []
     while len(vocab) < vocab_size:
+        if not pending and words.agg(F.coalesce(F.sum(F.size("symbols")), F.lit(0))).first()[0] <= LOCAL_SYMBOLS:
+            _merge_locally(words, names, vocab, merges, vocab_size, min_frequency)
+            break
         pairs = _best_pairs(words, pending, CANDIDATES)
         chosen = _independent_prefix(pairs, names, vocab, vocab_size - len(vocab), min_frequency)
         if not chosen:

@@ -166,16 +166,9 @@ def sft_meta(spark, sf_dir):
 
 # ---- byte-pair encoding ----------------------------------------------------
 
-BPE_VOCAB = 300
-_TRAINED: dict[tuple[str, str], bpe.Tokenizer] = {}
-
-
 def trained(spark, sf_dir) -> bpe.Tokenizer:
-    """Tokenizer of the documents; trained once per application and data folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _TRAINED:
-        _TRAINED[key] = bpe.train(inputs.documents(spark, sf_dir, "text"), "text", BPE_VOCAB)
-    return _TRAINED[key]
+    """Tokenizer of the documents as they are now, of the default size; training is part of every query."""
+    return bpe.train(inputs.documents(spark, sf_dir, "text"), "text")
 
 
 # The check engine has no look-ahead: a mark before the last space of a run that a word follows does the same.
@@ -204,9 +197,7 @@ def pretoken_counts(spark, sf_dir):
 
 @query("bpe_merges")
 def bpe_merges(spark, sf_dir):
-    tokenizer = bpe.train(inputs.documents(spark, sf_dir, "text"), "text", BPE_VOCAB)
-    _TRAINED[spark.sparkContext.applicationId, sf_dir] = tokenizer
-    return tokenizer.merges_frame(spark)
+    return trained(spark, sf_dir).merges_frame(spark)
 
 
 @query("vocab_head")

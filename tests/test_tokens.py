@@ -271,3 +271,27 @@ def test_example_job(spark, data, trained):
     row = meta.first()
     assert grown.size == tokenizer.size + 2 and row["vocab_expanded"] and row["total_tokens"] == blocks.count() * 256
     assert blocks.where("size(tokens) <> 256 OR size(mask) <> 256").count() == 0
+
+
+def test_queries_train_the_default_size_on_the_data_as_they_are(spark, tmp_path):
+    from loomstone.plans import token_queries
+
+    text = " ".join(f"{a}{b}{c}" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyz")
+    for text in (text * 2, "other words other words"):
+        spark.createDataFrame([(1, text)], "doc_id bigint, text string").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+        merges = token_queries.bpe_merges(spark, str(tmp_path)).count()
+        assert merges == len(bpe.train(spark.createDataFrame([(text,)], "t string"), "t", 8000).merges)
+        assert token_queries.trained(spark, str(tmp_path)).size == merges + 5 + len(set(text.encode()))
+        assert merges > 300 or text.startswith("other")
+
+
+def test_merges_are_the_same_on_the_driver(spark, monkeypatch):
+    rng = __import__("random").Random(5)
+    texts = [("".join(rng.choice("aab c") for _ in range(rng.randint(0, 60))),) for _ in range(40)] + [("aaaaaaa aaaa é é",)]
+    docs = spark.createDataFrame(texts, "t string")
+    local = bpe.train(docs, "t", 60)
+    monkeypatch.setattr(bpe, "LOCAL_SYMBOLS", -1)
+    spread = bpe.train(docs, "t", 60)
+    assert (local.vocab, local.merges) == (spread.vocab, spread.merges)
+    monkeypatch.setattr(bpe, "LOCAL_SYMBOLS", 150)
+    assert bpe.train(docs, "t", 60).merges == local.merges
