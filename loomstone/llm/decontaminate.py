@@ -110,12 +110,17 @@ def _matches(items, rate):
     schema = pa.schema([("id", pa.int64()), ("item", pa.int64()), ("distance", pa.int32()), ("budget", pa.int32()), ("end", pa.int64())])
 
     def run(batches):
-        finder = Finder(items.value, rate)
+        # By place in the list: an item id may stand for several texts.
+        finder = Finder(list(enumerate(text for _, text in items.value)), rate)
         for batch in chunks(batches, "text"):
             out = []
             for key, text in zip(batch.column(0), batch.column(1)):
-                for item, (distance, _, end) in finder.find(normal(text.as_py())).items():
-                    out.append((key.as_py(), item, distance, finder.items[item][1], end))
+                best = {}
+                for place, (distance, _, end) in sorted(finder.find(normal(text.as_py())).items()):
+                    item = items.value[place][0]
+                    if item not in best or distance < best[item][0]:
+                        best[item] = (distance, finder.items[place][1], end)
+                out += [(key.as_py(), item, *values) for item, values in best.items()]
             columns = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
@@ -132,7 +137,8 @@ def find_items(
     length, rounded down; 0 for short items); ``end`` is where it ends in the normalised text. Items are sent to tasks in passes of
     about ``pass_chars`` characters by digest of their id, as many as the items' total size asks
     for, so a larger benchmark makes more passes and not larger tasks. Items with null id or
-    without text match nothing, equal items match each under its own id; repeated
+    without text match nothing, equal items match each under its own id, an id with several texts
+    matches as the one with the least distance; repeated
     documents give a row each; null texts match nothing; a document's null id stays null. An empty table on either side
     gives an empty result; other columns are not read.
     """

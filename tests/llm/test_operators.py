@@ -225,6 +225,14 @@ def test_items_awkward_rows(spark):
     assert decontaminate.find_items(frame(spark, AWKWARD), items.limit(0)).collect() == []
 
 
+def test_an_item_id_with_several_texts_finds_each(spark):
+    texts = ["the quick brown fox jumps over it", "zebras graze where no river runs"]
+    items = spark.createDataFrame([(7, t) for t in texts], "item_id bigint, text string")
+    docs = [(0, f"a {texts[0]} b", "en", "s"), (1, f"a {texts[1]} b", "en", "s"), (2, f"{texts[0][:-2]}at {texts[1]}", "en", "s"), (3, "none", "en", "s")]
+    got = decontaminate.find_items(frame(spark, docs), items).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in got) == [(0, 7, 0), (1, 7, 0), (2, 7, 0)]
+
+
 # -- learned scores
 
 
