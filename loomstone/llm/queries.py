@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, html_text, language_id, language_model, mixing, near_dedup, nearest, quality, tool_calls, toxicity
+from . import decontaminate, html_text, language_id, language_model, line_dedup, mixing, near_dedup, nearest, quality, structure_repair, tool_calls, toxicity, whitening
 from .common import Scratch, remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,11 +122,43 @@ def op10_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), lambda key: key % 20 == 0)
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    every = turns.select(F.col("conv_id").alias("conv"))
+    repaired = structure_repair.repair(structure_repair.damage(turns), Scratch(spark, "repair"), every)
+    return repaired.withColumnRenamed("conv", "conv_id")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), Scratch(spark, "line-dedup"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP13_SQL = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents
+), k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), r AS (
+  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), f AS (
+  SELECT k.*, coalesce(r.keeper <> k.doc_id, false) AS gone FROM k LEFT JOIN r ON k.key = r.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM f GROUP BY doc_id
+"""
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_tool_call_linking, op2_attention_quality, op3_ordinal_toxicity, op4_line_block_text, op5_minhash_near_dedup, op6_source_mixing,
-        op7_pigeonhole_decontamination, op8_deleted_interpolation, op9_hierarchical_language, op10_block_matrix_neighbours,
+        op7_pigeonhole_decontamination, op8_deleted_interpolation, op9_hierarchical_language, op10_block_matrix_neighbours, op11_structure_repair, op12_whitening,
+        op13_line_dedup,
     )
 }
-ORACLES: dict[str, str] = {"op1_tool_call_linking": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_tool_call_linking": OP1_SQL, "op13_line_dedup": OP13_SQL}
