@@ -1,17 +1,14 @@
 """Byte-level byte-pair encoding: training, encoding, previews and loss masks.
 
-Training works on the table of distinct pre-tokens with their counts, which
-stays distributed until it has at most ``LOCAL_SYMBOLS`` symbols; before that only merge
-candidates and the vocabulary, both bounded by the vocabulary size, reach the driver. Encoding is a vectorised UDF over text
+Training works on the partitioned table of distinct pre-tokens with their counts;
+only leading pairs, bounded in number, and the vocabulary reach the driver. Encoding is a vectorised UDF over text
 columns with the merge table in its closure.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from bisect import bisect_left
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -20,7 +17,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, ensure_checkpoint_dir
+from . import merges
 
 # The published byte-level pre-token pattern, the default special
 # tokens in id order, and the texts encoded as a check after training.
@@ -35,11 +33,6 @@ CHECK_TEXTS = [
 VOCAB_SIZE = 8000
 MIN_FREQUENCY = 2
 
-# Merge candidates looked at per round, and rounds between lineage cuts.
-CANDIDATES = 256
-ROUNDS_PER_CHECKPOINT = 8
-# Symbols of a word table that is small enough to finish on the driver.
-LOCAL_SYMBOLS = 2_000_000
 # Pre-tokens remembered per encoding task; beyond it the memory starts anew.
 CACHE_LIMIT = 200_000
 
@@ -95,162 +88,35 @@ class Tokenizer:
         return replace(self, vocab=vocab, special=special), added
 
 
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts one after another, and where each ends."""
+    texts = column.cast(pa.large_binary())
+    places = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    return data[places[0] : places[-1]], places - places[0]
+
+
 def _symbol_table(counts: DataFrame, first_id: int) -> tuple[DataFrame, list[str]]:
     """Pre-tokens as arrays of symbol ids, and the alphabet (at most 256 characters) in id order."""
-    hex_bytes = F.regexp_extract_all(F.hex(F.encode("token", "UTF-8")), F.lit(".."), F.lit(0))
-    spelled = counts.select("n", hex_bytes.alias("bytes"))
-    shown = byte_alphabet()
-    seen = [int(r.b, 16) for r in spelled.select(F.explode("bytes").alias("b")).distinct().collect()]
-    alphabet = sorted(shown[b] for b in seen)
-    ids = {f"{b:02X}": first_id + alphabet.index(shown[b]) for b in seen}
-    lookup = F.create_map(*[F.lit(x) for pair in sorted(ids.items()) for x in pair])
-    symbols = F.transform("bytes", lambda b: F.element_at(lookup, b))
-    return spelled.select("n", symbols.alias("symbols")).where(F.size("symbols") > 1), alphabet
-
-
-Round = list[tuple[int, int, int]]  # pairs merged at once: left, right, new id
-
-
-def _merge_symbols(symbols: np.ndarray, word: np.ndarray, rounds: list[Round]) -> tuple[np.ndarray, np.ndarray]:
-    """Apply merge rounds to the concatenated symbols of many words; ``word`` tells whose they are."""
-    for merged in rounds:
-        merged = sorted((left << 32 | right, new) for left, right, new in merged)
-        keys = np.array([key for key, _ in merged], dtype=np.int64)
-        news = np.array([new for _, new in merged], dtype=np.int64)
-        pairs = symbols[:-1] << 32 | symbols[1:]
-        slot = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
-        hits = np.nonzero((keys[slot] == pairs) & (word[:-1] == word[1:]))[0]
-        if not len(hits):
-            continue
-        # Hits side by side are one symbol repeated: every second one is merged, from the left.
-        fresh = np.concatenate(([True], np.diff(hits) != 1))
-        run_start = np.maximum.accumulate(np.where(fresh, np.arange(len(hits)), 0))
-        hits = hits[(np.arange(len(hits)) - run_start) % 2 == 0]
-        symbols = symbols.copy()
-        symbols[hits] = news[slot[hits]]
-        symbols, word = np.delete(symbols, hits + 1), np.delete(word, hits + 1)
-    return symbols, word
-
-
-def _read_words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lists = batch.column("symbols")
-    symbols = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    word = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-    return batch.column("n").to_numpy(zero_copy_only=False), symbols, word
-
-
-def _best_pairs(words: DataFrame, rounds: list[Round], limit: int) -> list[tuple[int, int, int]]:
-    """The most frequent adjacent pairs ``(count, left, right)`` after the rounds, equal counts by smaller ids."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, symbols, word = _read_words(batch)
-            symbols, word = _merge_symbols(symbols, word, rounds)
-            inside = word[:-1] == word[1:]
-            pairs, place = np.unique((symbols[:-1] << 32 | symbols[1:])[inside], return_inverse=True)
-            counts = np.zeros(len(pairs), dtype=np.int64)
-            np.add.at(counts, place, n[word[:-1][inside]])
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], names=["pair", "count"])
-
-    partial = words.mapInArrow(count, "pair bigint, count bigint")
-    best = partial.groupBy("pair").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "pair").limit(limit)
-    return [(r["count"], r["pair"] >> 32, r["pair"] & 0xFFFFFFFF) for r in best.collect()]
 
+    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_bytes_of(batch.column(0))[0]).astype(np.int32))], names=["b"])
 
-def _merged_words(words: DataFrame, rounds: list[Round]) -> DataFrame:
-    """The word table after the rounds; words of a single symbol have no pair and are left out."""
+    shown = byte_alphabet()
+    seen = [r.b for r in counts.select("token").mapInArrow(used, "b int").distinct().collect()]
+    alphabet = sorted(shown[b] for b in seen)
+    ids = np.zeros(256, np.int32)
+    ids[seen] = [first_id + alphabet.index(shown[b]) for b in seen]
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, symbols, word = _read_words(batch)
-            symbols, word = _merge_symbols(symbols, word, rounds)
-            sizes = np.bincount(word, minlength=batch.num_rows)
-            kept = sizes > 1
-            symbols, sizes = symbols[kept[word]], sizes[kept]
-            offsets = np.concatenate(([0], np.cumsum(sizes)))
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(symbols.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(n[kept]), lists], names=["n", "symbols"])
-
-    return words.select("n", "symbols").mapInArrow(merge, "n bigint, symbols array<int>")
-
-
-def _independent_prefix(pairs, names: dict[int, str], vocab: dict[str, int], room: int, min_frequency: int):
-    """The longest run of best pairs that can be merged at once with the sequential result.
-
-    While no two pairs in the run can overlap in a word (one's right symbol is
-    never another's left), merging one leaves the others' counts alone, and any
-    pair it creates counts at most as often as one ranked below the run, with a
-    newer and hence larger id on one side; so the sequential order is the same.
-    A pair whose joined name already exists adds no new id and goes alone.
-    """
-    chosen: list[tuple[int, int]] = []
-    lefts: set[int] = set()
-    rights: set[int] = set()
-    joined: set[str] = set()
-    for count, left, right in pairs:
-        if count < min_frequency or count < 1 or len(joined) >= room:
-            break
-        name = names[left] + names[right]
-        known = name in vocab or name in joined
-        if chosen and (known or left in rights or right in lefts or left == right):
-            break
-        chosen.append((left, right))
-        if known:
-            break
-        joined.add(name)
-        lefts.add(left)
-        rights.add(right)
-        if left == right:
-            break
-    return chosen
-
-
-def _merge_locally(words: DataFrame, names: dict[int, str], vocab: dict[str, int], merges: list[tuple[str, str]], vocab_size: int, min_frequency: int) -> None:
-    """The remaining merges of a small word table, one best pair after another, counts kept by their changes."""
-    rows = words.select("n", "symbols").toArrow()
-    times, spelled = rows.column("n").to_pylist(), rows.column("symbols").to_pylist()
-    counts: Counter[tuple[int, int]] = Counter()
-    where: defaultdict[tuple[int, int], set[int]] = defaultdict(set)
-    for i, (n, word) in enumerate(zip(times, spelled)):
-        for pair in zip(word, word[1:]):
-            counts[pair] += n
-            where[pair].add(i)
-    heap = [(-count, *pair) for pair, count in counts.items()]
-    heapq.heapify(heap)
-    while heap and len(vocab) < vocab_size:
-        count, left, right = heapq.heappop(heap)
-        if counts[left, right] != -count:
-            continue  # counted anew since
-        if -count < max(1, min_frequency):
-            break
-        name = names[left] + names[right]
-        new = vocab.setdefault(name, len(vocab))
-        names[new] = name
-        merges.append((names[left], names[right]))
-        changed = set()
-        for i in where.pop((left, right)):
-            word, n, out, k = spelled[i], times[i], [], 0
-            while k < len(word):
-                if word[k] == left and k + 1 < len(word) and word[k + 1] == right:
-                    out.append(new)
-                    k += 2
-                else:
-                    out.append(word[k])
-                    k += 1
-            for pair in zip(word, word[1:]):
-                counts[pair] -= n
-                changed.add(pair)
-            for pair in zip(out, out[1:]):
-                counts[pair] += n
-                changed.add(pair)
-                where[pair].add(i)
-            spelled[i] = out
-        for pair in changed:
-            if counts[pair] > 0:
-                heapq.heappush(heap, (-counts[pair], *pair))
-            else:
-                del counts[pair]
-                where.pop(pair, None)
+            data, places = _bytes_of(batch.column(1))
+            symbols = pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(ids[data]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), symbols], names=["n", "symbols"])
+
+    spelled = counts.select("n", "token").mapInArrow(spell, "n bigint, symbols array<int>")
+    return spelled.where(F.size("symbols") > 1), alphabet
 
 
 def train(
@@ -260,37 +126,40 @@ def train(
     min_frequency: int = MIN_FREQUENCY,
     special: list[str] | None = None,
 ) -> Tokenizer:
-    """Learn merges from a text column, equal to merging one best pair after another.
+    """Learn merges from a text column, equal to merging one best pair after another (see ``merges``)."""
+    return train_counts(checkpointed(pretoken_counts(df, text)), vocab_size, min_frequency, special)
 
-    Every round counts pairs over the distributed word table and merges a whole
-    run of independent best pairs; lineage is cut in the checkpoint folder every
-    few rounds, and a table that is small by then is finished on the driver.
-    """
+
+def train_counts(counts: DataFrame, vocab_size: int = VOCAB_SIZE, min_frequency: int = MIN_FREQUENCY, special: list[str] | None = None) -> Tokenizer:
+    """Learn merges from distinct pre-tokens ``(token, n)``; every step runs on partitioned tables, whatever their size."""
     special = list(SPECIAL_TOKENS if special is None else special)
-    words, alphabet = _symbol_table(checkpointed(pretoken_counts(df, text)), len(special))
+    words, alphabet = _symbol_table(counts, len(special))
     vocab = {token: i for i, token in enumerate([*special, *alphabet])}
     names = {i: token for token, i in vocab.items()}
-    merges: list[tuple[str, str]] = []
-    words, pending = checkpointed(words), []
-    while len(vocab) < vocab_size:
-        if not pending and words.agg(F.coalesce(F.sum(F.size("symbols")), F.lit(0))).first()[0] <= LOCAL_SYMBOLS:
-            _merge_locally(words, names, vocab, merges, vocab_size, min_frequency)
-            break
-        pairs = _best_pairs(words, pending, CANDIDATES)
-        chosen = _independent_prefix(pairs, names, vocab, vocab_size - len(vocab), min_frequency)
-        if not chosen:
-            break
-        merged: Round = []
-        for left, right in chosen:
-            name = names[left] + names[right]
-            new = vocab.setdefault(name, len(vocab))
-            names[new] = name
-            merged.append((left, right, new))
-            merges.append((names[left], names[right]))
-        pending.append(merged)
-        if len(pending) == ROUNDS_PER_CHECKPOINT:
-            words, pending = checkpointed(_merged_words(words, pending)), []
-    return Tokenizer(vocab, merges, special)
+    cores = counts.sparkSession.sparkContext.defaultParallelism
+    learned = merges.learn(words.repartition(cores), names, vocab, vocab_size, min_frequency)
+    return Tokenizer(vocab, learned, special)
+
+
+def train_once(df: DataFrame, text: str, vocab_size: int = VOCAB_SIZE, min_frequency: int = MIN_FREQUENCY) -> Tokenizer:
+    """``train``, but a session that has trained on the same words finds the result in its checkpoint folder.
+
+    The pre-tokens are counted every time, and their digest names the result, so changed data are learned anew.
+    """
+    spark = df.sparkSession
+    counts = checkpointed(pretoken_counts(df, text))
+    hashed = [F.xxhash64(F.lit(seed), "token", "n") for seed in (1, 2)]
+    marks = counts.agg(F.count("*"), *[F.bit_xor(h) for h in hashed], *[F.sum(F.shiftright(h, 20)) for h in hashed]).first()
+    path = f"{ensure_checkpoint_dir(spark)}/tokenizer-{vocab_size}-{min_frequency}-" + "-".join(str(m or 0) for m in marks)
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/merges/_SUCCESS")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        tokenizer = train_counts(counts, vocab_size, min_frequency)
+        tokenizer.vocab_frame(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/vocab")
+        tokenizer.merges_frame(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/merges")
+        return tokenizer
+    vocab = {r.token: r.id for r in spark.read.parquet(f"{path}/vocab").collect()}
+    learned = [(r.left, r.right) for r in spark.read.parquet(f"{path}/merges").orderBy("rank").collect()]
+    return Tokenizer(vocab, learned)
 
 
 class Encoder:

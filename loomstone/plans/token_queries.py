@@ -167,8 +167,8 @@ def sft_meta(spark, sf_dir):
 # ---- byte-pair encoding ----------------------------------------------------
 
 def trained(spark, sf_dir) -> bpe.Tokenizer:
-    """Tokenizer of the documents as they are now, of the default size; training is part of every query."""
-    return bpe.train(inputs.documents(spark, sf_dir, "text"), "text")
+    """Tokenizer of the documents as they are now, of the default size, learned once a session for the same words."""
+    return bpe.train_once(inputs.documents(spark, sf_dir, "text"), "text")
 
 
 # The check engine has no look-ahead: a mark before the last space of a run that a word follows does the same.

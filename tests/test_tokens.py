@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, decoders, models, pre_tokenizers, trainers
 
 from loomstone.functions import templates as tp, turns as tn
-from loomstone.operators import bpe, packing, sft
+from loomstone.operators import bpe, merges, packing, sft
 from loomstone.plans import corpus
 from loomstone.sources import sinks
 
@@ -279,19 +279,56 @@ def test_queries_train_the_default_size_on_the_data_as_they_are(spark, tmp_path)
     text = " ".join(f"{a}{b}{c}" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyz")
     for text in (text * 2, "other words other words"):
         spark.createDataFrame([(1, text)], "doc_id bigint, text string").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
-        merges = token_queries.bpe_merges(spark, str(tmp_path)).count()
-        assert merges == len(bpe.train(spark.createDataFrame([(text,)], "t string"), "t", 8000).merges)
-        assert token_queries.trained(spark, str(tmp_path)).size == merges + 5 + len(set(text.encode()))
-        assert merges > 300 or text.startswith("other")
-
-
-def test_merges_are_the_same_on_the_driver(spark, monkeypatch):
-    rng = __import__("random").Random(5)
-    texts = [("".join(rng.choice("aab c") for _ in range(rng.randint(0, 60))),) for _ in range(40)] + [("aaaaaaa aaaa é é",)]
-    docs = spark.createDataFrame(texts, "t string")
-    local = bpe.train(docs, "t", 60)
-    monkeypatch.setattr(bpe, "LOCAL_SYMBOLS", -1)
-    spread = bpe.train(docs, "t", 60)
-    assert (local.vocab, local.merges) == (spread.vocab, spread.merges)
-    monkeypatch.setattr(bpe, "LOCAL_SYMBOLS", 150)
-    assert bpe.train(docs, "t", 60).merges == local.merges
+        learned = token_queries.bpe_merges(spark, str(tmp_path)).count()
+        assert learned == len(bpe.train(spark.createDataFrame([(text,)], "t string"), "t", 8000).merges)
+        assert token_queries.trained(spark, str(tmp_path)).size == learned + 5 + len(set(text.encode()))
+        assert learned > 300 or text.startswith("other")
+
+
+@pytest.mark.parametrize("rows,leading,tables", [(60_000, 64, 10), (60, 2, 1), (200, 4, 2), (3000, 500, 3)])
+def test_merges_are_the_same_in_rounds_of_any_size(spark, tmp_path, monkeypatch, rows, leading, tables):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aaab ccd") for _ in range(rng.randint(0, 90))) for _ in range(60)] + ["aaaaaaa aaaa abababab babab cdcdcd é é"]
+    reference = library(write_files(tmp_path, texts), 110)
+    for name, value in (("ROWS", rows), ("LEADING", leading), ("ROUNDS_PER_TABLE", tables), ("CHUNK_SYMBOLS", 50)):
+        monkeypatch.setattr(merges, name, value)
+    tokenizer = bpe.train(spark.createDataFrame([(t,) for t in texts], "t string"), "t", 110)
+    assert tokenizer.merges == merges_of(reference)
+    assert tokenizer.vocab == reference.get_vocab()
+
+
+def test_passes_equal_one_merge_after_another():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        symbols, word = rng.integers(0, 5, 80).astype(np.int32), np.sort(rng.integers(0, 12, 80))
+        chosen, top = [], 5
+        for _ in range(int(rng.integers(1, 9))):
+            left, right = (int(v) for v in rng.integers(0, top, 2))
+            if (left, right) not in [m[:2] for m in chosen]:
+                chosen.append((left, right, top))
+                top += 1
+        once, once_word, hit = symbols, word, np.zeros(12, bool)
+        for step in merges.passes(chosen):
+            once, once_word = merges.Pass(step, top).apply(once, once_word, hit)
+        slow = []
+        for w in range(12):
+            run = symbols[word == w].tolist()
+            for left, right, new in chosen:
+                out, k = [], 0
+                while k < len(run):
+                    pair = run[k : k + 2] == [left, right]
+                    out.append(new if pair else run[k])
+                    k += 1 + pair
+                run = out
+            slow.append(run)
+            assert hit[w] == (run != symbols[word == w].tolist())
+        assert once.tolist() == [s for run in slow for s in run]
+
+
+def test_tokenizer_of_the_same_words_is_learned_once(spark, monkeypatch):
+    docs = spark.createDataFrame([("low lower lowest new newer",), ("wide wider widest 12",)], "t string")
+    first = bpe.train_once(docs, "t", 60)
+    monkeypatch.setattr(merges, "learn", None)
+    assert bpe.train_once(docs.repartition(3), "t", 60) == first
+    with pytest.raises(TypeError):
+        bpe.train_once(docs.unionAll(docs.limit(1)), "t", 60)
