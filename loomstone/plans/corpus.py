@@ -95,9 +95,7 @@ def read_records(spark: SparkSession, path: str, columns: list[str] | None = Non
         parts = rows.select("source", F.col("line_no").alias("rec_ord"), *[if_text(c) for c in columns])
         records = extract.extract_columns(parts, columns, separator, keep_blank=True)
     elif columns and lowered.endswith((".csv", ".tsv")):
-        rows = files.read_delimited(spark, path).select(
-            F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("rec_ord"), *columns
-        )
+        rows = files.read_delimited(spark, path, numbered=True).select("source", "rec_ord", *columns)
         records = extract.extract_columns(rows, columns, separator)
     else:
         lines = files.read_lines(spark, path, closing_line=True)

@@ -97,6 +97,45 @@ def json_array_source(spark, sf_dir):
     return objects.select("conv_id", "line_no", record["role"].alias("role"), record["text"].alias("text"))
 
 
+def _rows_sql(extension: str, rows: str) -> str:
+    return f"SELECT source, '{extension}' AS ext, {rows} AS n FROM documents GROUP BY source"
+
+
+@query(
+    "row_counts_by_reader",
+    f"""{_rows_sql('csv', 'count(*)')} UNION ALL {_rows_sql('tsv', 'count(*)')} UNION ALL {_rows_sql('json', 'count(*) + 1')}
+    UNION ALL {_rows_sql('jsonl', "count(*) FILTER (doc_id % 5 <> 0)")} HAVING count(*) FILTER (doc_id % 5 <> 0) > 0 UNION ALL {_rows_sql('txt', "sum(len(string_split(text, chr(10))))::BIGINT")}""",
+)
+def row_counts_by_reader(spark, sf_dir):
+    """Rows of files of each format as their readers count them; each source is one file, and texts hold newlines and quotes."""
+    result = None
+    rows = _by_source(spark, sf_dir, "text")
+    record = F.to_json(F.struct("doc_id", "text"))
+    array = F.concat(F.lit("[0,"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda r: r["line"]), ",\n"), F.lit("]"))
+    for ext in ("csv", "tsv", "json", "jsonl", "txt"):
+        folder = inputs.scratch(spark, f"counted-{ext}")
+        if ext in ("csv", "tsv"):
+            sep = "," if ext == "csv" else "\t"
+            rows.write.partitionBy("source").csv(folder, header=True, sep=sep, quote='"', escape='"')
+        else:
+            # One text a file; lines that are no object count in no reader of JSON lines.
+            lines = {
+                "json": rows.select("source", "doc_id", record.alias("line")).groupBy("source").agg(array.alias("value")),
+                "jsonl": rows.select("source", F.when(F.col("doc_id") % 5 == 0, "{cut").otherwise(record).alias("value")),
+                "txt": rows.select("source", F.col("text").alias("value")),
+            }
+            lines[ext].write.partitionBy("source").text(folder)
+        counts = {
+            "csv": lambda f: files.blocks.count_delimited(spark, f, ","), "tsv": lambda f: files.blocks.count_delimited(spark, f, "\t"),
+            "json": lambda f: files.blocks.count_json_arrays(spark, f)[0],
+            "jsonl": lambda f: files.read_jsonl(spark, f).groupBy("source").agg(F.count("*").alias("n")),
+            "txt": lambda f: files.read_lines(spark, f).groupBy("source").agg(F.count("*").alias("n")),
+        }[ext](f"{folder}/*/*")
+        counted = counts.groupBy(_folder_name("source").alias("source")).agg(F.sum("n").alias("n")).select("source", F.lit(ext).alias("ext"), "n")
+        result = counted if result is None else result.unionByName(counted)
+    return result
+
+
 @query(
     "file_catalog",
     """SELECT job, CASE WHEN job = 'tokenizer' THEN 0 ELSE count(DISTINCT source) END AS files FROM documents, (VALUES ('all'), ('text'), ('sft'), ('tokenizer')) AS t(job) GROUP BY job""",

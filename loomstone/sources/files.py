@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
 from ..operators import scan
+from . import blocks
 
 # File extensions listed as data sets, and those each job reads.
 DATASET_EXTENSIONS = [".txt", ".jsonl", ".json", ".csv", ".tsv", ".parquet"]
@@ -83,35 +84,76 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Objects of JSON documents as ``(source, line_no, line)``; malformed documents are an error."""
-    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("doc"))
-    return json_documents(docs, "source", "doc")
+    """Objects of JSON documents as ``(source, line_no, line)``, keys in their order; malformed documents are an error.
+
+    Files that hold an array are read split by split; others are read whole.
+    """
+    found, others = blocks.json_array_objects(spark, path)
+    checked = found.withColumn("line", F.when(F.json_object_keys("line").isNotNull(), F.col("line")).otherwise(F.raise_error(F.concat(F.col("source"), F.lit(": malformed JSON")))))
+    if not others:
+        return checked
+    docs = spark.read.text(others, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("doc"))
+    return checked.unionByName(json_documents(docs, "source", "doc"))
 
 
 def json_documents(docs: DataFrame, source: str, text: str) -> DataFrame:
-    """Objects inside JSON documents: an array of objects, one object, or ``{"data": [...]}``."""
-    spark = docs.sparkSession
-    parsed = docs.select(source, F.coalesce(tx.parsed_json(F.col(text)), F.parse_json(text)).alias("doc"))
-    listed = F.when(F.schema_of_variant("doc").like("ARRAY%"), F.col("doc")).otherwise(
-        F.expr("try_variant_get(doc, '$.data', 'variant')")
-    )
-    shaped = parsed.withColumn("listed", listed)
-    is_list = F.coalesce(F.schema_of_variant("listed").like("ARRAY%"), F.lit(False))
-    several = shaped.where(is_list).lateralJoin(spark.tvf.variant_explode(F.col("listed").outer()))
-    several = several.select(source, (F.col("pos") + 1).cast("bigint").alias("line_no"), "value")
-    single = shaped.where(~is_list).select(source, F.lit(1).cast("bigint").alias("line_no"), F.col("doc").alias("value"))
-    return (
-        several.unionByName(single)
-        .where(F.schema_of_variant("value").like("OBJECT%"))
-        .select(source, "line_no", F.to_json("value").alias("line"))
+    """Objects inside JSON documents: an array of objects, one object, or ``{"data": [...]}``; keys keep their order."""
+    doc = F.col(text)
+    strict = {**tx.ANY_LENGTH, "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+    def elements(as_text: Column, as_value: Column) -> Column:
+        return F.arrays_zip(as_text.alias("line"), F.transform(as_value, lambda v: F.schema_of_variant(v).like("OBJECT%")).alias("object"))
+
+    listed = F.from_json(doc, "array<string>", strict)
+    data = F.from_json(doc, "struct<data:array<string>>", strict)["data"]
+    one = F.from_json(doc, "map<string,string>", strict).isNotNull()
+    bad = F.when(~tx.valid_json(doc), F.raise_error(F.lit("malformed JSON document")).cast("boolean"))
+    kind = F.when(listed.isNotNull(), 1).when(one & data.isNotNull(), 2).when(one, 3).otherwise(F.coalesce(bad.cast("int"), F.lit(0)))
+    told = docs.select(source, doc.alias("doc"), kind.alias("kind")).where("kind > 0")
+    parts = (
+        F.when(F.col("kind") == 1, elements(F.from_json("doc", "array<string>", strict), F.from_json("doc", "array<variant>", strict)))
+        .when(F.col("kind") == 2, elements(F.from_json("doc", "struct<data:array<string>>", strict)["data"], F.from_json("doc", "struct<data:array<variant>>", strict)["data"]))
+        .otherwise(F.array(F.struct(F.col("doc").alias("line"), F.lit(True).alias("object"))))
     )
+    found = told.select(source, F.posexplode(parts).alias("pos", "e"))
+    return found.where("e.object").select(source, (F.col("pos") + 1).cast("bigint").alias("line_no"), F.col("e.line").alias("line"))
+
+
+def _separator(path: str, sep: str | None) -> str:
+    return sep or ("\t" if path.lower().endswith(".tsv") else ",")
+
 
+def read_delimited(spark: SparkSession, path: str, sep: str | None = None, numbered: bool = False) -> DataFrame:
+    """CSV or TSV with a header, every value a string; large files are read split by split, also where quoted fields hold newlines.
 
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """CSV or TSV with a header, every value a string."""
-    if sep is None:
-        sep = "\t" if path.lower().endswith(".tsv") else ","
-    return spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True, inferSchema=False)
+    ``numbered`` adds ``source`` and ``rec_ord``, the place of the record in its file, from 1.
+    """
+    sep = _separator(path, sep)
+    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true"}
+    names = spark.read.csv(path, header=True, inferSchema=False, **options).columns
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    records = blocks.delimited_records(spark, path, sep).where("number > 1")
+    parsed = records.select("source", (F.col("number") - 1).alias("rec_ord"), F.from_csv("text", schema, options).alias("r"))
+    return parsed.select(*(["source", "rec_ord"] if numbered else []), "r.*")
+
+
+def count_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(source, n): records of each file as its reader counts them, without parsing their values where the format allows it.
+
+    JSON lines: objects; JSON: elements of the array (or of the array under ``data``), 1 for another object; CSV and TSV: records without the header; text: lines.
+    """
+    lowered = path.lower()
+    if lowered.endswith((".csv", ".tsv")):
+        return blocks.count_delimited(spark, path, _separator(path, None))
+    if lowered.endswith(".json"):
+        arrays, others = blocks.count_json_arrays(spark, path)
+        if not others:
+            return arrays
+        docs = spark.read.text(others, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("doc"))
+        data = F.size(F.from_json("doc", "struct<data:array<string>>", tx.ANY_LENGTH)["data"])
+        return arrays.unionByName(docs.select("source", F.when(data >= 0, data).otherwise(1).cast("bigint").alias("n")))
+    rows = read_jsonl(spark, path) if lowered.endswith(".jsonl") else read_lines(spark, path)
+    return rows.groupBy("source").agg(F.count("*").alias("n"))
 
 
 def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:

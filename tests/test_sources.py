@@ -1,5 +1,7 @@
+import csv
 import json
 import os
+import random
 import time
 
 import pytest
@@ -60,6 +62,89 @@ def test_delimited_values_stay_strings(spark, tmp_path):
     assert tuple(files.read_delimited(spark, write(tmp_path, "x.tsv", "a\tb\n1\t2\n")).first()) == ("1", "2")
 
 
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def random_field(rng):
+    return "".join(rng.choice(["a", "b", ",", '"', "\n", "\r\n", "\t", " ", "é", '""', ',"', "long " * 30]) for _ in range(rng.randrange(9)))
+
+
+@pytest.mark.parametrize("sep,ext", [(",", "csv"), ("\t", "tsv")])
+def test_delimited_records_are_cut_right_in_any_split(spark, tmp_path, small_splits, sep, ext):
+    rng = random.Random(ext)
+    table = [[str(i), random_field(rng) + "x", random_field(rng) + "y"] for i in range(700)]
+    table[300][1] = "over several splits \n" * 900 + '"'
+    with open(tmp_path / f"t.{ext}", "w", newline="", encoding="utf-8") as f:
+        out = csv.writer(f, delimiter=sep, lineterminator="\n")
+        out.writerow(["n", "b`c", "d"])
+        out.writerows(table)
+        f.write("\n\n")
+    read = files.read_delimited(spark, str(tmp_path / f"t.{ext}"), numbered=True)
+    assert spark.read.text(str(tmp_path / f"t.{ext}")).rdd.getNumPartitions() > 20
+    rows = read.orderBy("rec_ord").collect()
+    assert [list(r)[2:] for r in rows] == table and [r.rec_ord for r in rows] == list(range(1, 701))
+    assert [r.n for r in files.count_rows(spark, str(tmp_path / f"t.{ext}")).collect()] == [700]
+
+
+def test_delimited_odd_files(spark, tmp_path):
+    path = write(tmp_path, "x.csv", 'a,b\r\n\r\n1,q"w\r\n"un\nclosed,2\n')
+    assert [tuple(r) for r in files.read_delimited(spark, path, numbered=True).select("rec_ord", "a", "b").orderBy("rec_ord").collect()][0] == (1, "1", 'q"w')
+    assert [r.n for r in files.count_rows(spark, path).collect()] == [2]
+    assert [r.n for r in files.count_rows(spark, write(tmp_path, "h.csv", "a,b\n")).collect()] == [0]
+    assert files.read_delimited(spark, str(tmp_path / "h.csv")).collect() == []
+
+
+def random_value(rng, depth):
+    kind = rng.randrange(9 if depth else 6)
+    if kind < 3:
+        return "".join(rng.choice(["a", "}", "{", "]", "[", '"', "\\", ",", "é", "\n", "pad " * 20]) for _ in range(rng.randrange(6)))
+    if kind < 6:
+        return rng.choice([None, True, 1, -2.5, ""])
+    if kind < 7:
+        return [random_value(rng, depth - 1) for _ in range(rng.randrange(4))]
+    keys = rng.sample("zyxwab", rng.randrange(5))
+    return {k: random_value(rng, depth - 1) for k in keys}
+
+
+@pytest.mark.parametrize("seed,indent", [(1, None), (2, 2), (3, None)])
+def test_json_arrays_are_cut_right_in_any_split(spark, tmp_path, small_splits, seed, indent):
+    rng = random.Random(seed)
+    data = [random_value(rng, 3) if rng.random() < 0.3 else {"z": i, "a": random_value(rng, 2), "deep": random_value(rng, 3)} for i in range(500)]
+    data[250] = {"z": "} , {" * 3000, "a": [[], {}, [{}]]}
+    path = write(tmp_path, "x.json", "\ufeff " * (seed == 3) + json.dumps(data, ensure_ascii=False, indent=indent) + "\n" * seed)
+    assert spark.read.option("lineSep", "}").text(path).rdd.getNumPartitions() > 10
+    rows = files.read_json(spark, path).orderBy("line_no").collect()
+    objects = [(i + 1, v) for i, v in enumerate(data) if isinstance(v, dict)]
+    assert [(r.line_no, json.loads(r.line)) for r in rows] == objects
+    assert [list(json.loads(r.line)) for r in rows] == [list(v) for _, v in objects]
+    assert [r.n for r in files.count_rows(spark, path).collect()] == [500]
+
+
+@pytest.mark.parametrize("content,n", [("[]", 0), (" [ ] ", 0), ("[1]", 1), ("[[]]", 1), ('["a,]}", 2]', 2), ('[{"a": 1}]', 1), ('{"data": [1, 2]}', 2), ('{"data": 1}', 1)])
+def test_json_counts(spark, tmp_path, content, n):
+    assert [r.n for r in files.count_rows(spark, write(tmp_path, "x.json", content)).collect()] == [n]
+
+
+@pytest.mark.parametrize("content", ['[{"a": 1}', '[{"a": 1}, {"b": "x}]', '{"a": 1', "[{bad}]", "nothing"])
+def test_malformed_json_documents_are_an_error(spark, tmp_path, content):
+    with pytest.raises(Exception):
+        files.read_json(spark, write(tmp_path, "x.json", content)).collect()
+
+
+def test_keys_of_json_documents_keep_their_order(spark):
+    docs = spark.createDataFrame([(1, '[{"z": 1, "a": {"y": 2, "b": 3}}, "{x}", null]'), (2, '{"n": 0, "data": [{"q": 1, "c": 2}]}'), (3, '{"z": 1, "a": 2}')], "k int, doc string")
+    rows = files.json_documents(docs, "k", "doc").orderBy("k", "line_no").collect()
+    assert [(r.k, r.line_no, json.dumps(json.loads(r.line))) for r in rows] == [
+        (1, 1, '{"z": 1, "a": {"y": 2, "b": 3}}'), (2, 1, '{"q": 1, "c": 2}'), (3, 1, '{"z": 1, "a": 2}'),
+    ]
+
+
 def test_catalogue_and_job_lists(spark, tmp_path):
     for name in ("b.TXT", "a.jsonl", "c.parquet", "d.bin", "e.json"):
         write(tmp_path, name, name)
