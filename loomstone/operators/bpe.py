@@ -1,24 +1,21 @@
 """Byte-level byte-pair encoding: training, encoding, previews and loss masks.
 
 Training works on the partitioned table of distinct pre-tokens with their counts;
-only leading pairs, bounded in number, and the vocabulary reach the driver. Encoding is a vectorised UDF over text
-columns with the merge table in its closure.
+only leading pairs, bounded in number, and the vocabulary reach the driver. Encoding takes Arrow batches whole, with the
+merge table in its closure.
 """
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import checkpointed, ensure_checkpoint_dir
-from . import merges
+from . import encoding, merges
 
 # The published byte-level pre-token pattern, the default special
 # tokens in id order, and the texts encoded as a check after training.
@@ -33,9 +30,6 @@ CHECK_TEXTS = [
 VOCAB_SIZE = 8000
 MIN_FREQUENCY = 2
 
-# Pre-tokens remembered per encoding task; beyond it the memory starts anew.
-CACHE_LIMIT = 200_000
-
 
 def byte_alphabet() -> dict[int, str]:
     """Printable stand-in of every byte: itself when printable, else the next character from U+0100 on."""
@@ -88,20 +82,12 @@ class Tokenizer:
         return replace(self, vocab=vocab, special=special), added
 
 
-def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts one after another, and where each ends."""
-    texts = column.cast(pa.large_binary())
-    places = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    return data[places[0] : places[-1]], places - places[0]
-
-
 def _symbol_table(counts: DataFrame, first_id: int) -> tuple[DataFrame, list[str]]:
     """Pre-tokens as arrays of symbol ids, and the alphabet (at most 256 characters) in id order."""
 
     def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_bytes_of(batch.column(0))[0]).astype(np.int32))], names=["b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(encoding.byte_ranges(batch.column(0))[0]).astype(np.int32))], names=["b"])
 
     shown = byte_alphabet()
     seen = [r.b for r in counts.select("token").mapInArrow(used, "b int").distinct().collect()]
@@ -111,7 +97,7 @@ def _symbol_table(counts: DataFrame, first_id: int) -> tuple[DataFrame, list[str
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, places = _bytes_of(batch.column(1))
+            data, places = encoding.byte_ranges(batch.column(1))
             symbols = pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(ids[data]))
             yield pa.RecordBatch.from_arrays([batch.column(0), symbols], names=["n", "symbols"])
 
@@ -162,93 +148,18 @@ def train_once(df: DataFrame, text: str, vocab_size: int = VOCAB_SIZE, min_frequ
     return Tokenizer(vocab, learned)
 
 
-class Encoder:
-    """Encodes text inside a task; remembers the ids of pre-tokens it has met."""
-
-    def __init__(self, tokenizer: Tokenizer):
-        import regex
-
-        self.vocab = tokenizer.vocab
-        self.ranks = {pair: n for n, pair in enumerate(tokenizer.merges)}
-        self.shown = byte_alphabet()
-        self.split = regex.compile(PRETOKEN_PATTERN).findall
-        self.spans = regex.compile(PRETOKEN_PATTERN).finditer
-        longest_first = sorted(tokenizer.special, key=len, reverse=True)
-        self.special = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
-        self.known: dict[str, list[int]] = {}
-
-    def _ids(self, pretoken: str) -> list[int]:
-        ids = self.known.get(pretoken)
-        if ids is not None:
-            return ids
-        shown, vocab, ranks = self.shown, self.vocab, self.ranks
-        # Bytes never seen in training have no id and are left out.
-        parts = [c for c in (shown[b] for b in pretoken.encode("utf-8")) if c in vocab]
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:]), key=lambda pair: ranks.get(pair, 1 << 60))
-            if best not in ranks:
-                break
-            merged, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == best:
-                    merged.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    merged.append(parts[i])
-                    i += 1
-            parts = merged
-        ids = [vocab[p] for p in parts]
-        if len(self.known) >= CACHE_LIMIT:
-            self.known.clear()
-        self.known[pretoken] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for n, stretch in enumerate(self.special.split(text) if self.special else [text]):
-            if n % 2:
-                out.append(self.vocab[stretch])
-            else:
-                for pretoken in self.split(stretch):
-                    out.extend(self._ids(pretoken))
-        return out
-
-    def encode_with_cuts(self, text: str, cuts: list[int]) -> tuple[list[int], list[int]]:
-        """Ids of the text, and for each cut position how many ids the text before it has when encoded alone.
-
-        Pre-tokens that end before a cut are the same in both encodings, so only
-        the short stretch up to the cut is encoded again.
-        """
-        out: list[int] = []
-        ends, starts, before = [], [], []
-        position = 0
-        for n, stretch in enumerate(self.special.split(text) if self.special else [text]):
-            if n % 2:
-                pieces = [(position, position + len(stretch), [self.vocab[stretch]])]
-            else:
-                pieces = [(position + m.start(), position + m.end(), self._ids(m.group())) for m in self.spans(stretch)]
-            for start, end, ids in pieces:
-                starts.append(start)
-                ends.append(end)
-                before.append(len(out))
-                out.extend(ids)
-            position += len(stretch)
-        counts = []
-        for cut in cuts:
-            # First piece that reaches the cut: everything before it is settled.
-            i = bisect_left(ends, cut)
-            counts.append(before[i] + len(self.encode(text[starts[i] : cut])) if i < len(ends) else len(out))
-        return out, counts
+def encoder(tokenizer: Tokenizer) -> encoding.Encoder:
+    """Encoder of a tokenizer, for use inside a task."""
+    return encoding.Encoder(tokenizer.vocab, tokenizer.merges, tokenizer.special, byte_alphabet())
 
 
 def encode(tokenizer: Tokenizer, text: Column) -> Column:
-    """Ids of a text column as ``array<int>``."""
+    """Ids of a text column as ``array<int>``; null gives none."""
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(tokenizer)
-        for batch in batches:
-            yield batch.map(lambda t: encoder.encode(t) if t is not None else [])
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = encoder(tokenizer)
+        yield from encoding.each(batches, own.encode_texts)
 
     return run(text)
 
@@ -259,18 +170,16 @@ def encode_chunks(tokenizer: Tokenizer, chunks: DataFrame, text: str = "text") -
 
 
 def decode(tokenizer: Tokenizer, ids: Column, skip_special: bool = True) -> Column:
-    """Text of an id column; bytes that form no character become the replacement character."""
+    """Text of an id column; bytes that form no character become the replacement character, null gives an empty text."""
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         back = {c: b for b, c in byte_alphabet().items()}
         special = set(tokenizer.special)
-        spelled = {
-            i: (b"" if skip_special else t.encode()) if t in special else bytes(back[c] for c in t)
-            for t, i in tokenizer.vocab.items()
-        }
-        for batch in batches:
-            yield batch.map(lambda row: b"".join(spelled[i] for i in row).decode("utf-8", errors="replace"))
+        spelling = [b""] * (1 + max(tokenizer.vocab.values(), default=-1))
+        for token, i in tokenizer.vocab.items():
+            spelling[i] = (b"" if skip_special else token.encode()) if token in special else bytes(back[c] for c in token)
+        yield from encoding.each(batches, lambda lists: encoding.spelled_out(lists, spelling))
 
     return run(ids)
 
@@ -278,11 +187,12 @@ def decode(tokenizer: Tokenizer, ids: Column, skip_special: bool = True) -> Colu
 def sample_encodings(tokenizer: Tokenizer, df: DataFrame, text: str, *keep: str, shown: int = 30) -> DataFrame:
     """The first tokens and ids of each text, and how many there are."""
 
-    @F.pandas_udf("array<string>")
-    def names(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        stored = {i: t for t, i in tokenizer.vocab.items()}
-        for batch in batches:
-            yield batch.map(lambda ids: [stored[i] for i in ids])
+    @F.arrow_udf("array<string>")
+    def names(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        stored = [""] * (1 + max(tokenizer.vocab.values(), default=-1))
+        for token, i in tokenizer.vocab.items():
+            stored[i] = token
+        yield from encoding.each(batches, lambda lists: encoding.named(lists, stored))
 
     encoded = df.select(*keep, text, encode(tokenizer, F.col(text)).alias("all_ids"))
     return encoded.select(
@@ -333,25 +243,13 @@ def sft_examples(tokenizer: Tokenizer, df: DataFrame, parts: str, *keep: str) ->
     its content and the encoding of the text up to its footer.
     """
 
-    @F.pandas_udf("struct<tokens:array<int>,mask:array<int>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer)
-        for batch in batches:
-            tokens, masks = [], []
-            for turns in batch:
-                text, cuts = "", []
-                for turn in turns:
-                    begin = len(text) + len(turn["head"])
-                    text += turn["head"] + turn["body"]
-                    if turn["assistant"]:
-                        cuts += [begin, len(text)]
-                ids, counts = encoder.encode_with_cuts(text, cuts)
-                mask = [0] * len(ids)
-                for start, end in zip(counts[::2], counts[1::2]):
-                    for i in range(start, min(end, len(ids))):
-                        mask[i] = 1
-                tokens.append(ids)
-                masks.append(mask)
-            yield pd.DataFrame({"tokens": tokens, "mask": masks})
+    @F.arrow_udf("struct<tokens:array<int>,mask:array<int>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = encoder(tokenizer)
+
+        def made(rows: pa.Array) -> pa.Array:
+            return pa.StructArray.from_arrays(own.examples(rows), names=["tokens", "mask"])
+
+        yield from encoding.each(batches, made)
 
     return df.select(*keep, run(F.col(parts)).alias("__ex")).select(*keep, "__ex.tokens", "__ex.mask")

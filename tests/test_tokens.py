@@ -1,13 +1,15 @@
 import json
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, decoders, models, pre_tokenizers, trainers
 
 from loomstone.functions import templates as tp, turns as tn
-from loomstone.operators import bpe, merges, packing, sft
+from loomstone.operators import bpe, encoding, merges, packing, sft
 from loomstone.plans import corpus
 from loomstone.sources import sinks
 
@@ -64,7 +66,7 @@ def test_small_corpora_train_like_the_library(spark, tmp_path, text, vocab_size,
 def test_known_small_corpus(spark):
     tokenizer = bpe.train(spark.createDataFrame([("abab abab cd cd xy",)], "t string"), "t", 60)
     assert tokenizer.merges == [("a", "b"), ("c", "d"), ("Ġ", "cd"), ("ab", "ab")]
-    assert bpe.Encoder(tokenizer).encode("abZZab") == [tokenizer.vocab["abab"]]
+    assert bpe.encoder(tokenizer).encode("abZZab") == [tokenizer.vocab["abab"]]
 
 
 @pytest.mark.parametrize("seed", range(2))
@@ -85,6 +87,57 @@ def test_documents_train_and_encode_like_the_library(spark, data, trained):
     assert [list(r.ids) for r in encoded.collect()] == [reference.encode(t).ids for t in odd]
 
 
+def test_pieces_equal_the_published_pattern():
+    import regex
+
+    rng = random.Random(8)
+    atoms = ["a", "B", "é", "世", "1", "²", " ", "  ", "\n", "\t", "\u3000", "\u00a0", "'", "'s", "'ll", "'re", "'x", "'S", "!", "-", '"', "𝄞", "\u0301", "<pad>", "</s>", "<", "s>"]
+    special = regex.compile("<pad>|</s>")
+    for _ in range(60):
+        texts = ["".join(rng.choice(atoms) for _ in range(rng.randrange(12))) for _ in range(rng.randrange(1, 30))]
+        expected = []
+        for text in texts:
+            at = 0
+            for m in [*special.finditer(text), None]:
+                expected += [(p, False) for p in regex.findall(bpe.PRETOKEN_PATTERN, text[at : m.start() if m else len(text)])]
+                if m:
+                    expected.append((m.group(), True))
+                    at = m.end()
+        data, places = encoding.byte_ranges(pa.array(texts, pa.string()))
+        pieces = encoding.split_pieces(data, places, re.compile("<pad>|</s>"))
+        got = [data[a:b].tobytes().decode() for a, b in zip(pieces.begin, pieces.begin[1:])]
+        assert list(zip(got, pieces.special.tolist())) == expected
+
+
+def test_encoding_and_masks_in_small_chunks_and_with_nulls(spark, trained, monkeypatch):
+    tokenizer, reference, texts = trained
+    rng = random.Random(9)
+    odd = [None, "", "<pad>", "a<pad></s> b'll ", "'s" * 50, " " * 200 + "x", *texts[:40]]
+    expected = [reference.encode(t).ids if t else [] for t in odd]
+    for chunk, cache in ((1, 3), (100, 50), (1 << 20, 10_000)):
+        monkeypatch.setattr(encoding, "CHUNK_BYTES", chunk)
+        monkeypatch.setattr(encoding, "CACHE_LIMIT", cache)
+        own = bpe.encoder(tokenizer)
+        assert own.encode_texts(pa.array(odd, pa.string())).to_pylist() == expected
+        assert own.encode_texts(pa.array(odd, pa.string()).slice(3, 7)).to_pylist() == expected[3:10]
+    kind = pa.list_(pa.struct([("head", pa.string()), ("body", pa.string()), ("assistant", pa.bool_())]))
+    rows = [[{"head": rng.choice(["", "<s>", "user: "]), "body": rng.choice(["", " x", "it's  ", "\n\n", "'", "s a"]), "assistant": rng.random() < 0.6} for _ in range(rng.randrange(6))] for _ in range(200)]
+    ids, masks = own.examples(pa.array([*rows, None, []], kind))
+    for row, tokens, mask in zip(rows, ids.to_pylist(), masks.to_pylist()):
+        # The full text may still end a piece later than a prefix does: marks follow the prefixes.
+        full = reference.encode("".join(p["head"] + p["body"] for p in row)).ids
+        assert tokens == full and len(mask) == len(full)
+        text, slow = "", [0] * len(full)
+        for p in row:
+            begin = len(reference.encode(text + p["head"]).ids)
+            text += p["head"] + p["body"]
+            if p["assistant"]:
+                for i in range(begin, min(len(reference.encode(text).ids), len(full))):
+                    slow[i] = 1
+        assert mask == slow
+    assert ids.to_pylist()[-2:] == [[], []]
+
+
 def test_pretokens_lose_nothing(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     joined = F.array_join(bpe.pretokens(F.col("text")), "")
