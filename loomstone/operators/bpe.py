@@ -47,9 +47,8 @@ def pretokens(text: Column) -> Column:
 
 def pretoken_counts(df: DataFrame, text: str) -> DataFrame:
     """Distinct pre-tokens of all lines with their counts; a line keeps its newline, as in a file reader."""
-    lines = F.regexp_extract_all(F.col(text), F.lit(r"(?s)[^\n]*\n|[^\n]+"), F.lit(0))
-    tokens = df.select(F.explode(lines).alias("line")).select(F.explode(pretokens(F.col("line"))).alias("token"))
-    return tokens.groupBy("token").agg(F.count("*").alias("n"))
+    counted = df.select(F.col(text).cast("string")).mapInArrow(encoding.line_pieces, "token string, n bigint")
+    return counted.groupBy("token").agg(F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)

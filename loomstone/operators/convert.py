@@ -97,6 +97,46 @@ def strict_conversation(keys: Column, rec: Column, own: Column) -> Column:
     )
 
 
+def convert_by_first_record(rows: DataFrame, line: str, order: str) -> tuple[DataFrame, str]:
+    """Records of one data set converted by the format its first record shows: ``rows`` with ``conv``, and the format.
+
+    The first record in ``order`` (a record, not a line that is none) also tells which turn list, which question and answer keys and,
+    for an unknown format, which columns are read of all. A record that does not fit has a null ``conv``, as have lines that are no record.
+    """
+    spark = rows.sparkSession
+    usable = rows.where(fm.record_keys(F.col(line)).isNotNull())
+    first = usable.groupBy().agg(F.min_by(line, order).alias("line")).first()["line"]
+    if first is None:
+        return rows.withColumn("conv", tn.normalize_turns(F.from_json(F.lit(None).cast("string"), f"array<{_TURN}>"))), "unknown"
+    turns = F.when(fm.has_all(F.col("keys"), "conversations"), F.col("rec.conversations")).otherwise(F.col("rec.messages"))
+    probe = parse_records(spark.createDataFrame([(first,)], "line string"), "line")
+    decided = probe.select("keys", fm.detect_sft(F.col("keys"), turns.isNotNull(), F.col("rec.conversation").isNotNull()).alias("format")).first()
+    keys, fmt = decided["keys"], decided["format"]
+    rec = F.from_json(F.col(line), RECORD_SCHEMA, tx.ANY_LENGTH)
+    if fmt == "conversations":
+        conv = tn.normalize_turns(rec["conversations" if "conversations" in keys else "messages"])
+    elif fmt == "alpaca":
+        conv = tn.alpaca_strict(rec["instruction"], rec["input"], rec["output"])
+    elif fmt == "sharegpt":
+        conv = tn.normalize_turns(rec["conversation"], from_first=True)
+    elif fmt == "openorca":
+        conv = tn.with_optional_system(rec["system_prompt"], rec["question"], rec["response"])
+    elif fmt == "prompt_completion":
+        conv = tn.pair_or_null(rec["prompt"], rec["completion"])
+    elif fmt.startswith("qa:"):
+        question, answer = fmt[3:].split(",")
+        conv = tn.pair_or_null(rec[question], rec[answer])
+    else:
+        fields = F.from_json(F.col(line), "map<string,variant>", tx.ANY_LENGTH)
+
+        def text(name: str) -> Column:
+            value = F.try_element_at(fields, F.lit(name))
+            return F.when(F.schema_of_variant(value) == "STRING", value.cast("string"))
+
+        conv = tn.first_two_of(F.array(*[text(k) for k in keys]))
+    return rows.withColumn("conv", F.when(fm.record_keys(F.col(line)).isNotNull(), conv)), fmt
+
+
 def dialog_values(line: Column, name: str) -> Column:
     """The list of turns a record holds under ``name``, of any types; null when it is no list."""
     return F.from_json(line, f"`{name}` array<variant>", tx.ANY_LENGTH)[name]

@@ -117,6 +117,32 @@ def split_pieces(data: np.ndarray, places: np.ndarray, special: re.Pattern | Non
     return Pieces(np.append(first_byte[begins], len(data)), is_special)
 
 
+def chunks(places: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``CHUNK_BYTES``, one text at least."""
+    at = 0
+    while at < len(places) - 1:
+        to = max(at + 1, int(np.searchsorted(places, places[at] + CHUNK_BYTES, side="right")) - 1)
+        yield at, to
+        at = to
+
+
+def _pieces_of(data: np.ndarray, begin: np.ndarray) -> pa.Array:
+    buffers = [None, pa.py_buffer(np.ascontiguousarray(begin, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.Array.from_buffers(pa.large_binary(), len(begin) - 1, buffers)
+
+
+def line_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pre-tokens (token, n) of all lines of the first column, counted chunk by chunk; a line keeps its newline."""
+    for batch in batches:
+        whole, places = byte_ranges(batch.column(0))
+        for at, to in chunks(places):
+            data = whole[places[at] : places[to]]
+            lines = np.unique(np.concatenate((places[at : to + 1] - places[at], np.flatnonzero(data == 10) + 1)))
+            coded = _pieces_of(data, split_pieces(data, lines, None).begin).dictionary_encode()
+            n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.large_string()).cast(pa.string()), pa.array(n)], names=["token", "n"])
+
+
 class Encoded(NamedTuple):
     """Ids of a chunk, and the pieces they come from: where each begins in the bytes and in the ids (one entry more)."""
 
@@ -205,8 +231,7 @@ class Encoder:
         n = len(pieces.begin) - 1
         if not n:
             return Encoded(np.zeros(0, np.int32), pieces.begin, np.zeros(1, np.int64))
-        texts = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.ascontiguousarray(pieces.begin, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
-        coded = texts.dictionary_encode()
+        coded = _pieces_of(data, pieces.begin).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.place) + len(distinct) > CACHE_LIMIT:
             self._forget()
@@ -227,13 +252,11 @@ class Encoder:
     def encode_texts(self, column: pa.Array) -> pa.Array:
         """Ids of each text as a list; null gives none."""
         data, places = byte_ranges(column)
-        ids, counts, at = [], [], 0
-        while at < len(places) - 1:
-            to = max(at + 1, int(np.searchsorted(places, places[at] + CHUNK_BYTES, side="right")) - 1)
+        ids, counts = [], []
+        for at, to in chunks(places):
             some = self.encode_bytes(data[places[at] : places[to]], places[at : to + 1] - places[at])
             ids.append(some.ids)
             counts.append(some.counts(places[at : to + 1] - places[at]))
-            at = to
         ends = np.concatenate(([0], np.cumsum(np.concatenate(counts)))) if counts else np.zeros(1, np.int64)
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
 

@@ -245,12 +245,13 @@ def cells_of_columns(df: DataFrame, order: str) -> DataFrame:
 
 
 def cells_of_records(df: DataFrame, line: str, order: str) -> DataFrame:
-    """JSON lines as cells; records may differ in their keys, lines that are no object are left out."""
-    spark = df.sparkSession
-    parsed = df.select(F.col(order).alias("ord"), tx.parsed_json(F.col(line)).alias("record")).where(
-        "schema_of_variant(record) LIKE 'OBJECT%'"
-    )
-    cells = parsed.lateralJoin(spark.tvf.variant_explode(F.col("record").outer()))
+    """JSON lines as cells; records may differ in their keys, lines that are no object are left out.
+
+    A cell's ``pos`` is the place of its key in the record as written.
+    """
+    keys = F.from_json(line, "map<string,variant>", tx.ANY_LENGTH)
+    parsed = df.select(F.col(order).alias("ord"), F.when(tx.valid_json(F.col(line)), keys).alias("record"))
+    cells = parsed.select("ord", F.posexplode("record").alias("pos", "name", "value"))
     kind = F.regexp_extract(F.schema_of_variant("value"), "^[A-Z]+", 0)
     label = (
         F.when(kind == "STRING", "str")
@@ -264,7 +265,7 @@ def cells_of_records(df: DataFrame, line: str, order: str) -> DataFrame:
     shown = F.when(label == "NoneType", "").when(label == "str", F.col("value").cast("string")).otherwise(
         F.to_json("value")
     )
-    return cells.select("ord", "pos", F.col("key").alias("name"), label.alias("type"), shown.alias("value"))
+    return cells.select("ord", "pos", "name", label.alias("type"), shown.alias("value"))
 
 
 def column_profile(cells: DataFrame, sample: DataFrame) -> DataFrame:

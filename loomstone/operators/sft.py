@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import templates as tp, text as tx
 from ..sources.sinks import token_dtype
+from . import scan
 
 PAD_ID = 0
 MIN_TOKENS = 4
@@ -54,6 +55,11 @@ def pad_and_truncate(examples: DataFrame, seq_len: int) -> DataFrame:
     )
 
 
+def number_blocks(blocks: DataFrame, order: str) -> DataFrame:
+    """Blocks with a dense ``seq_id`` from 0 in the order of a whole number; left-out conversations leave no hole."""
+    return scan.running(blocks, [], [order], F.expr(f"{order} div 1024"), {"seq_id": ("count", order)}, exclusive=True)
+
+
 def processing_meta(blocks: DataFrame, template: str, seq_len: int, vocab_size: int, original_vocab_size: int) -> DataFrame:
     """One row of counts over the padded examples."""
     total = F.col("total_conversations") * seq_len

@@ -242,6 +242,26 @@ def qa_to_conv(spark, sf_dir):
     )
 
 
+@query(
+    "convert_by_first_record",
+    f"""WITH {PAIRS_SQL}, c AS (SELECT conv_id, turn, conv_id % 4 AS part, conv_id * 100 + turn AS ord, (conv_id + turn) % 6 AS fmt, {_strip("user_text")} AS q, {_strip("assistant_text")} AS a FROM pairs),
+    f AS (SELECT part, arg_min(fmt, ord) AS fmt FROM c GROUP BY part)
+    SELECT part, conv_id, turn, CASE f.fmt WHEN 0 THEN 'alpaca' WHEN 1 THEN 'openorca' WHEN 2 THEN 'prompt_completion' WHEN 3 THEN 'qa:query,answer' WHEN 4 THEN 'conversations' ELSE 'unknown' END AS format,
+      CASE WHEN c.fmt <> f.fmt OR q = '' OR a = '' OR (f.fmt = 5 AND least(length(q), length(a)) <= 5) THEN NULL
+        ELSE CASE WHEN f.fmt = 1 THEN 'system: You are helper ' || (conv_id % 3) || chr(31) ELSE '' END || {_pair("q", "a")} END AS conversation
+    FROM c JOIN f USING (part)""",
+)
+def convert_by_first_record(spark, sf_dir):
+    """Four data sets of mixed records, each converted by what its first record shows; texts have no white space at their ends."""
+    result = None
+    rows = inputs.foreign_rows(spark, sf_dir).withColumn("ord", F.col("conv_id") * 100 + F.col("turn"))
+    for part in range(4):
+        converted, fmt = op.convert_by_first_record(rows.where(F.col("conv_id") % 4 == part), "line", "ord")
+        shown = converted.select(F.lit(part).cast("bigint").alias("part"), "conv_id", "turn", F.lit(fmt).alias("format"), tn.show(F.col("conv")).alias("conversation"))
+        result = shown if result is None else result.unionByName(shown)
+    return result
+
+
 @query(
     "unknown_two_text_cols",
     f"""WITH {PAIRS_SQL}, c AS (SELECT conv_id, turn, list_filter([{_strip("'id ' || turn")}, {_strip("user_text")}, {_strip("assistant_text")}], lambda t: length(t) > 5) AS t FROM pairs)

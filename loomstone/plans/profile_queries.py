@@ -193,23 +193,23 @@ def column_profile_first_rows(spark, sf_dir):
     return op.column_profile(cells, cells)
 
 
-# Keys of one record are met in alphabetical order when a record is parsed.
+# A key's place is its place in the record as written.
 _RECORD_CELLS_SQL = f"""
 {PAIRS_SQL.strip()}, rec AS (SELECT conv_id * 100 + turn AS ord, (conv_id + turn) % 6 AS fmt, * FROM pairs),
 cells AS (
-  SELECT ord, 1 AS pos, 'instruction' AS name, 'str' AS type, user_text AS value FROM rec WHERE fmt = 0 UNION ALL
-  SELECT ord, 0, 'input', 'str', '' FROM rec WHERE fmt = 0 UNION ALL
+  SELECT ord, 0 AS pos, 'instruction' AS name, 'str' AS type, user_text AS value FROM rec WHERE fmt = 0 UNION ALL
+  SELECT ord, 1, 'input', 'str', '' FROM rec WHERE fmt = 0 UNION ALL
   SELECT ord, 2, 'output', 'str', assistant_text FROM rec WHERE fmt = 0 UNION ALL
-  SELECT ord, 2, 'system_prompt', 'str', 'You are helper ' || (conv_id % 3) FROM rec WHERE fmt = 1 UNION ALL
-  SELECT ord, 0, 'question', 'str', user_text FROM rec WHERE fmt = 1 UNION ALL
-  SELECT ord, 1, 'response', 'str', assistant_text FROM rec WHERE fmt = 1 UNION ALL
-  SELECT ord, 1, 'prompt', 'str', user_text FROM rec WHERE fmt = 2 UNION ALL
-  SELECT ord, 0, 'completion', 'str', assistant_text FROM rec WHERE fmt = 2 UNION ALL
-  SELECT ord, 1, 'query', 'str', user_text FROM rec WHERE fmt = 3 UNION ALL
-  SELECT ord, 0, 'answer', 'str', assistant_text FROM rec WHERE fmt = 3 UNION ALL
+  SELECT ord, 0, 'system_prompt', 'str', 'You are helper ' || (conv_id % 3) FROM rec WHERE fmt = 1 UNION ALL
+  SELECT ord, 1, 'question', 'str', user_text FROM rec WHERE fmt = 1 UNION ALL
+  SELECT ord, 2, 'response', 'str', assistant_text FROM rec WHERE fmt = 1 UNION ALL
+  SELECT ord, 0, 'prompt', 'str', user_text FROM rec WHERE fmt = 2 UNION ALL
+  SELECT ord, 1, 'completion', 'str', assistant_text FROM rec WHERE fmt = 2 UNION ALL
+  SELECT ord, 0, 'query', 'str', user_text FROM rec WHERE fmt = 3 UNION ALL
+  SELECT ord, 1, 'answer', 'str', assistant_text FROM rec WHERE fmt = 3 UNION ALL
   SELECT ord, 0, 'conversations', 'list', '[' || 'turns' || ']' FROM rec WHERE fmt = 4 UNION ALL
-  SELECT ord, 1, 'title', 'str', user_text FROM rec WHERE fmt = 5 UNION ALL
-  SELECT ord, 0, 'body', 'str', assistant_text FROM rec WHERE fmt = 5)
+  SELECT ord, 0, 'title', 'str', user_text FROM rec WHERE fmt = 5 UNION ALL
+  SELECT ord, 1, 'body', 'str', assistant_text FROM rec WHERE fmt = 5)
 """
 
 

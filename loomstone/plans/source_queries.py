@@ -189,13 +189,16 @@ def packed_export(spark, sf_dir):
 
 @query(
     "sft_export",
-    f"WITH {_MASK_SQL} SELECT conv_id AS seq_id, regexp_replace(mask, '(.)', '0\\1', 'g') AS mask FROM fitted",
+    f"""WITH {_MASK_SQL} SELECT row_number() OVER (ORDER BY conv_id) - 1 AS seq_id, regexp_replace(mask, '(.)', '0\\1', 'g') AS mask,
+      array_to_string(list_transform(string_split(tokens, ' ')::INT[], lambda i: printf('%02x%02x%02x%02x', i & 255, (i >> 8) & 255, (i >> 16) & 255, (i >> 24) & 255)), '') AS tokens
+    FROM fitted WHERE conv_id % 3 <> 1""",
 )
 def sft_export(spark, sf_dir):
-    """Loss masks as one byte per token; conversation numbers serve as sequence numbers."""
-    blocks = sft.pad_and_truncate(codepoint_examples(spark, sf_dir), SFT_LEN).withColumnRenamed("conv_id", "seq_id")
-    packed = sinks.pack_bytes(blocks, {"mask": "B"})
-    return _hex_blocks(packed, "mask", SFT_LEN)
+    """Token and mask blocks of some of the conversations, byte for byte, numbered without holes."""
+    examples = codepoint_examples(spark, sf_dir).where("conv_id % 3 <> 1")
+    blocks = sft.number_blocks(sft.pad_and_truncate(examples, SFT_LEN), "conv_id")
+    packed = sinks.pack_bytes(blocks, {"mask": "B", "tokens": "I"})
+    return _hex_blocks(packed, "mask", SFT_LEN).join(_hex_blocks(packed, "tokens", 4 * SFT_LEN), "seq_id")
 
 
 @query(

@@ -213,6 +213,14 @@ def encode_docs(spark, sf_dir):
     return encoded.select("source", "chunk", F.size("ids").alias("n_ids"), _show("ids").alias("ids"))
 
 
+@query("compression_of_ids")
+def compression_of_ids(spark, sf_dir):
+    """Characters per token of each language under the learned tokenizer."""
+    docs = inputs.documents(spark, sf_dir, "lang", "text")
+    encoded = docs.select("lang", "text", bpe.encode(trained(spark, sf_dir), F.col("text")).alias("ids"))
+    return op.compression(encoded, "lang", F.length("text"), F.size("ids"))
+
+
 @query("decode_docs", "SELECT doc_id, text FROM documents")
 def decode_docs(spark, sf_dir):
     """Documents encoded and decoded again, special tokens shown."""

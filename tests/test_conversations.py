@@ -198,3 +198,23 @@ def test_unknown_records_take_their_own_texts_in_order(spark):
     rows = convert.parse_records(spark.createDataFrame(lines, "i int, line string"), "line").orderBy("i")
     got = [r[0] for r in rows.select(convert.strict_conversation(F.col("keys"), F.col("rec"), F.col("own"))).collect()]
     assert [[t.content for t in c] if c else None for c in got] == [["some title", "the long text"], ["first one", "second one"], None]
+
+
+@pytest.mark.parametrize(
+    "lines,fmt,expected",
+    [
+        (["[1]", '{"messages": [{"role": "human", "content": "a"}, {"from": "gpt", "value": "b"}]}', '{"instruction": "x", "output": "y"}'], "conversations", [None, [("user", "a"), ("assistant", "b")], None]),
+        (['{"instruction": "i", "output": "o"}', '{"instruction": " i2 ", "input": "x", "output": "o2", "question": "q"}', '{"question": "q", "response": "r"}'], "alpaca",
+         [[("user", "i"), ("assistant", "o")], [("user", "i2\nx"), ("assistant", "o2")], None]),
+        (['{"query": "q", "reply": "r"}', '{"query": "q2", "answer": "a2", "reply": ""}', "{cut"], "qa:query,reply", [[("user", "q"), ("assistant", "r")], None, None]),
+        (['{"zz": "longer one", "n": 7, "aa": "longer two"}', '{"aa": "first text", "zz": "second text"}', '{"other": "long enough", "bb": "long enough"}'], "unknown",
+         [[("user", "longer one"), ("assistant", "longer two")], [("user", "second text"), ("assistant", "first text")], None]),
+        (['{"conversations": "no list", "messages": [{"role": "user", "content": "a"}, {"role": "bot", "content": "b"}]}'], "unknown", [None]),
+        (["", "{"], "unknown", [None, None]),
+    ],
+)
+def test_first_record_decides_the_format_of_all(spark, lines, fmt, expected):
+    rows = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
+    converted, found = convert.convert_by_first_record(rows, "line", "i")
+    assert found == fmt
+    assert [r.conv and [tuple(t) for t in r.conv] for r in converted.orderBy("i").collect()] == expected

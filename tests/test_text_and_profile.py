@@ -128,3 +128,10 @@ def test_preview(spark):
     first, second = extract.preview(df, "t").collect()
     assert first["preview"].split("\n") == [str(i) for i in range(30)] and first["total_lines"] == 40
     assert second["shown_lines"] == 2 and second["preview"] == "a\n"
+
+
+def test_columns_of_records_are_suggested_in_their_own_order(spark):
+    lines = ['{"zeta": "a long enough text", "title": "a long enough text", "body": "a long enough text", "n": 1}'] * 3
+    cells = profile.cells_of_records(spark.createDataFrame(list(enumerate(lines)), "i int, line string"), "line", "i")
+    suggested = profile.suggest_columns(profile.column_profile(cells, cells)).orderBy("rank").collect()
+    assert [r["name"] for r in suggested] == ["zeta", "title", "body"]

@@ -378,6 +378,17 @@ def test_passes_equal_one_merge_after_another():
         assert once.tolist() == [s for run in slow for s in run]
 
 
+def test_compression_counts_ids(spark, data, trained):
+    tokenizer, reference, texts = trained
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("lang", "text")
+    got = packing.compression(docs.withColumn("ids", bpe.encode(tokenizer, F.col("text"))), "lang", F.length("text"), F.size("ids")).collect()
+    expected = {}
+    for r in docs.collect():
+        chars, tokens = expected.get(r.lang, (0, 0))
+        expected[r.lang] = (chars + len(r.text), tokens + len(reference.encode(r.text).ids))
+    assert {r.lang: (r.chars, r.tokens, r.chars_per_token) for r in got} == {k: (c, t, c / t) for k, (c, t) in expected.items()}
+
+
 def test_tokenizer_of_the_same_words_is_learned_once(spark, monkeypatch):
     docs = spark.createDataFrame([("low lower lowest new newer",), ("wide wider widest 12",)], "t string")
     first = bpe.train_once(docs, "t", 60)
