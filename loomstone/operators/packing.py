@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
+from ..session import checkpointed
 from ..sources.sinks import token_dtype
 from . import scan
 
@@ -209,10 +210,11 @@ def with_split(blocks: DataFrame, total: DataFrame, seq_len: int, val_split: flo
 def shifted_pairs(blocks: DataFrame, split: str, *arrays: str) -> DataFrame:
     """Training pairs: each array also shifted by one id, the next block giving the last.
 
-    The next block comes from an equi-join on its number, and the last block
-    of a split, which has no successor there, is not served.
+    The blocks are built once, into a table; the first ids of the next ones come from an equi-join on
+    the number, and the last block of a split, which has no successor there, is not served.
     """
     arrays = arrays or ("tokens",)
+    blocks = checkpointed(blocks)
     heads = blocks.select(
         split, (F.col("seq_id") - 1).alias("seq_id"), *[F.get(F.col(a), F.lit(0)).alias(f"__next_{a}") for a in arrays]
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import logs
+from ..session import checkpointed
 from . import scan
 
 HISTORY_ROWS = 100
@@ -55,23 +56,24 @@ def latest_state(events: DataFrame, run: str, order: str) -> DataFrame:
     )
 
 
-def _curve(events: DataFrame, run: str, order: str, event: str, value: str, name: str) -> DataFrame:
-    points = events.where((F.col("ev.event") == event) & (F.col(f"ev.{value}") > 0)).select(
-        run, order, F.col("ev.step").alias("step"), F.col(f"ev.{value}").alias("loss")
-    )
-    before = scan.running(points, [run], [order], _bucket(order), {"previous": ("last", "step")}, exclusive=True)
-    return before.where("previous IS NULL OR previous <> step").select(run, F.lit(name).alias("curve"), order, "step", "loss")
-
-
 def loss_curves(events: DataFrame, run: str, order: str) -> DataFrame:
-    """Train and validation points, one per new step."""
-    return _curve(events, run, order, "step", "loss", "train").unionByName(
-        _curve(events, run, order, "eval", "val_loss", "val")
+    """Train and validation points, one per new step.
+
+    The points of both curves are parsed once into a narrow table, which the running pass then reads.
+    """
+    train = F.col("ev.event") == "step"
+    points = events.where(F.col("ev.event").isin("step", "eval")).select(
+        run, F.when(train, "train").otherwise("val").alias("curve"), order, F.col("ev.step").alias("step"),
+        F.when(train, F.col("ev.loss")).otherwise(F.col("ev.val_loss")).alias("loss"),
     )
+    points = checkpointed(points.where("loss > 0"))
+    before = scan.running(points, [run, "curve"], [order], _bucket(order), {"previous": ("last", "step")}, exclusive=True)
+    return before.where("previous IS NULL OR previous <> step").select(run, "curve", order, "step", "loss")
 
 
 def scaled_curves(curves: DataFrame, run: str) -> DataFrame:
-    """Points scaled to their run's loss range (both curves) and step range (train curve)."""
+    """Points scaled to their run's loss range (both curves) and step range (train curve); the curves are made once."""
+    curves = checkpointed(curves)
     train_step = F.when(F.col("curve") == "train", F.col("step"))
     bounds = curves.groupBy(run).agg(
         F.min("loss").alias("lo"), F.max("loss").alias("hi"), F.min(train_step).alias("s0"), F.max(train_step).alias("s1")

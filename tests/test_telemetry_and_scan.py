@@ -131,7 +131,8 @@ def test_even_pick(spark, n, picked):
     assert sorted(r.ord for r in op.evenly_spaced(rows, "run", "ord").collect()) == picked
 
 
-def test_run_state_stream_in_many_batches(spark, tmp_path):
+def test_run_state_stream_in_many_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runs, "COMPACT_EVERY", 2)
     rng = random.Random(4)
     rows = []
     for i in range(300):
@@ -139,10 +140,13 @@ def test_run_state_stream_in_many_batches(spark, tmp_path):
         event = {"event": kind, "step": i, "total": 9, "loss": rng.random(), "val_loss": rng.random(), "device": f"d{i}"}
         rows.append((rng.randrange(5), i, json.dumps(event)))
     schema = "run int, seq long, line string"
-    for n in range(0, 300, 60):
-        spark.createDataFrame(rows[n : n + 60], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for n in range(0, 300, 50):
+        spark.createDataFrame(rows[n : n + 50], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = str(tmp_path / "out")
     runs.run_to_versions(runs.run_state_stream(stream, "run", "seq"), out, str(tmp_path / "checkpoint"))
     batch = op.latest_state(op.parse_lines(spark.createDataFrame(rows, schema)), "run", "seq")
     assert sorted(map(tuple, runs.current_states(spark, out, "run").collect())) == sorted(map(tuple, batch.collect()))
+    # Six batches: two bases stay, and the changes of the batches after the older one.
+    assert sorted(p.name for p in (tmp_path / "out" / "base").iterdir()) == ["batch=3", "batch=5"]
+    assert sorted(p.name for p in (tmp_path / "out" / "changes").iterdir()) == ["batch=4", "batch=5"]
