@@ -5,6 +5,7 @@ import itertools
 import json
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -421,25 +422,31 @@ def test_main_text_decides_by_blocks_beside_a_marked_article():
 
 def brute_main_text(page):
     found = html_text.lines(page)
-    n, w = len(found), [8 * len(t) if a else len(t) - 2 * k for t, k, a in found]
+    n, w = len(found), [8 * len(x.text) if x.article else len(x.text) - 2 * x.linked for x in found]
     block = []
     for i in range(n):
         sums = [sum(w[j] for j in range(s, s + 3) if 0 <= j < n) for s in (i - 2, i - 1, i)]
-        block.append(max(0, *sums, w[i] if found[i][2] else 0))
+        block.append(max(0, *sums, w[i] if found[i].article else 0))
     level = sorted(b for b in block if b)
     if not level:
         return ""
     middle = float(np.median(level))
+    surge = max(1, math.sqrt(level[-1] * middle) / 2)
     runs = [list(g) for on, g in itertools.groupby(range(n), lambda i: block[i] > middle / 64) if on]
-    out = []
+    runs = [run for run in runs if max(block[i] for i in run) > surge]
+    keep, before = set(), None
     for run in runs:
-        surge = max(1, math.sqrt(level[-1] * middle) / 2)
-        if max(block[i] for i in run) <= surge:
-            continue
-        core = [i for i in run if found[i][2]]
-        strong = [i for i in run if found[i][2] or w[i] * 3 > surge] if core else run
-        out += [found[i][0] for i in run if strong[0] <= i <= strong[-1] and w[i] > 0]
-    return "\n".join(out)
+        marked = any(found[i].article for i in run)
+        strong = [i for i in run if found[i].article or w[i] * 3 > surge or not marked and found[i].prose]
+        keep |= set(range(strong[0], strong[-1] + 1)) if strong else set()
+        # Prose without links between two runs outside articles is kept.
+        if before and strong and not marked and not before[1]:
+            gap = range(before[0] + 1, strong[0])
+            keep |= set(gap) if all(found[i].prose and w[i] > 0 for i in gap) else set()
+        before = (strong[-1], marked) if strong else before
+    keep = {i for i in keep if w[i] > 0}
+    whole = {found[i].article for i in keep} - {0}
+    return "\n".join(x.text for i, x in enumerate(found) if i in keep or x.article in whole)
 
 
 def test_main_text_equals_brute_force():
@@ -454,6 +461,53 @@ def test_main_text_equals_brute_force():
         assert html_text.main_text(page) == brute_main_text(page)
 
 
+PROSE = "<h1>Title</h1>" + "".join(f"<p>{f'Sentence {i} of it. ' * 20}</p>" for i in range(6))
+PLAIN = "\n".join(["Title", *((f"Sentence {i} of it. " * 20).strip() for i in range(6))])
+
+
+@pytest.mark.parametrize(
+    "start",
+    ["main class='page no-sidebar'", "article class='post share-enabled'", "div class='layout has-sidebar'", "div class='post category-social'",
+     "div id='search-results-page'", "div class=widget", "form id=whole", "body class=comments-open", "article title=don't"],
+)
+def test_names_of_wrappers_drop_no_article(start):
+    assert html_text.main_text(f"<nav>Home</nav><{start}>{PROSE}</{start.split()[0]}><footer>f</footer>") == PLAIN
+
+
+@pytest.mark.parametrize(
+    "other",
+    ["<aside class=related><article><p>Teaser</p></article></aside>", "<section class=comments><article><p>" + "reader " * 900 + "</p></article></section>",
+     "<div id=comment-list>" + "<p>one reader's words</p>" * 90 + "</div>", "<div class=site-footer>Imprint", "<p hidden>unseen", "<div style='display: none'>unseen</div>",
+     "<span class=ad>buy <span>this</span> now</span>", "<div class=comments><p>left open<article>reader</article>"],
+)
+def test_what_stands_beside_an_article_goes(other):
+    assert html_text.main_text(f"<article>{PROSE}</article>{other}") == PLAIN
+
+
+def test_implied_end_tags():
+    assert html_text.main_text(f"<head><title>t</title><p class=notice>We use cookies{PROSE}") == PLAIN
+    assert html_text.main_text(f"<ul><li class=ad>Buy<li>{'An entry of words ' * 9}</ul>{PROSE}").split("\n")[0] == ("An entry of words " * 9).strip()
+    assert html_text.main_text(f"<a name=top>{PROSE}") == PLAIN  # a place, not a link
+    assert len(html_text.main_text(f"<p><a href=x>left open</p>{PROSE}").split("\n")) == 7  # a link left open ends with its block
+
+
+def test_menu_lines_of_unmarked_pages_go_and_short_paragraphs_stay():
+    menu, legal = "<div>Home</div><div>About us</div><div>Contact</div>", "<div>Imprint</div><div>Terms</div>"
+    assert html_text.main_text(menu + PROSE + legal) == PLAIN
+    short = "<p>Ok.</p><p>So.</p><p>Hm.</p><p>Yes.</p><p>No.</p>"
+    assert html_text.main_text(menu + PROSE + short + PROSE + legal) == "\n".join([PLAIN, "Ok.", "So.", "Hm.", "Yes.", "No.", PLAIN])
+    assert html_text.main_text(f"<article>{PROSE}{short}{PROSE}</article>") == "\n".join([PLAIN, "Ok.", "So.", "Hm.", "Yes.", "No.", PLAIN])
+    assert html_text.main_text("<div class=ad>Buy this now, it is cheap</div>") == ""
+
+
+@pytest.mark.parametrize("part", ['<a "', '<a b="', "<a b='><p>x", "</script", "<!--", "<div>", "<p><span class=ad>", "<b class=ad></i>", "<"])
+@pytest.mark.parametrize("end", ["", ">", '">'])
+def test_broken_markup_of_megabytes_is_read_once(part, end):
+    started = time.monotonic()
+    html_text.main_text(part * (2_000_000 // len(part)) + end)
+    assert time.monotonic() - started < 20
+
+
 def test_pages_awkward_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article>é</article>", "x"), (1, "u", "<article>é</article>", "x"), (None, None, None, None), (2, "u", "<article>" + "<p>w</p>" * 50000, "x")], "page_id bigint, url string, html string, text string")
     got = html_text.extract(pages).collect()
