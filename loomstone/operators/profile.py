@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as tx
+from ..session import checkpointed
+from . import counting
 
 HISTOGRAM_BINS = 10
 SAMPLE_ROWS = 20
@@ -30,21 +27,7 @@ STAT_COLUMNS = [
 
 def text_stats(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """Per-row counts, language guess and rough token count."""
-    c = F.col(text)
-    counted = df.select(
-        *keep,
-        F.length(c).cast("bigint").alias("chars"),
-        (tx.newline_count(c) + F.when((c == "") | F.endswith(c, F.lit("\n")), 0).otherwise(1))
-        .cast("bigint").alias("lines"),
-        tx.non_blank_lines(c).alias("non_blank_lines"),
-        tx.word_count(c).alias("words"),
-        tx.cjk_count(c).alias("cjk"),
-        tx.ascii_letter_count(c).alias("ascii_letters"),
-        tx.digit_count(c).alias("digits"),
-        tx.punctuation_count(c).alias("punctuation"),
-        tx.space_count(c).alias("spaces"),
-    )
-    return with_language(counted)
+    return with_language(counting.measured(df, text, *keep).select(*keep, *STAT_COLUMNS))
 
 
 def with_language(stats: DataFrame) -> DataFrame:
@@ -53,25 +36,21 @@ def with_language(stats: DataFrame) -> DataFrame:
     )
 
 
+def _stats_of(counts: DataFrame, key: str) -> DataFrame:
+    """The counters of a tally as columns, with the language guessed from the sums."""
+    pick = [F.sum(F.when((F.col("kind") == "measure") & (F.col("item") == c), F.col("n"))).alias(c) for c in STAT_COLUMNS]
+    return with_language(counts.groupBy(key).agg(*pick))
+
+
 def text_stats_by(df: DataFrame, text: str, key: str) -> DataFrame:
     """Statistics of a whole file: row counts summed per ``key``, language guessed from the sums."""
-    rows = text_stats(df, text, key)
-    return with_language(rows.groupBy(key).agg(*[F.sum(c).alias(c) for c in STAT_COLUMNS]))
+    return _stats_of(counting.tally(df, text, key, kinds=("measure",)), key)
 
 
 def simple_text_stats(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """The variant that counts a trailing empty line and files the rest under ``other``."""
-    c = F.col(text)
-    counted = df.select(
-        *keep,
-        F.length(c).cast("bigint").alias("chars"),
-        (tx.newline_count(c) + 1).cast("bigint").alias("lines"),
-        tx.word_count(c).alias("words"),
-        tx.cjk_count(c).alias("cjk"),
-        tx.ascii_letter_count(c).alias("ascii_letters"),
-        tx.digit_count(c).alias("digits"),
-        tx.space_count(c).alias("spaces"),
-    )
+    columns = ["words", "cjk", "ascii_letters", "digits", "spaces"]
+    counted = counting.measured(df, text, *keep).select(*keep, "chars", (F.col("newlines") + 1).alias("lines"), *columns)
     other = F.expr("chars - cjk - ascii_letters - digits - spaces")
     return counted.select(
         "*",
@@ -87,14 +66,11 @@ def line_length_counts(df: DataFrame, text: str, key: str) -> DataFrame:
     Everything about line lengths is computed from this table, whose size per
     file is the number of different lengths, however many lines there are.
     """
-    lengths = F.transform(
-        F.filter(tx.lines_of(text), lambda line: ~tx.is_blank(line)), lambda line: F.length(line)
-    )
-    return (
-        df.select(key, F.explode(lengths).alias("line_length"))
-        .groupBy(key, "line_length")
-        .agg(F.count("*").alias("n"))
-    )
+    return _lengths_of(counting.tally(df, text, key, kinds=("line",)), key)
+
+
+def _lengths_of(counts: DataFrame, key: str) -> DataFrame:
+    return counts.where("kind = 'line'").select(key, F.col("length").alias("line_length"), "n")
 
 
 def line_length_distribution(counts: DataFrame, key: str) -> DataFrame:
@@ -115,61 +91,39 @@ def line_length_distribution(counts: DataFrame, key: str) -> DataFrame:
 
 def line_length_histogram(counts: DataFrame, key: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Equal-width bins per file; the last takes the overflow and empty bins are kept."""
-    bounds = counts.groupBy(key).agg(F.min("line_length").alias("low"), F.max("line_length").alias("high")).select(
-        key, "low", F.greatest(F.lit(1), F.expr(f"(high - low + 1) div {bins}")).alias("width")
-    )
-    filled = (
-        counts.join(bounds, key)
-        .select(key, F.least(F.expr("(line_length - low) div width"), F.lit(bins - 1)).cast("int").alias("bin"), "n")
-        .groupBy(key, "bin")
-        .agg(F.sum("n").alias("n"))
-    )
-    slots = bounds.select(key, "low", "width", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    every = Window.partitionBy(key)
+    bounded = counts.select(
+        key, "line_length", "n", F.min("line_length").over(every).alias("low"), F.max("line_length").over(every).alias("high")
+    ).withColumn("width", F.greatest(F.lit(1), F.expr(f"(high - low + 1) div {bins}")))
+    bin_of = F.least(F.expr("(line_length - low) div width"), F.lit(bins - 1)).cast("int")
+    filled = bounded.groupBy(key, "low", "width", bin_of.alias("bin")).agg(F.sum("n").alias("n"))
+    held = filled.groupBy(key, "low", "width").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("held"))
+    slots = held.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     start = F.col("low") + F.col("bin") * F.col("width")
-    return slots.join(filled, [key, "bin"], "left").select(
+    return slots.select(
         key,
         F.col("bin").cast("bigint").alias("bin"),
         F.concat_ws("-", start.cast("bigint"), (start + F.col("width") - 1).cast("bigint")).alias("range"),
-        F.coalesce("n", F.lit(0)).alias("n"),
+        F.coalesce(F.element_at("held", F.col("bin")), F.lit(0)).alias("n"),
     )
 
 
-def _count_codepoints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Character counts of each Arrow batch, per key when the batch has a key column."""
-    for batch in batches:
-        texts = pc.fill_null(batch.column(0).cast(pa.large_string()), "")
-        points = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), dtype=np.uint32)
-        keys = [column.dictionary_encode() for column in batch.columns[1:]]
-        if keys:
-            owner = keys[0].indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            cell = np.repeat(owner, pc.utf8_length(texts).to_numpy()) << 21 | points.astype(np.int64)
-        else:
-            cell = points.astype(np.int64)
-        cells, counts = np.unique(cell, return_counts=True)
-        chars = pa.array([chr(c) for c in (cells & 0x1FFFFF).tolist()], pa.string())
-        owners = [key.dictionary.take(pa.array(cells >> 21)) for key in keys]
-        yield pa.RecordBatch.from_arrays(
-            [*owners, chars, pa.array(counts.astype(np.int64))], names=[*batch.schema.names[1:], "char", "n"]
-        )
-
-
 def char_counts(df: DataFrame, text: str, key: str | None = None) -> DataFrame:
     """Occurrences of every character, counted by numpy per Arrow batch and then summed.
 
     Each batch yields at most its number of different characters (per key),
     so the shuffle is a few rows per batch instead of a row per character.
     """
-    columns = [text] if key is None else [text, key]
-    keys = columns[1:]
-    declared = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
-    partial = df.select(*columns).mapInArrow(_count_codepoints, f"{declared}char string, n bigint")
-    return partial.groupBy(*keys, "char").agg(F.sum("n").alias("n"))
+    return _items_of(counting.tally(df, text, key, kinds=("char",)), "char", *([] if key is None else [key]))
 
 
-def word_counts(df: DataFrame, text: str, *keys: str, pattern: str = tx.WORD_PATTERN) -> DataFrame:
+def word_counts(df: DataFrame, text: str, key: str | None = None, pattern: str = tx.WORD_PATTERN) -> DataFrame:
     """Occurrences of each word: a CJK character or a run of ASCII letters, lower-cased."""
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(pattern), F.lit(0))
-    return df.select(*keys, F.explode(words).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
+    return _items_of(counting.tally(df, text, key, kinds=("word",), word_pattern=pattern), "word", *([] if key is None else [key]))
+
+
+def _items_of(counts: DataFrame, kind: str, *keys: str) -> DataFrame:
+    return counts.where(F.col("kind") == kind).select(*keys, F.col("item").alias(kind), "n")
 
 
 def top_k(counts: DataFrame, item: str, k: int = 30) -> DataFrame:
@@ -191,8 +145,12 @@ def _ranked_list(top: DataFrame, key: str, item: str, name: str) -> DataFrame:
 
 
 def dataset_report(df: DataFrame, text: str, key: str, k: int = 30) -> DataFrame:
-    """Everything known about each file in one row: statistics, line lengths, histogram, top items."""
-    counts = line_length_counts(df, text, key)
+    """Everything known about each file in one row: statistics, line lengths, histogram, top items.
+
+    The texts are read once, into a written table of counts that all parts are taken from.
+    """
+    tally = checkpointed(counting.tally(df, text, key, kinds=("measure", "line", "char", "word")))
+    counts = _lengths_of(tally, key)
     histogram = line_length_histogram(counts, key)
     bars = F.array_sort(F.collect_list(F.struct("bin", "range", "n")))
     histogram = histogram.groupBy(key).agg(
@@ -200,9 +158,9 @@ def dataset_report(df: DataFrame, text: str, key: str, k: int = 30) -> DataFrame
             "histogram"
         )
     )
-    chars = _ranked_list(top_k_per(char_counts(df, text, key), key, "char", k), key, "char", "top_chars")
-    words = _ranked_list(top_k_per(word_counts(df, text, key), key, "word", k), key, "word", "top_words")
-    report = text_stats_by(df, text, key).join(line_length_distribution(counts, key), key, "left")
+    chars = _ranked_list(top_k_per(_items_of(tally, "char", key), key, "char", k), key, "char", "top_chars")
+    words = _ranked_list(top_k_per(_items_of(tally, "word", key), key, "word", k), key, "word", "top_words")
+    report = _stats_of(tally.where("kind = 'measure'"), key).join(line_length_distribution(counts, key), key, "left")
     for part in (histogram, chars, words):
         report = report.join(part, key, "left")
     return report

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as tx
-from loomstone.operators import extract, profile
+from loomstone.operators import counting, extract, profile
 
 SAMPLE = "Hello, 世界!\n\nabc 12\n"
 
@@ -135,3 +135,48 @@ def test_columns_of_records_are_suggested_in_their_own_order(spark):
     cells = profile.cells_of_records(spark.createDataFrame(list(enumerate(lines)), "i int, line string"), "line", "i")
     suggested = profile.suggest_columns(profile.column_profile(cells, cells)).orderBy("rank").collect()
     assert [r["name"] for r in suggested] == ["zeta", "title", "body"]
+
+
+def test_a_tally_equals_python_whatever_the_slices(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), "".join(rng.choice("aB c9\n\t.é世界\u3000²\U0001d11eİ") for _ in range(rng.choice([0, 1, 7, 300])))) for _ in range(300)]
+    rows += [("a", None), ("only nulls", None), ("b", ""), ("b", "\n"), (None, "x\n\ny")]
+    df = spark.createDataFrame(rows, "k string, t string").repartition(3)
+    want = Counter()
+    for k, t in rows:
+        for item, n in {} if t is None else {
+            "chars": len(t), "newlines": t.count("\n"), "words": len(t.split()), "non_blank_lines": sum(1 for x in t.split("\n") if x.strip()),
+            "digits": sum(c.isdigit() for c in t), "lines": t.count("\n") + (t[-1:] not in ("", "\n")), "spaces": sum(c.isspace() for c in t),
+            "punctuation": sum(not c.isalnum() and not c.isspace() for c in t), "cjk": sum("\u4e00" <= c <= "\u9fff" for c in t),
+            "ascii_letters": sum(c.isascii() and c.isalpha() for c in t),
+        }.items():
+            want[k, "measure", item, None] += n
+        want.update((k, "line", None, len(x)) for x in (t or "").split("\n") if x.strip())
+        want.update((k, "char", c, None) for c in t or "")
+        want.update((k, "word", w, None) for w in re.findall(r"[\u4e00-\u9fff]|[a-zA-Z]+", (t or "").lower()))
+    for size in (64, counting.SLICE_BYTES):
+        monkeypatch.setattr(counting, "SLICE_BYTES", size)
+        got = counting.tally(df, "t", "k", kinds=("measure", "line", "char", "word")).collect()
+        assert {(r.k, r.kind, r.item, r.length): r.n for r in got if r.n} == {k: n for k, n in want.items() if n}
+        assert {r.n for r in got if r.k == "only nulls"} == {None}
+
+
+def test_measures_keep_columns_and_nulls(spark):
+    df = spark.createDataFrame([(1, None, {"x": 1}), (2, "", None), (3, "a\nb", None)], "i int, t string, m map<string,int>")
+    rows = {r.i: r for r in counting.measured(df, "t", "i", "m").collect()}
+    assert rows[1].chars is None and rows[1].lines is None and rows[1].m == {"x": 1}
+    assert (rows[2].chars, rows[2].lines, rows[3].chars, rows[3].lines, rows[3].words) == (0, 0, 3, 2, 2)
+    assert counting.measured(df.limit(0), "t", "i").collect() == []
+    assert counting.tally(df.limit(0), "t", kinds=("measure", "line", "char", "word")).collect() == []
+
+
+def test_bytes_that_are_no_utf8_are_counted(spark):
+    df = spark.createDataFrame([(bytearray(b"ab \xff\n"),), (bytearray("é".encode()),)], "b binary").select(F.col("b").cast("string").alias("t"))
+    assert sorted(r.chars for r in counting.measured(df, "t").collect()) == [1, 5]
+
+
+def test_a_report_reads_the_texts_once(spark, tmp_path):
+    path = str(tmp_path / "texts")
+    spark.createDataFrame([("a", "One two\nthree"), ("b", "x")], "k string, t string").write.parquet(path)
+    plan = profile.dataset_report(spark.read.parquet(path), "t", "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert path not in plan and "MapInArrow" not in plan
