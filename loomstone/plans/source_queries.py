@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import extract, packing, sft
-from ..sources import files, sinks
+from ..sources import files, shards, sinks
 from . import inputs
 from .registry import query
 from .token_queries import CODEPOINTS, SEQ_LEN, SFT_LEN, _MASK_SQL, _STREAM_SQL, codepoint_blocks, codepoint_examples
@@ -166,15 +166,11 @@ def corpus_file(spark, sf_dir):
     return per_file.agg(F.sum("chars").alias("chars")).withColumn("records", written)
 
 
-def _hex_blocks(packed, column, width):
-    """Byte strings of whole batches cut back into one hex text per sequence."""
-    one = F.transform(
-        F.sequence(F.lit(0), (F.col("n_sequences") - 1).cast("int")),
-        lambda k: F.lower(F.hex(F.substring(F.col(column), k * width + 1, F.lit(width)))),
-    )
-    return packed.select("first_seq", F.posexplode(one).alias("k", column)).select(
-        (F.col("first_seq") + F.col("k")).alias("seq_id"), column
-    )
+def _hex_blocks(spark, blocks, columns, name):
+    """Blocks written as binary shards, and the bytes of each as read back, in hex."""
+    folder = inputs.scratch(spark, name)
+    shards.write(blocks, folder, columns)
+    return shards.read(spark, folder, raw=True).select("seq_id", *[F.lower(F.hex(c)).alias(c) for c in columns])
 
 
 @query(
@@ -183,8 +179,7 @@ def _hex_blocks(packed, column, width):
 )
 def packed_export(spark, sf_dir):
     """Blocks as little-endian 32-bit ids, byte for byte."""
-    packed = sinks.pack_bytes(codepoint_blocks(spark, sf_dir), {"tokens": sinks.token_dtype(CODEPOINTS)})
-    return _hex_blocks(packed, "tokens", SEQ_LEN * 4)
+    return _hex_blocks(spark, codepoint_blocks(spark, sf_dir), {"tokens": sinks.token_dtype(CODEPOINTS)}, "packed-export")
 
 
 @query(
@@ -197,8 +192,7 @@ def sft_export(spark, sf_dir):
     """Token and mask blocks of some of the conversations, byte for byte, numbered without holes."""
     examples = codepoint_examples(spark, sf_dir).where("conv_id % 3 <> 1")
     blocks = sft.number_blocks(sft.pad_and_truncate(examples, SFT_LEN), "conv_id")
-    packed = sinks.pack_bytes(blocks, {"mask": "B", "tokens": "I"})
-    return _hex_blocks(packed, "mask", SFT_LEN).join(_hex_blocks(packed, "tokens", 4 * SFT_LEN), "seq_id")
+    return _hex_blocks(spark, blocks, {"mask": "B", "tokens": "I"}, "sft-export")
 
 
 @query(

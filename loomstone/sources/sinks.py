@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # Vocabularies below this size fit 16-bit ids.
 SHORT_VOCABULARY = 65536
+# Consecutive blocks that one task writes behind one another.
+RANGE_BLOCKS = 4096
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -30,9 +31,14 @@ def token_dtype(vocab_size) -> Column | str:
     return F.when(vocab_size < SHORT_VOCABULARY, F.lit("H")).otherwise(F.lit("I"))
 
 
+def _dealt(blocks: DataFrame) -> DataFrame:
+    """Ranges of numbers dealt to tasks by hash, in order inside a task: nothing is sampled, so blocks are computed once."""
+    return blocks.repartition(F.expr(f"seq_id div {RANGE_BLOCKS}")).sortWithinPartitions("seq_id")
+
+
 def write_packed(blocks: DataFrame, path: str, meta: DataFrame, mode: str = "errorifexists") -> None:
-    """Canonical form: blocks as Parquet in sequence order, the meta row as JSON beside them."""
-    blocks.repartitionByRange("seq_id").sortWithinPartitions("seq_id").write.mode(mode).parquet(f"{path}/blocks")
+    """Canonical form: blocks as Parquet, each file in sequence order, the meta row as JSON beside them."""
+    _dealt(blocks).write.mode(mode).parquet(f"{path}/blocks")
     meta.write.mode(mode).option("ignoreNullFields", "false").json(f"{path}/meta")
 
 
@@ -70,31 +76,7 @@ def pack_bytes(blocks: DataFrame, columns: dict[str, str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*labels, *payloads], names=["first_seq", "n_sequences", *names])
 
     schema = "first_seq bigint, n_sequences bigint, " + ", ".join(f"{n} binary" for n in names)
-    ordered = blocks.select("seq_id", *names).repartitionByRange("seq_id").sortWithinPartitions("seq_id")
-    return ordered.mapInArrow(encode, schema)
-
-
-def export_shards(packed: DataFrame, column: str, folder: str, suffix: str = ".bin") -> DataFrame:
-    """Write each byte string as a file into a folder every executor sees; gives ``(file, size)``.
-
-    File names come from the first sequence number and files appear by an
-    atomic rename, so a repeated task writes the same file again.
-    """
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            files, sizes = [], []
-            for first, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                path = os.path.join(folder, f"shard_{first:012d}{suffix}")
-                draft = f"{path}.{os.getpid()}.tmp"
-                with open(draft, "wb") as out:
-                    out.write(payload)
-                os.replace(draft, path)
-                files.append(path)
-                sizes.append(len(payload))
-            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(sizes, pa.int64())], names=["file", "size"])
-
-    return packed.select("first_seq", column).mapInArrow(write, "file string, size bigint")
+    return _dealt(blocks.select("seq_id", *names)).mapInArrow(encode, schema)
 
 
 def as_array(values: list[int], kind: str) -> np.ndarray:

@@ -4,13 +4,15 @@ import os
 import random
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loomstone.functions import logs
 from loomstone.operators import convert, formats, packing, profile
 from loomstone.plans import corpus
-from loomstone.sources import files, sinks
+from loomstone.sources import files, shards, sinks
 
 
 def write(folder, name, content):
@@ -225,3 +227,64 @@ def test_records_with_a_text_above_20_million_characters_are_kept(spark, tmp_pat
     lines.select("line").write.text(str(tmp_path / "long.jsonl"))
     assert files.read_jsonl(spark, str(tmp_path / "long.jsonl")).count() == 1
     assert corpus.read_records(spark, str(tmp_path / "long.jsonl"), ["body"]).select(F.length("text")).collect() == [(size,)]
+
+
+# -- binary shards
+
+
+def _blocks(spark, numbers, length=3):
+    return spark.createDataFrame([(i, [i, 70000 + i, 2][:length], [1, 0, i % 2][:length]) for i in numbers], "seq_id long, tokens array<int>, mask array<int>")
+
+
+KINDS = {"tokens": "I", "mask": "B"}
+
+
+def test_shards_round_trip(spark, tmp_path):
+    path = str(tmp_path / "t")
+    numbers = [i for i in range(500) if i not in (7, 8, 200)]  # holes end a shard
+    random.Random(1).shuffle(numbers)
+    df = _blocks(spark, numbers).repartition(6)
+    shards.write(df, path, KINDS, shard_blocks=64)
+    back = shards.read(spark, path)
+    assert {r.seq_id: (r.tokens, r.mask) for r in back.collect()} == {r.seq_id: (r.tokens, r.mask) for r in df.collect()}
+    assert back.rdd.getNumPartitions() > 5  # a shard is a partition
+    assert shards.read(spark, path, "mask").columns == ["seq_id", "mask"]
+    raw = {r.seq_id: bytes(r.tokens) for r in shards.read(spark, path, "tokens", raw=True).collect()}
+    assert raw[9] == np.array([9, 70009, 2], "<u4").tobytes()
+    names = sorted(p.name for p in (tmp_path / "t" / "tokens").iterdir())
+    assert names == sorted(p.name for p in (tmp_path / "t" / "mask").iterdir()) and int(names[1].split("-")[0]) == 9
+    with pytest.raises(FileExistsError):
+        shards.write(df, path, KINDS)
+    with pytest.raises(Exception, match="no column"):
+        shards.read(spark, path, "other").collect()
+
+
+def test_shards_append_overwrite_and_refuse(spark, tmp_path):
+    path = str(tmp_path / "t")
+    shards.write(_blocks(spark, range(10)), path, KINDS)
+    shards.write(_blocks(spark, range(10, 30)), path, KINDS, mode="append")
+    assert shards.read(spark, path).count() == 30
+    before = sorted(p.name for p in (tmp_path / "t" / "tokens").iterdir())
+    for wrong in (_blocks(spark, [5]), _blocks(spark, [40, 40]), _blocks(spark, [40], 2), spark.createDataFrame([(40, [1, -1, 2], [1, 1, 1])], "seq_id long, tokens array<int>, mask array<int>")):
+        with pytest.raises(Exception, match="twice|elements|fit"):
+            shards.write(wrong, path, KINDS, mode="append")
+        assert shards.read(spark, path).count() == 30  # what failed left nothing that counts
+    shards.write(_blocks(spark, range(3)), path, KINDS, mode="overwrite")
+    left = sorted(p.name for p in (tmp_path / "t" / "tokens").iterdir())
+    assert shards.read(spark, path).count() == 3 and len(left) == 1 and not set(left) & set(before)
+    shards.write(_blocks(spark, []), path, KINDS, mode="overwrite")
+    assert shards.read(spark, path).collect() == [] and list((tmp_path / "t" / "mask").iterdir()) == []
+    with pytest.raises(Exception, match="manifest"):
+        shards.read(spark, str(tmp_path / "none")).collect()
+
+
+def test_a_repeated_attempt_leaves_no_second_shard(tmp_path):
+    writer = shards.ShardWriter(str(tmp_path), KINDS, 64, overwrite=False)
+    batch = pa.RecordBatch.from_pydict({"seq_id": [0, 1], "tokens": [[1, 2], [3, 4]], "mask": [[0, 1], [1, 1]]})
+    lost, kept = writer.write(iter([batch])), writer.write(iter([batch]))
+    assert lost.shards != kept.shards and len(list((tmp_path / "tokens").iterdir())) == 2
+    writer.commit([kept, None])
+    assert [p.name for p in (tmp_path / "tokens").iterdir()] == [kept.shards[0][2]] == [p.name for p in (tmp_path / "mask").iterdir()]
+    gone = writer.write(iter([pa.RecordBatch.from_pydict({"seq_id": [9], "tokens": [[1, 2]], "mask": [[0, 1]]})]))
+    writer.abort([gone, None])
+    assert len(list((tmp_path / "tokens").iterdir())) == 1

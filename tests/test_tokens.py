@@ -11,7 +11,7 @@ from tokenizers import Tokenizer, decoders, models, pre_tokenizers, trainers
 from loomstone.functions import templates as tp, turns as tn
 from loomstone.operators import bpe, encoding, merges, packing, sft
 from loomstone.plans import corpus
-from loomstone.sources import sinks
+from loomstone.sources import shards, sinks
 
 
 def library(files, vocab_size, min_frequency=2):
@@ -295,12 +295,11 @@ def test_corpus_job_and_binary_export(spark, data, trained, tmp_path):
     assert blocks == {i: whole[i * 128 : (i + 1) * 128] for i in range(len(whole) // 128)}
     meta = built.meta.first()
     assert meta["total_tokens"] == len(whole) and meta["n_sequences"] == len(blocks) and meta["dtype"] == "H"
-    out = tmp_path / "bin"
-    out.mkdir()
-    shards = sinks.export_shards(sinks.pack_bytes(built.blocks, {"tokens": "H"}), "tokens", str(out)).collect()
-    stored = b"".join(open(r.file, "rb").read() for r in sorted(shards, key=lambda r: r.file))
+    shards.write(built.blocks, str(tmp_path / "bin"), {"tokens": meta["dtype"]}, shard_blocks=64)
+    files = sorted((tmp_path / "bin" / "tokens").iterdir())
+    stored = b"".join(f.read_bytes() for f in files)
     assert stored == np.array(whole[: len(blocks) * 128], dtype="<u2").tobytes()
-    assert sum(r["size"] for r in shards) == meta["file_size"]
+    assert sum(f.stat().st_size for f in files) == meta["file_size"]
     sinks.write_packed(built.blocks, str(tmp_path / "packed"), built.meta)
     named = sinks.read_processed_meta(spark, str(tmp_path / "*" / "meta")).first()
     assert named["name"] == "packed" and named["n_sequences"] == len(blocks)
