@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, ensure_checkpoint_dir
 from . import scan
 
 WINDOW_SECONDS = 60
@@ -220,7 +220,8 @@ def rate_and_quota(
     empty = F.array().cast("array<bigint>")
     slots = timed.groupBy("key_id", "slot").agg(F.min("us").alias("first_us"), F.max("rpm").alias("rpm"))
     flagged, given = checkpointed(fold(timed)), checkpointed(slots.withColumn("times", empty))
-    settled = []
+    # Decisions of settled keys are added to one table, so the plan does not grow with the rounds.
+    table = f"{ensure_checkpoint_dir(timed.sparkSession)}/decided-{uuid.uuid4().hex}"
     while True:
         labelled = checkpointed(_quota_labels(flagged))
         # Times that have left the window by the slot's first request play no part.
@@ -233,9 +234,10 @@ def rate_and_quota(
         stale = compared.where("stale")
         decided = labelled.select("key_id", "event_id", "decision")
         if stale.isEmpty():
-            return reduce(DataFrame.unionByName, settled, decided)
+            decided.write.mode("append").parquet(table)
+            return timed.sparkSession.read.schema(decided.schema).parquet(table)
         moving = stale.select("key_id").distinct()
-        settled.append(decided.join(moving, "key_id", "left_anti"))
+        decided.join(moving, "key_id", "left_anti").write.mode("append").parquet(table)
         carried = stale.select(
             "key_id",
             F.lit(-1).cast("bigint").alias("event_id"),

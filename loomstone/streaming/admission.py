@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,45 +11,63 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import metering as op
 
-STATE_SCHEMA = "day string, used bigint, times array<bigint>"
+STATE_SCHEMA = "clock bigint, day string, used bigint, times array<bigint>"
 
 
-def _decide_key(window_us: int):
-    """Quota and rolling limit of one key; the state is a counter and at most ``rpm`` times."""
+def _decide_key(window_us: int, idle_ms: int | None = None):
+    """Quota and rolling limit of one key; the state is a clock, a counter and at most ``rpm`` times."""
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        day, used, times = state.get if state.exists else (None, 0, [])
-        times = [int(t) for t in times]
-        # Rows of one micro-batch are put in order; later batches come in arrival order.
+        if state.hasTimedOut:
+            state.remove()
+            return
+        clock, day, used, times = state.get if state.exists else (None, None, 0, [])
+        times = deque(int(t) for t in times)
+        # Rows of one micro-batch are put in order; a row older than the key's clock is judged as of the clock.
         arrived = pd.concat(list(batches)).sort_values(["us", "event_id"])
         decisions = []
-        for us, today, rpm, limit in zip(arrived["us"], arrived["day"], arrived["rpm"], arrived["daily_limit"]):
-            if today != day:
-                day, used = today, 0
+        for us, today, rpm, limit in zip(arrived["us"].tolist(), arrived["day"], arrived["rpm"].tolist(), arrived["daily_limit"].tolist()):
+            if clock is None or us > clock:
+                clock = us
+                if today != day:
+                    day, used = today, 0
             if limit > 0 and used >= limit:
                 decisions.append("quota")
                 continue
             if rpm > 0:
-                times = [t for t in times if t > us - window_us]
+                while times and times[0] <= clock - window_us:
+                    times.popleft()
                 if len(times) >= rpm:
                     decisions.append("rpm")
                     continue
-                times.append(int(us))
+                times.append(clock)
             used += 1
             decisions.append("ok")
-        state.update((day, used, times))
+        state.update((clock, day, used, list(times)))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"event_id": arrived["event_id"].to_numpy(), "key_id": key[0], "decision": decisions})
 
     return decide
 
 
 def admission_stream(
-    requests: DataFrame, keys: DataFrame, sharing: bool = True, window_seconds: int = op.WINDOW_SECONDS
+    requests: DataFrame,
+    keys: DataFrame,
+    sharing: bool = True,
+    window_seconds: int = op.WINDOW_SECONDS,
+    idle_seconds: int | None = None,
 ) -> DataFrame:
     """Stream of ``(event_id, key_id, decision)`` for a stream of requests and a static table of keys.
 
     Requests refused without history, and those of unlimited keys, never reach
     the state; micro-batches are bounded by the source's rate options.
+
+    A key's clock is the latest time it was seen at and never goes back. Within a micro-batch rows are taken by time;
+    a row that comes in a later micro-batch than newer ones of its key is judged as of the clock: it counts
+    against the clock's day and window. Rows that arrive in order give the batch decisions. With ``idle_seconds``, a key without
+    requests for so long of running time is forgotten, and begins anew when it returns; this is for streams that run on, since a
+    run over what is available now never ends while a timeout may still come. Without it every key's state stays.
     """
     joined = op.join_keys(requests, keys)
     judged = joined.withColumn("decision", op.stateless_reason(joined, sharing))
@@ -62,11 +81,11 @@ def admission_stream(
     )
     key_type = limited.schema["key_id"].dataType.simpleString()
     decided = limited.groupBy("key_id").applyInPandasWithState(
-        _decide_key(window_seconds * 1_000_000),
+        _decide_key(window_seconds * 1_000_000, None if idle_seconds is None else idle_seconds * 1000),
         outputStructType=f"event_id bigint, key_id {key_type}, decision string",
         stateStructType=STATE_SCHEMA,
         outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout,
+        timeoutConf=GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
     return direct.unionByName(decided)
 

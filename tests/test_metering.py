@@ -2,6 +2,7 @@ import datetime
 import random
 from collections import defaultdict
 
+import pandas as pd
 import pytest
 
 from loomstone.operators import metering as op
@@ -127,6 +128,57 @@ def test_stream_in_many_batches_is_the_batch_result(spark, tmp_path):
     assert decisions(spark.read.parquet(out)) == reference(requests, keys, 300)
 
 
+class KeyState:
+    """The state of one key as the stream hands it to the function."""
+
+    def __init__(self):
+        self.get, self.exists, self.hasTimedOut, self.duration = None, False, False, None
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def remove(self):
+        self.get, self.exists = None, False
+
+    def setTimeoutDuration(self, ms):  # noqa: N802
+        self.duration = ms
+
+
+def _arrivals(*rows):
+    return iter([pd.DataFrame(rows, columns=["event_id", "us", "day", "rpm", "daily_limit"])])
+
+
+def test_late_rows_are_judged_as_of_the_clock_and_quiet_keys_are_forgotten():
+    decide, state = admission._decide_key(60_000_000, 5000), KeyState()
+    s = 1_000_000
+
+    def run(*rows):
+        got = next(decide((1,), _arrivals(*rows), state))
+        return dict(zip(got["event_id"], got["decision"]))
+
+    assert run((1, 100 * s, "d2", 0, 2), (2, 90 * s, "d1", 0, 2)) == {1: "ok", 2: "ok"}  # in order of time: d1, then d2
+    assert run((3, 80 * s, "d1", 0, 2)) == {3: "ok"}  # late: counts for d2, whose quota is then met
+    assert run((4, 110 * s, "d2", 0, 2)) == {4: "quota"}
+    assert state.get[0] == 110 * s and state.duration == 5000
+    assert run((5, 200 * s, "d3", 1, 0), (6, 259 * s, "d3", 1, 0)) == {5: "ok", 6: "rpm"}
+    assert run((7, 130 * s, "d2", 1, 0)) == {7: "rpm"}  # late: the window of the clock is full
+    assert run((8, 260 * s, "d3", 1, 0)) == {8: "ok"}
+    state.hasTimedOut = True
+    assert list(decide((1,), iter([]), state)) == [] and not state.exists
+
+
+def test_the_plan_of_many_rounds_does_not_grow(spark):
+    def plan_of(seconds):
+        rows = [(i, 1, None, at(i * 20)) for i in range(seconds // 20)]  # never quiet: every slot waits for the one before
+        keys = spark.createDataFrame([(1, True, 2, 0, [], None)], KEYS)
+        requests = spark.createDataFrame(rows, REQUEST)
+        decided = op.decide(requests, keys, window_seconds=45, slot_seconds=300)
+        assert decisions(decided) == reference(rows, [(1, True, 2, 0, [], None)], 45)
+        return decided._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+
+    assert plan_of(600) == plan_of(1500)
+
+
 def test_retention(spark):
     usage = spark.createDataFrame([(1, "2024-01-01", 2), (1, "2023-12-31", 3)], "key_id int, day string, used long")
     assert [r.day for r in op.retain(usage, "2024-01-31").collect()] == ["2024-01-01"]
