@@ -66,8 +66,8 @@ def admission_stream(
     A key's clock is the latest time it was seen at and never goes back. Within a micro-batch rows are taken by time;
     a row that comes in a later micro-batch than newer ones of its key is judged as of the clock: it counts
     against the clock's day and window. Rows that arrive in order give the batch decisions. With ``idle_seconds``, a key without
-    requests for so long of running time is forgotten, and begins anew when it returns; this is for streams that run on, since a
-    run over what is available now never ends while a timeout may still come. Without it every key's state stays.
+    requests for so long of running time is forgotten, and begins anew when it returns; this is for streams that run on, and
+    was not tried in one: a test run over what is available now did not end with it. Without it every key's state stays.
     """
     joined = op.join_keys(requests, keys)
     judged = joined.withColumn("decision", op.stateless_reason(joined, sharing))
