@@ -19,6 +19,14 @@ def _by_source(spark, sf_dir, *columns):
     return docs.repartition("source").sortWithinPartitions("source", "doc_id")
 
 
+def _array_lines(records):
+    """Lines (source, value) of one JSON array a source, which begins with a 0: its records in order, and a line before and behind them."""
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("part"), F.lit("[0").alias("value")), F.struct(F.lit(2).alias("part"), F.lit("]").alias("value"))))
+    frame = records.select("source").distinct().select("source", ends.alias("end")).select("source", "end.part", F.lit(None).cast("bigint").alias("doc_id"), "end.value")
+    lines = records.select("source", F.lit(1).alias("part"), "doc_id", F.concat(F.lit(","), "line").alias("value"))
+    return lines.unionByName(frame).repartition("source").sortWithinPartitions("source", "part", "doc_id").select("source", "value")
+
+
 def _folder_name(path):
     return F.regexp_extract(path, "source=([^/]+)/", 1)
 
@@ -107,11 +115,13 @@ def _rows_sql(extension: str, rows: str) -> str:
     UNION ALL {_rows_sql('jsonl', "count(*) FILTER (doc_id % 5 <> 0)")} HAVING count(*) FILTER (doc_id % 5 <> 0) > 0 UNION ALL {_rows_sql('txt', "sum(len(string_split(text, chr(10))))::BIGINT")}""",
 )
 def row_counts_by_reader(spark, sf_dir):
-    """Rows of files of each format as their readers count them; each source is one file, and texts hold newlines and quotes."""
+    """Rows of files of each format as their readers count them; texts hold newlines and quotes.
+
+    A source is one JSON array in one file, written record by record. The other formats may have several files a source, so each task writes its own rows as they are.
+    """
     result = None
-    rows = _by_source(spark, sf_dir, "text")
+    rows = inputs.table(spark, sf_dir, "documents").select("source", "doc_id", "text")
     record = F.to_json(F.struct("doc_id", "text"))
-    array = F.concat(F.lit("[0,"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda r: r["line"]), ",\n"), F.lit("]"))
     for ext in ("csv", "tsv", "json", "jsonl", "txt"):
         folder = inputs.scratch(spark, f"counted-{ext}")
         if ext in ("csv", "tsv"):
@@ -120,7 +130,7 @@ def row_counts_by_reader(spark, sf_dir):
         else:
             # One text a file; lines that are no object count in no reader of JSON lines.
             lines = {
-                "json": rows.select("source", "doc_id", record.alias("line")).groupBy("source").agg(array.alias("value")),
+                "json": _array_lines(rows.select("source", "doc_id", record.alias("line"))),
                 "jsonl": rows.select("source", F.when(F.col("doc_id") % 5 == 0, "{cut").otherwise(record).alias("value")),
                 "txt": rows.select("source", F.col("text").alias("value")),
             }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import logs
 from loomstone.operators import convert, formats, packing, profile
-from loomstone.plans import corpus
+from loomstone.plans import corpus, inputs, source_queries
 from loomstone.sources import files, shards, sinks
 
 
@@ -288,3 +288,22 @@ def test_a_repeated_attempt_leaves_no_second_shard(tmp_path):
     gone = writer.write(iter([pa.RecordBatch.from_pydict({"seq_id": [9], "tokens": [[1, 2]], "mask": [[0, 1]]})]))
     writer.abort([gone, None])
     assert len(list((tmp_path / "tokens").iterdir())) == 1
+
+
+def test_row_counts_write_without_moving_the_texts(spark, tmp_path, monkeypatch):
+    """Only the JSON array, one a source, is dealt by source; it is written record by record."""
+    rows = [(i, None if i == 7 else f'say "hi", {i}\nnext', "ab"[i % 2]) for i in range(40)] + [(None, "x", "a")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(inputs, "scratch", lambda spark, name: str(tmp_path / name))
+    found = {(r.source, r.ext): r.n for r in source_queries.row_counts_by_reader(spark, str(tmp_path)).collect()}
+    size = {"a": 21, "b": 20}
+    for source in "ab":
+        lines = sum(1 if r[1] is None else r[1].count("\n") + 1 for r in rows if r[2] == source)
+        objects = sum(r[0] is None or r[0] % 5 != 0 for r in rows if r[2] == source)
+        expected = {"csv": size[source], "tsv": size[source], "json": size[source] + 1, "jsonl": objects, "txt": lines}
+        assert {ext: found[source, ext] for ext in expected} == expected
+        assert len(list((tmp_path / "counted-csv" / f"source={source}").glob("part-*"))) > 1
+        (array,) = (tmp_path / "counted-json" / f"source={source}").glob("part-*")
+        values = json.loads(array.read_text())
+        ids = [v.get("doc_id") for v in values[1:]]
+        assert values[0] == 0 and ids == sorted(ids, key=lambda i: -1 if i is None else i) and len(ids) == size[source]
