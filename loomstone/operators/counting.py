@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx
 
-SLICE_BYTES = 4 << 20
+# Work arrays take about 80 times as much.
+SLICE_BYTES = 1 << 19
 # One bit per class; the last two are set by position.
 CJK, LETTER, DIGIT, SPACE, PUNCTUATION, NEWLINE, WORD, LINE = (1 << i for i in range(8))
 # No letter, number or white space lies beyond; what does counts as punctuation.

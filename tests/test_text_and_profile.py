@@ -1,9 +1,11 @@
 import random
 import re
 import sys
+import tracemalloc
 import unicodedata
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +182,14 @@ def test_a_report_reads_the_texts_once(spark, tmp_path):
     spark.createDataFrame([("a", "One two\nthree"), ("b", "x")], "k string, t string").write.parquet(path)
     plan = profile.dataset_report(spark.read.parquet(path), "t", "k")._jdf.queryExecution().optimizedPlan().toString()
     assert path not in plan and "MapInArrow" not in plan
+
+
+def test_a_wide_batch_is_profiled_in_small_slices():
+    texts = pa.array(["Ein Satz mit 12 Zeichen, é und 好.\n" * 40] * 6000, pa.string())
+    batch = pa.record_batch([texts], names=["text"])
+    tracemalloc.start()
+    chars = sum(int(counting._Texts(part.column(0)).measures()["chars"].sum()) for part in counting._slices(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert chars == 6000 * len(texts[0].as_py())
+    assert most < 80
