@@ -32,8 +32,8 @@ ROWS, LEADING = 60_000, 64
 DEPTH = 0.4
 # Rounds after which the merged words and counts are written and lineage is cut.
 ROUNDS_PER_TABLE = 10
-# Symbols a task holds at a time.
-CHUNK_SYMBOLS = 2_000_000
+# Symbols a task holds at a time, few enough to stay near the cache in pass after pass.
+CHUNK_SYMBOLS = 500_000
 
 Merge = tuple[int, int, int]  # left, right, new id
 Pair = tuple[int, int]
@@ -179,12 +179,15 @@ class Pass:
         merges = sorted(merges)
         self.keys = np.array([left << BITS | right for left, right, _ in merges], np.int64)
         self.news = np.array([new for _, _, new in merges], np.int32)
-        self.left, self.right = np.zeros(n_symbols, bool), np.zeros(n_symbols, bool)
-        self.left[[m[0] for m in merges]] = self.right[[m[1] for m in merges]] = True
+        # What a symbol is in any of the pairs: 1 the left one, 2 the right one.
+        self.sides = np.zeros(n_symbols, np.uint8)
+        self.sides[[m[0] for m in merges]] |= 1
+        self.sides[[m[1] for m in merges]] |= 2
 
     def hits(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where merged pairs begin, and which of the merges it is."""
-        at = np.flatnonzero(self.left[symbols[:-1]] & self.right[symbols[1:]])
+        sides = self.sides[symbols]
+        at = np.flatnonzero(sides[:-1] & (sides[1:] >> 1))
         at = at[word[at] == word[at + 1]]
         pairs = symbols[at].astype(np.int64) << BITS | symbols[at + 1]
         slot = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
@@ -236,11 +239,13 @@ def _batch(key: np.ndarray, run: pa.Array, count: np.ndarray) -> pa.RecordBatch:
 
 
 def _summed(keys: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.zeros(len(key), np.int64)
-    np.add.at(total, place, np.concatenate(weights))
+    key = np.concatenate(keys)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))[: len(key)]
+    total = np.add.reduceat(np.concatenate(weights)[order], first) if len(key) else np.zeros(0, np.int64)
     used = total != 0
-    return key[used], total[used]
+    return key[first][used], total[used]
 
 
 def _pairs(symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,11 +272,20 @@ def _changes(pending: list[list[Merge]], leading: list[Pair], n_symbols: int):
 
     def run(batches):
         steps = [Pass(m, n_symbols) for m in pending]
+        anything = Pass([m for step in pending for m in step], n_symbols) if pending else None
         known = Pass([(left, right, 0) for left, right in leading], n_symbols) if leading else None
         for n, symbols, word in _chunks(batches):
             old, old_word, touched = symbols, word, np.zeros(len(n), bool)
-            for step in steps:
-                symbols, word = step.apply(symbols, word, touched)
+            if anything:
+                # A word without any of the pairs stays as it is through all passes; the others go behind them.
+                may_change = np.zeros(len(n), bool)
+                may_change[word[anything.hits(symbols, word)[0]]] = True
+                open_to = may_change[word]
+                same, same_word = symbols[~open_to], word[~open_to]
+                symbols, word = symbols[open_to], word[open_to]
+                for step in steps:
+                    symbols, word = step.apply(symbols, word, touched)
+                symbols, word = np.concatenate((same, symbols)), np.concatenate((same_word, word))
             was, now = touched[old_word], touched[word]
             gone, gone_word = _pairs(old[was], old_word[was])
             come, come_word = _pairs(symbols[now], word[now])
@@ -349,7 +363,10 @@ def learn(words: DataFrame, names: dict[int, str], vocab: dict[str, int], vocab_
     words, new_from = checkpointed(words), len(vocab)
     counts = checkpointed(_total(words.mapInArrow(_count_all, _COUNTED)))
     merges: list[tuple[str, str]] = []
+    # Merges not yet in the written words: settled passes, and those behind them, whose passes are planned together.
     pending: list[list[Merge]] = []
+    settled: list[list[Merge]] = []
+    waiting: list[Merge] = []
     rounds, width, maybe = 0, LEADING, {}
     known = {(r.key >> BITS, r.key & _MASK): r["count"] for r in counts.orderBy(F.desc("count"), "key").limit(4 * width).collect()}
     while len(vocab) < vocab_size and known:
@@ -361,9 +378,13 @@ def learn(words: DataFrame, names: dict[int, str], vocab: dict[str, int], vocab_
         if survey is None:
             width, maybe = max(1, width // 2), {}
             continue
+        size = len(vocab)
         planned, known, maybe, done = plan(survey, names, vocab, vocab_size - len(vocab), least)
         merges += [(names[left], names[right]) for left, right, _ in planned]
-        pending += passes(planned)
+        waiting += planned
+        pending = settled + passes(waiting)
+        if planned and planned[-1][2] < size:  # an older symbol grows: what follows comes behind it
+            settled, waiting = pending, []
         if done:
             break
         if not known:  # all that was listed is merged: look deeper
@@ -373,4 +394,5 @@ def learn(words: DataFrame, names: dict[int, str], vocab: dict[str, int], vocab_
         if rounds % ROUNDS_PER_TABLE == 0:
             counts = checkpointed(_total(counts.unionAll(words.mapInArrow(_changes(pending, [], len(vocab)), _COUNTED))))
             words, pending, new_from = checkpointed(words.mapInArrow(_merged(pending, len(vocab)), "n bigint, symbols array<int>")), [], len(vocab)
+            settled, waiting = [], []
     return merges

@@ -1,6 +1,8 @@
 import json
 import random
 import re
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -395,3 +397,42 @@ def test_tokenizer_of_the_same_words_is_learned_once(spark, monkeypatch):
     assert bpe.train_once(docs.repartition(3), "t", 60) == first
     with pytest.raises(TypeError):
         bpe.train_once(docs.unionAll(docs.limit(1)), "t", 60)
+
+
+def test_only_neighbours_of_a_merge_are_looked_up_again(trained):
+    tokenizer, reference, texts = trained
+    own, asked = bpe.encoder(tokenizer), []
+    look = own._slots
+    own._slots = lambda left, right: asked.append(len(left)) or look(left, right)
+    word = "".join(t for t in re.findall("[a-z]+", " ".join(texts)))[:4000]
+    ids = own.encode(word)
+    assert ids == reference.encode(word).ids
+    assert sum(asked) < len(word) + 2 * (len(word) - len(ids))
+
+
+@pytest.mark.parametrize("held", [1, 3])
+def test_pretokens_are_counted_over_several_chunks(monkeypatch, held):
+    texts = ["a b\nb a", None, "", "it's  x\n\n", "b", "é b"] * 5
+    whole = Counter()
+    for batch in encoding.line_pieces(iter([pa.record_batch([pa.array(texts)], names=["t"])])):
+        whole.update(dict(zip(*(c.to_pylist() for c in batch.columns))))
+    monkeypatch.setattr(encoding, "SPLIT_BYTES", 6)
+    monkeypatch.setattr(encoding, "COUNTED_CHUNKS", held)
+    batches = list(encoding.line_pieces(iter([pa.record_batch([pa.array(texts)], names=["t"])])))
+    parts = Counter()
+    for batch in batches:
+        for token, n in zip(*(c.to_pylist() for c in batch.columns)):
+            parts[token] += n
+    assert parts == whole and len(batches) > 3
+
+
+def test_pending_merges_of_several_rounds_share_passes(spark, monkeypatch):
+    """Passes are planned over all merges since the words were written, so there are fewer than round by round."""
+    words = [("abcd", 9), ("abxy", 7), ("xyzw", 6), ("cdzw", 5), ("aaaa", 4), ("wzab", 3)]
+    counts = spark.createDataFrame([(w, n) for w, n in words], "token string, n bigint")
+    seen = []
+    plan_passes = merges.passes
+    monkeypatch.setattr(merges, "LEADING", 1)
+    monkeypatch.setattr(merges, "passes", lambda m: seen.append(len(m)) or plan_passes(m))
+    learned = bpe.train_counts(counts, 30, 2).merges
+    assert len(seen) > 2 and max(seen) == len(learned)
