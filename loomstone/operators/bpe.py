@@ -158,7 +158,7 @@ def encode(tokenizer: Tokenizer, text: Column) -> Column:
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(tokenizer)
-        yield from encoding.each(batches, own.encode_texts)
+        yield from encoding.each(batches, own.encode_texts, encoding.text_bytes)
 
     return run(text)
 
@@ -178,7 +178,7 @@ def decode(tokenizer: Tokenizer, ids: Column, skip_special: bool = True) -> Colu
         spelling = [b""] * (1 + max(tokenizer.vocab.values(), default=-1))
         for token, i in tokenizer.vocab.items():
             spelling[i] = (b"" if skip_special else token.encode()) if token in special else bytes(back[c] for c in token)
-        yield from encoding.each(batches, lambda lists: encoding.spelled_out(lists, spelling))
+        yield from encoding.each(batches, lambda lists: encoding.spelled_out(lists, spelling), encoding.list_bytes)
 
     return run(ids)
 
@@ -191,7 +191,7 @@ def sample_encodings(tokenizer: Tokenizer, df: DataFrame, text: str, *keep: str,
         stored = [""] * (1 + max(tokenizer.vocab.values(), default=-1))
         for token, i in tokenizer.vocab.items():
             stored[i] = token
-        yield from encoding.each(batches, lambda lists: encoding.named(lists, stored))
+        yield from encoding.each(batches, lambda lists: encoding.named(lists, stored), encoding.list_bytes)
 
     encoded = df.select(*keep, text, encode(tokenizer, F.col(text)).alias("all_ids"))
     return encoded.select(
@@ -249,6 +249,6 @@ def sft_examples(tokenizer: Tokenizer, df: DataFrame, parts: str, *keep: str) ->
         def made(rows: pa.Array) -> pa.Array:
             return pa.StructArray.from_arrays(own.examples(rows), names=["tokens", "mask"])
 
-        yield from encoding.each(batches, made)
+        yield from encoding.each(batches, made, encoding.part_bytes)
 
     return df.select(*keep, run(F.col(parts)).alias("__ex")).select(*keep, "__ex.tokens", "__ex.mask")

@@ -399,6 +399,44 @@ def test_tokenizer_of_the_same_words_is_learned_once(spark, monkeypatch):
         bpe.train_once(docs.unionAll(docs.limit(1)), "t", 60)
 
 
+def _peak(work):
+    """MB that ``work`` holds at most beyond what was there."""
+    tracemalloc.start()
+    try:
+        result = work()
+        return result, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_wide_batch_is_encoded_and_decoded_in_bounded_slices(trained, monkeypatch):
+    tokenizer, _, texts = trained
+    monkeypatch.setattr(encoding, "CHUNK_BYTES", 1 << 16)
+    batch = pa.array((texts * 40)[: 40 * len(texts)] + [None, ""], pa.string()).slice(0, 6000)
+    own = bpe.encoder(tokenizer)
+    encoded, most = _peak(lambda: list(encoding.each(iter([batch]), own.encode_texts, encoding.text_bytes)))
+    lists = pa.concat_arrays(encoded)
+    assert len(encoded) > 10 and lists.to_pylist() == own.encode_texts(batch).to_pylist()
+    assert most < 40
+    back = {c: b for b, c in bpe.byte_alphabet().items()}
+    spelling = [t.encode() if t in tokenizer.special else bytes(back[c] for c in t) for t, _ in sorted(tokenizer.vocab.items(), key=lambda item: item[1])]
+    decoded, most = _peak(lambda: list(encoding.each(iter([lists]), lambda part: encoding.spelled_out(part, spelling), encoding.list_bytes)))
+    assert pa.concat_arrays(decoded).to_pylist() == [t or "" for t in batch.to_pylist()]
+    assert len(decoded) > 10 and most < 40
+
+
+def test_conversations_are_masked_alike_in_slices(trained, monkeypatch):
+    own = bpe.encoder(trained[0])
+    kind = pa.list_(pa.struct([("head", pa.string()), ("body", pa.string()), ("assistant", pa.bool_())]))
+    turn = lambda n: {"head": f"user {n}:", "body": None if n % 7 == 0 else " it's so" * n, "assistant": n % 2 == 0}
+    parts = pa.array([[turn(n) for n in range(k)] if k % 5 else None for k in range(40)], kind)
+    whole = own.examples(parts.slice(3))
+    monkeypatch.setattr(encoding, "CHUNK_BYTES", 200)
+    sliced = list(encoding.each(iter([parts.slice(3)]), lambda rows: pa.StructArray.from_arrays(own.examples(rows), names=["tokens", "mask"]), encoding.part_bytes))
+    assert len(sliced) > 5
+    assert [[r[c] for s in sliced for r in s.to_pylist()] for c in ("tokens", "mask")] == [w.to_pylist() for w in whole]
+
+
 def test_only_neighbours_of_a_merge_are_looked_up_again(trained):
     tokenizer, reference, texts = trained
     own, asked = bpe.encoder(tokenizer), []
