@@ -217,8 +217,11 @@ def token_table(tokenizer: Tokenizer, spark: SparkSession) -> DataFrame:
 
 
 def token_preview(tokenizer: Tokenizer, encoded: DataFrame, ids: str, *keep: str) -> DataFrame:
-    """Encoded texts as one row per token. The joined table is the vocabulary, so its size is bounded."""
-    placed = encoded.select(*keep, F.posexplode(ids).alias("pos", "id"))
+    """Encoded texts as one row per token. The joined table is the vocabulary, so its size is bounded.
+
+    Of a plain column Spark would first filter the lists that are not empty, and so encode every text twice, with two Python workers a task.
+    """
+    placed = encoded.select(*keep, F.posexplode(F.coalesce(ids, F.array())).alias("pos", "id"))
     return placed.join(F.broadcast(token_table(tokenizer, encoded.sparkSession)), "id").select(*keep, "pos", "id", "shown")
 
 
@@ -251,4 +254,6 @@ def sft_examples(tokenizer: Tokenizer, df: DataFrame, parts: str, *keep: str) ->
 
         yield from encoding.each(batches, made, encoding.part_bytes)
 
-    return df.select(*keep, run(F.col(parts)).alias("__ex")).select(*keep, "__ex.tokens", "__ex.mask")
+    # Not deterministic for Spark, else a filter on the result (``sft.long_enough``) moves below it and every conversation is encoded twice.
+    made_once = run.asNondeterministic()
+    return df.select(*keep, made_once(F.col(parts)).alias("__ex")).select(*keep, "__ex.tokens", "__ex.mask")

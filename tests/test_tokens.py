@@ -155,6 +155,34 @@ def test_token_preview_shows_each_token_decoded(spark, trained):
     assert [r.shown for r in shown] == [reference.decode([i]) for i in ids]
 
 
+def _encodings(df):
+    """How often a row passes through a Python worker in the plan of ``df``."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+
+
+def test_a_preview_encodes_every_text_once(spark, trained):
+    tokenizer, reference, texts = trained
+    rows = [(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, " x</s>"), *enumerate(texts[:5], 4)]
+    turns = spark.createDataFrame(rows, "i int, text string")
+    encoded = turns.select("i", bpe.encode(tokenizer, F.col("text")).alias("ids"))
+    shown = bpe.token_preview(tokenizer, encoded, "ids", "i")
+    assert _encodings(shown) == 1
+    got = Counter((r.i, r.pos, r.id) for r in shown.collect())
+    assert got == Counter((i, pos, token) for i, text in rows if text for pos, token in enumerate(reference.encode(text).ids))
+
+
+def test_examples_are_encoded_once_where_short_ones_are_left_out(spark, trained):
+    tokenizer, _, texts = trained
+    conv = [(1, [("user", "a"), ("assistant", " b c d")]), (2, []), (3, None), (4, [("user", texts[0][:200]), ("assistant", texts[1][:200])])]
+    talks = spark.createDataFrame(conv, "i int, conv array<struct<role:string,content:string>>")
+    parts = talks.select("i", tp.rendered_turns(F.col("conv"), "simple").alias("parts"))
+    examples = bpe.sft_examples(tokenizer, parts, "parts", "i")
+    blocks = sft.pad_and_truncate(examples, 16)
+    assert _encodings(blocks) == 1
+    long = {r.i: r.tokens for r in examples.collect() if r.tokens and len(r.tokens) >= sft.MIN_TOKENS}
+    assert {r.i: r.tokens for r in blocks.collect()} == {i: (t + [0] * 16)[:16] for i, t in long.items()} and 4 in long
+
+
 def test_decoding_follows_the_library(spark, trained):
     tokenizer, reference, texts = trained
     lists = [reference.encode(t).ids for t in [*texts[:20], "a</s>b <pad>"]] + [[], [4], list(range(5, 60))]
