@@ -8,6 +8,9 @@ All n-grams are counted over all training documents without a row per token. A *
 its tokens as numbers of its own vocabulary; it asks for the counts of its distinct words and word
 pairs, dealt by hash over ``parts``, each part adds up what all batches sent and answers every batch in the order it
 asked. What crosses the network is six bytes for each distinct n-gram of a batch and a small count back.
+
+A task holds one batch or one part at a time. Per token it keeps numbers of four bytes, and eight only
+where n-grams are hashed and put in order; texts are split, and estimates taken, piece by piece.
 """
 
 from __future__ import annotations
@@ -21,6 +24,11 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Scratch, chunks, mix, split_words, stream, text_buffer
 
 BATCH_BYTES = 4 << 20
+SPLIT_BYTES = 512 << 10
+PIECE = 1 << 16
+ASKED_ROWS = 64
+PARTS_A_TASK = 2
+ROW_A_PAGE = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
 PART_KEYS = 1 << 19
 FOLDS = 10
 ROUNDS = 60
@@ -56,6 +64,45 @@ def _counts_in(b: bytes, n: int) -> np.ndarray:
     return np.frombuffer(b, np.uint8 if len(b) == n else np.uint32).astype(np.int64)
 
 
+def _pieces(ends: np.ndarray):
+    """Ranges of documents that together end after about ``PIECE`` tokens (one document at least)."""
+    first = 0
+    while first < len(ends):
+        begun = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, begun + PIECE, side="right")))
+        yield first, last
+        first = last
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and which of them each key is."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    fresh = np.ones(len(keys), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=fresh[1:])
+    ranked = ranked[fresh]
+    which = np.empty(len(keys), np.int32)
+    which[order] = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
+    return ranked, which
+
+
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    """``keys`` mixed in place, piece by piece."""
+    for at in range(0, len(keys), PIECE):
+        keys[at : at + PIECE] = mix(keys[at : at + PIECE])
+    return keys
+
+
+def _hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of all texts in order, and how many words each text has."""
+    hashes, counts = [], []
+    for piece in chunks([batch], "text", SPLIT_BYTES):
+        words = split_words(*text_buffer(piece.column(2)))
+        counts.append(np.bincount(words.doc, minlength=piece.num_rows))
+        hashes.append(np.insert(words.hash, np.cumsum(counts[-1]), _END))
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
 def _grouped(batches):
     """Documents gathered to batches of about ``BATCH_BYTES``; those of the fold are kept apart from the others."""
     waiting: dict[bool, list] = {True: [], False: []}
@@ -80,13 +127,10 @@ def _batches(batches):
     names = [f.split()[0] for f in _BATCH.split(", ")]
     for held, batch in _grouped(batches):
         made += 1
-        words = split_words(*text_buffer(batch.column(2)))
-        count = np.bincount(words.doc, minlength=batch.num_rows)
-        ends = np.cumsum(count)
-        hashes = np.insert(words.hash, ends, _END)
-        known, inverse, often = np.unique(hashes, return_inverse=True, return_counts=True)
-        rank = np.argsort(-often, kind="stable")
-        place = np.empty(len(rank), np.int64)
+        hashes, count = _hashes(batch)
+        known, inverse = _distinct(hashes)
+        rank = np.argsort(-np.bincount(inverse), kind="stable")
+        place = np.empty(len(rank), np.uint32)
         place[rank] = np.arange(len(rank))
         ids = batch.column(0)
         role = batch.column(1).to_numpy().astype(np.uint8)
@@ -107,20 +151,24 @@ class Batch:
         self.role = np.frombuffer(row["role"], np.uint8)
         self.words = np.frombuffer(row["words"], np.int64)
         vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
-        self.token = _from_planes(row["tokens"], row["n"]).astype(np.int64)
-        self.doc = np.repeat(np.arange(len(self.words)), self.words + 1)
-        self.first = np.cumsum(self.words + 1) - (self.words + 1)
-        self.uni = mix(np.concatenate((vocabulary, [_START])) * _WORD)
-        before = np.concatenate(([0], self.token[:-1]))
-        before[self.first] = len(vocabulary)
-        self.context = before
+        self.token = _from_planes(row["tokens"], row["n"]).view(np.int32)
+        self.ends = np.cumsum(self.words + 1)
         hashes = np.concatenate((vocabulary, [_START]))
-        pair = mix(hashes[before] * _PREV + hashes[self.token] * _NEXT)
-        self.bi, self.pair = np.unique(pair, return_inverse=True)
+        self.uni = mix(hashes * _WORD)
+        self.context = np.empty_like(self.token)
+        self.context[1:] = self.token[:-1]
+        self.context[self.ends - (self.words + 1)] = len(vocabulary)
+        pair = (hashes * _PREV)[self.context]
+        pair += (hashes * _NEXT)[self.token]
+        self.bi, self.pair = _distinct(_mixed(pair))
+
+    def of(self, role: int) -> np.ndarray:
+        """Which tokens are of documents of ``role``."""
+        return np.repeat(self.role == role, self.words + 1)
 
     def counts(self, role: int) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences of the distinct words and pairs in documents of ``role``; START counts documents."""
-        mine = self.role[self.doc] == role
+        mine = self.of(role)
         uni = np.bincount(self.token[mine], minlength=len(self.uni))
         uni[-1] = int((self.role == role).sum())
         return uni, np.bincount(self.pair[mine], minlength=len(self.bi))
@@ -146,26 +194,31 @@ def _long(b: bytes) -> np.ndarray:
 _ASK = pa.schema([("part", pa.int32()), ("batch", pa.string()), ("n_uni", pa.int64()), ("keys", pa.binary()), ("train", pa.binary()), ("fold", pa.binary())])
 
 
+def _asked(row: dict, parts: int):
+    """What one batch asks of the parts, some of them at a time."""
+    batch = Batch(row)
+    counts = [batch.counts(TRAIN), batch.counts(FOLD)]
+    (uo, ub), (bo, bb) = batch.deal(parts)
+    for begun in range(0, parts, ASKED_ROWS):
+        out: dict[str, list] = {f.name: [] for f in _ASK}
+        for p in range(begun, min(parts, begun + ASKED_ROWS)):
+            u, b = uo[ub[p] : ub[p + 1]], bo[bb[p] : bb[p + 1]]
+            if len(u) + len(b) == 0:
+                continue
+            out["part"].append(p)
+            out["batch"].append(row["batch"])
+            out["n_uni"].append(len(u))
+            out["keys"].append(_short(np.concatenate((batch.uni[u], batch.bi[b]))))
+            for name, (uni, bi) in zip(("train", "fold"), counts):
+                out[name].append(_counts_out(np.concatenate((uni[u], bi[b]))))
+        yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in _ASK], schema=_ASK)
+
+
 def _ask(parts: int):
     def run(batches):
         for rows in batches:
             for i in range(rows.num_rows):
-                row = rows.slice(i, 1).to_pylist()[0]
-                batch = Batch(row)
-                counts = [batch.counts(TRAIN), batch.counts(FOLD)]
-                (uo, ub), (bo, bb) = batch.deal(parts)
-                out: dict[str, list] = {f.name: [] for f in _ASK}
-                for p in range(parts):
-                    u, b = uo[ub[p] : ub[p + 1]], bo[bb[p] : bb[p + 1]]
-                    if len(u) + len(b) == 0:
-                        continue
-                    out["part"].append(p)
-                    out["batch"].append(row["batch"])
-                    out["n_uni"].append(len(u))
-                    out["keys"].append(_short(np.concatenate((batch.uni[u], batch.bi[b]))))
-                    for name, (uni, bi) in zip(("train", "fold"), counts):
-                        out[name].append(_counts_out(np.concatenate((uni[u], bi[b]))))
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in _ASK], schema=_ASK)
+                yield from _asked(rows.slice(i, 1).to_pylist()[0], parts)
 
     return run
 
@@ -176,10 +229,10 @@ _ANSWER = pa.schema([("part", pa.int32()), ("batch", pa.string()), ("train", pa.
 def _answer(table: pa.Table) -> pa.Table:
     """Totals of one part's n-grams, back to every batch in the order it asked."""
     rows = table.to_pylist()
-    keys = [_long(r["keys"]) for r in rows]
-    sizes = [len(k) for k in keys]
-    kind = np.concatenate([np.arange(s) >= r["n_uni"] for s, r in zip(sizes, rows)])
-    known, inverse = np.unique(np.concatenate(keys) | kind.astype(np.uint64), return_inverse=True)
+    sizes = [len(r["keys"]) // 6 for r in rows]
+    keys = np.concatenate([_long(r["keys"]) for r in rows])
+    keys |= np.concatenate([np.arange(s) >= r["n_uni"] for s, r in zip(sizes, rows)])
+    known, inverse = _distinct(keys)
     totals = {}
     for name in ("train", "fold"):
         sent = np.concatenate([_counts_in(r[name], s) for s, r in zip(sizes, rows)])
@@ -229,11 +282,16 @@ def _held_out_bins(parts: int, retained: int):
         if not left.num_rows:
             return _BIN.empty_table()
         batch, (uni, bi), _ = _received(left, right, parts)
-        mine = batch.role[batch.doc] == FOLD
-        context = uni[batch.context[mine]]
-        two = steps(bi[batch.pair[mine]] / np.maximum(1, context))
-        one = steps(uni[batch.token[mine]] / max(1, retained))
-        found, n = np.unique(np.column_stack((_bucket(context), two, one)), axis=0, return_counts=True)
+        mine = np.flatnonzero(batch.of(FOLD))
+        found, n = np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
+        for at in range(0, len(mine), PIECE):
+            piece = mine[at : at + PIECE]
+            context = uni[batch.context[piece]]
+            two = steps(bi[batch.pair[piece]] / np.maximum(1, context))
+            one = steps(uni[batch.token[piece]] / max(1, retained))
+            more, often = np.unique(np.column_stack((_bucket(context), two, one)), axis=0, return_counts=True)
+            found, inverse = np.unique(np.concatenate((found, more)), axis=0, return_inverse=True)
+            n = np.bincount(inverse.ravel(), np.concatenate((n, often)), len(found)).astype(np.int64)
         return pa.Table.from_arrays([*[pa.array(found[:, i].astype(np.int32)) for i in range(3)], pa.array(n.astype(np.int64))], schema=_BIN)
 
     return run
@@ -274,14 +332,20 @@ def _scores(parts: int, total: int, vocabulary: int, weights: np.ndarray):
         if not left.num_rows:
             return _SCORES.empty_table()
         batch, (uni, bi), (uni_fold, bi_fold) = _received(left, right, parts)
-        uni, bi = uni + uni_fold, bi + bi_fold
-        c, context = uni[batch.token], uni[batch.context]
-        l = weights[_bucket(context)]
-        p = l[:, 0] * (bi[batch.pair] / np.maximum(1, context)) + l[:, 1] * (c / max(1, total)) + l[:, 2] / (vocabulary + 1)
-        base = np.log10((c + 1) / (total + vocabulary + 1))
-        sums = [np.add.reduceat(x, batch.first) for x in ((c > 0).astype(np.int64), base, np.log10(p))]
+        uni += uni_fold
+        bi += bi_fold
+        sums = []
+        for first, last in _pieces(batch.ends):
+            begins = batch.ends[first:last] - (batch.words[first:last] + 1)
+            here = slice(begins[0], batch.ends[last - 1])
+            c, context = uni[batch.token[here]], uni[batch.context[here]]
+            l = weights[_bucket(context)]
+            p = l[:, 0] * (bi[batch.pair[here]] / np.maximum(1, context)) + l[:, 1] * (c / max(1, total)) + l[:, 2] / (vocabulary + 1)
+            base = np.log10((c + 1) / (total + vocabulary + 1))
+            sums.append([np.add.reduceat(x, begins - begins[0]) for x in ((c > 0).astype(np.int64), base, np.log10(p))])
         return pa.Table.from_arrays(
-            [pa.array(batch.ids, mask=batch.missing), pa.array(batch.role.astype(np.int32)), pa.array(batch.words + 1), *[pa.array(s) for s in sums]], schema=_SCORES
+            [pa.array(batch.ids, mask=batch.missing), pa.array(batch.role.astype(np.int32)), pa.array(batch.words + 1), *[pa.array(np.concatenate(s)) for s in zip(*sums)]],
+            schema=_SCORES,
         )
 
     return run
@@ -301,16 +365,17 @@ def score(docs: DataFrame, learns, holds, id_col: str = "doc_id", text_col: str
     scratch = Scratch(spark, "language-model")
     role = F.when(F.coalesce(learns, F.lit(False)), F.when(F.coalesce(holds, F.lit(False)), FOLD).otherwise(TRAIN)).otherwise(SCORED)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), role.cast("int").alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kept = scratch.keep(rows.mapInArrow(_batches, _BATCH), "batches")
-    tokens, total, held = kept.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "learned", "fold")]).first()
+    kept = scratch.keep(rows.mapInArrow(_batches, _BATCH), "batches", **ROW_A_PAGE)
+    tokens, total, held, batches = kept.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "learned", "fold")], F.count("batch")).first()
     parts = max(1, -(-tokens // PART_KEYS))
     asked = kept.mapInArrow(_ask(parts), "part int, batch string, n_uni bigint, keys binary, train binary, fold binary")
-    answers = asked.groupBy("part").applyInArrow(_answer, "part int, batch string, train binary, fold binary, distinct bigint")
+    answers = asked.repartition(-(-parts // PARTS_A_TASK), "part").groupBy("part").applyInArrow(_answer, "part int, batch string, train binary, fold binary, distinct bigint")
     answers = scratch.keep(answers, "answers")
     vocabulary = answers.groupBy("part").agg(F.max("distinct").alias("v")).agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
 
     def together(run, schema, which=F.lit(True)):
-        return kept.where(which).groupBy("batch").cogroup(answers.where(which).groupBy("batch")).applyInArrow(run, schema)
+        left, right = (side.where(which).repartition(max(1, batches), "batch").groupBy("batch") for side in (kept, answers))
+        return left.cogroup(right).applyInArrow(run, schema)
 
     bins = together(_held_out_bins(parts, total - held), "bucket int, two int, one int, n bigint", F.col("batch").startswith(HELD))
     bins = bins.groupBy("bucket", "two", "one").agg(F.sum("n").alias("n")).collect()

@@ -6,8 +6,12 @@ import json
 import math
 import random
 import time
+import tracemalloc
+import types
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -362,6 +366,69 @@ def test_base_and_model_scores_equal_brute_force(spark, monkeypatch):
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, model, rel_tol=1e-9)
 
 
+def batches_of(monkeypatch, texts, roles):
+    """The batches of one task, without Spark."""
+    monkeypatch.setattr(language_model, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(roles, pa.int32()), pa.array(texts, pa.string())], names=["id", "role", "text"])
+    return list(language_model._batches([rows]))
+
+
+def answered(asked):
+    """What all parts answer to one batch."""
+    table = pa.Table.from_batches(asked)
+    return pa.concat_tables([language_model._answer(table.filter(pc.equal(table["part"], p))) for p in pc.unique(table["part"]).to_pylist()])
+
+
+def test_language_model_memory_of_a_batch(monkeypatch):
+    rng = np.random.default_rng(3)
+    lines = [" ".join(f"w{x}" for x in rng.zipf(1.3, 2000) % 50000) for _ in range(300)]
+    taken = {}
+    batches_of(monkeypatch, ["a b"], [language_model.FOLD])  # what loads once
+
+    def traced(step, make):
+        tracemalloc.start()
+        out = make()
+        taken[step] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out
+
+    tokens = 300 * 2001
+    for held, roles in ((True, [language_model.FOLD] * 300), (False, [language_model.TRAIN, language_model.SCORED] * 150)):
+        (rows,) = traced("batches", lambda: batches_of(monkeypatch, lines, roles))
+        assert rows["n"][0].as_py() == tokens
+        asked = traced("ask", lambda: list(language_model._ask(40)([rows])))
+        back, left = answered(asked), pa.Table.from_batches([rows])
+        if held:
+            traced("bins", lambda: language_model._held_out_bins(40, 1000)(left, back))
+        else:
+            traced("scores", lambda: language_model._scores(40, tokens, 50000, np.full((language_model.BUCKETS, 3), 1 / 3))(left, back))
+        for step, most in taken.items():
+            assert most < 60 * tokens, (step, most / tokens)
+
+
+def test_language_model_pieces_join(monkeypatch):
+    texts = ["a b A c", None, "", "b", "\x0b \n", "word " * 40, "é b a", " ".join(f"x{i % 7}" for i in range(90)), "b"]
+    fold, rest = [language_model.FOLD] * len(texts), [language_model.TRAIN, language_model.SCORED, language_model.TRAIN] * 3
+    weights = np.random.default_rng(1).dirichlet(np.ones(3), language_model.BUCKETS)
+
+    def run(piece):
+        for name in ("PIECE", "SPLIT_BYTES", "ASKED_ROWS"):
+            monkeypatch.setattr(language_model, name, piece)
+        out = []
+        for roles in (fold, rest):
+            (rows,) = batches_of(monkeypatch, texts, roles)
+            asked = list(language_model._ask(5)([rows]))
+            back, left = answered(asked), pa.Table.from_batches([rows])
+            out += [rows.to_pylist(), pa.Table.from_batches(asked).to_pylist()]
+            out += [language_model._held_out_bins(5, 50)(left, back).to_pylist(), language_model._scores(5, 100, 20, weights)(left, back).to_pylist()]
+        return out
+
+    whole = run(1 << 20)
+    assert [r["n_tokens"] for r in whole[3]] == [len(words(t)) + 1 for t in texts]
+    assert sum(r["n"] for r in whole[2]) == sum(len(words(t)) + 1 for t in texts) and not whole[6]
+    assert run(1) == run(3) == run(64) == whole
+
+
 def test_weights_favour_what_predicts():
     step = language_model.STEPS_PER_OCTAVE
     weights = language_model.learn_weights([(3, -step, -9 * step, 900), (3, language_model.NEVER, -9 * step, 100), (5, language_model.NEVER, language_model.NEVER, 10)], 1000)
